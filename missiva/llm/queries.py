@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.llm import bpe_codec, quality, repetition, suffix_dedup, token_count, toxicity
+from missiva.llm import bpe_codec, near_dup, quality, repetition, suffix_dedup, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup)}
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup)}
 
 SQL: dict[str, str] = {}
