@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.llm import bpe_codec, mixing, near_dup, quality, repetition, suffix_dedup, token_count, toxicity, warc
+from missiva.llm import bpe_codec, mixing, near_dup, permutation_index, quality, repetition, suffix_dedup, token_count, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup, op5_mixing, op9_warc)}
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup, op5_mixing, op9_warc, op6_permutation_index)}
 
 SQL: dict[str, str] = {"op5_mixing": mixing.SQL, "op9_warc": warc.SQL}
