@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(app: str = "missiva", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators assume: UTC, AQE with skew-join splitting."""
     builder = SparkSession.builder.appName(app)
@@ -44,15 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write ``df`` once as Parquet under the shared scratch folder and reread it."""
+    """Cut lineage: write ``df`` once as Parquet under the shared scratch folder and reread it.
+
+    The shuffle files of the writing query are dropped as soon as it ends, since the table replaces
+    them; otherwise the files of every step would pile up until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that :func:`materialize` wrote, once nothing reads it any more."""
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
