@@ -132,9 +132,9 @@ def extract_amounts(text: Column) -> Column:
     plain = ascii_forms(text)
     marks = r"(HK\$|NT\$|US\$|S\$|HKD|NTD|RM|SGD|USD|EUR|GBP|MYR|RMB|CNY|[$€£¥])"
     words = "million|billion|thousand|mn|bn|m|k"
-    digits = r"(\d{1,3}(?:,\d{3})++(?:\.\d++)?|\d++(?:\.\d++)?)"
+    digits = r"(\d{1,3}(?:,\d{3})++(?:\.\d++)?+|\d++(?:\.\d++)?+)"
     latin = rf"(?i){marks}\s?{digits}(?:\s?({words})\b)?+(?![千万亿])"
-    before = rf"(?i:(人民币|港币|新台币|新币|RMB|¥))\s*(\d[\d,]*+(?:\.\d++)?)\s*+(?:([千万亿])|(?!(?i:{words})\b))"
+    before = rf"(?i:(人民币|港币|新台币|新币|RMB|¥))\s*(\d[\d,]*+(?:\.\d++)?+)\s*+(?:([千万亿])|(?!(?i:{words})\b))"
     after = r"(\d[\d,]*(?:\.\d+)?)\s*([千万亿])?\s*(?:元|圆)"
     one = F.lit(1).cast("bigint")
     times = lambda key: lookup(F.lower(key), {k: v for k, v in MULTIPLIERS.items()}, one)
