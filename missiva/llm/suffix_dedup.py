@@ -34,7 +34,7 @@ from missiva.session import materialize
 LENGTH, WIDTH, GRAM = 100, 60, 16
 CORE = LENGTH - WIDTH + 1
 #: Bytes handled together; a longer text is cut into overlapping stretches of string starts.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
