@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from missiva.session import materialize
 
 #: Pivots (from a sample of four times as many by hash of the id), places kept, share of a segment ranked exactly, sizes.
-PIVOTS, PLACES, SHARE, SEGMENT, QUERY_BLOCK = 256, 64, 0.15, 8192, 1024
+PIVOTS, PLACES, SHARE, SEGMENT, QUERY_BLOCK = 256, 64, 0.25, 8192, 1024
 #: Vectors whose order is so alike are always ranked exactly, however many: in a dense group orders say little.
 CLOSE, PARALLEL = 0.6, 0.8
 
