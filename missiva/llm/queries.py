@@ -21,7 +21,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    return repetition.repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup, op5_mixing, op9_warc, op6_permutation_index)}
 
-SQL: dict[str, str] = {"op5_mixing": mixing.SQL, "op9_warc": warc.SQL}
+SQL: dict[str, str] = {"op3_quality_rules": repetition.SQL, "op5_mixing": mixing.SQL, "op9_warc": warc.SQL}

@@ -142,3 +142,30 @@ def repetition_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, n_covered_words long, longest_repeat long")
+
+
+#: The same rules by windows of words. A repeat is longer than 100 words where a window of 101 is found twice.
+SQL = r"""
+with docs as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+lines as (select doc_id, sum(n - 1) as dup from (
+  select doc_id, line, count(*) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from docs) a
+  where len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 0 group by 1, 2) b group by doc_id),
+spots as (select doc_id, w, len(w) as n, unnest(range(1, len(w) + 1)) as i from docs where len(w) > 0),
+win as (select doc_id, n, i,
+  case when i + 2 <= n then array_to_string(w[i:i + 2], ' ') end as w3,
+  case when i + 4 <= n then array_to_string(w[i:i + 4], ' ') end as w5,
+  case when i + 100 <= n then md5(array_to_string(w[i:i + 100], ' ')) end as w101 from spots),
+rep as (select doc_id, i,
+  case when w3 is not null and count(*) over (partition by doc_id, w3) > 1 then 1 else 0 end as r3,
+  case when w5 is not null and count(*) over (partition by doc_id, w5) > 1 then 1 else 0 end as r5,
+  case when w101 is not null and count(*) over (partition by doc_id, w101) > 1 then 1 else 0 end as r101 from win),
+cov as (select doc_id, max(r3) over (partition by doc_id order by i rows between 2 preceding and current row) as c3,
+  max(r5) over (partition by doc_id order by i rows between 4 preceding and current row) as c5, r101 from rep),
+s as (select doc_id, sum(c3) as c3, sum(c5) as c5, max(r101) as r101 from cov group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(length(array_to_string(d.w, '')) as bigint) as word_chars,
+  cast(length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, cast(coalesce(l.dup, 0) as bigint) as n_dup_lines,
+  cast(coalesce(s.c3, 0) as bigint) as n_repeat_words, len(d.w) < 50 or 100 * coalesce(s.c3, 0) > 50 * len(d.w) as base_failed,
+  not (len(d.w) < 50 or 100 * coalesce(s.c3, 0) > 50 * len(d.w)) and 2 * coalesce(s.c5, 0) <= len(d.w) and coalesce(s.r101, 0) = 0 as kept,
+  cast(coalesce(s.c5, 0) as bigint) as n_covered_words
+from docs d left join lines l on l.doc_id = d.doc_id left join s on s.doc_id = d.doc_id
+"""
