@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.session import materialize
+from missiva.session import materialize, sized
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
@@ -19,28 +19,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     the edges; null ends and self-loops add none but themselves. Direction and repeats do not matter.
     An empty table gives an empty result.
     """
-    live = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    live = materialize(live, "edges")
-    parents = materialize(live.select(F.col("a").alias("node")).unionAll(live.select("b")).distinct().withColumn("component", F.col("node")), "labels")
+    live = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "edges")
+    rows = 2 * live.count()
+    step = lambda df, tag: materialize(sized(df, rows), tag)
+    parents = step(live.select(F.col("a").alias("node")).unionAll(live.select("b")).distinct().withColumn("component", F.col("node")), "labels")
     live = live.where("a != b")
     for _ in range(max_rounds):
         if live.isEmpty():
             return parents
         # a and b are roots: hook every root to the least root beside it, if that is less
         both = live.select(F.col("a").alias("root"), F.col("b").alias("near")).unionAll(live.select("b", "a"))
-        hooks = materialize(both.groupBy("root").agg(F.min("near").alias("to")).where("to < root"), "hooks")
+        hooks = step(both.groupBy("root").agg(F.min("near").alias("to")).where("to < root"), "hooks")
         # follow hooks to their ends by pointer jumping
         while True:
-            step = hooks.alias("h").join(hooks.alias("n"), F.col("h.to") == F.col("n.root"), "left").select(
-                F.col("h.root").alias("root"), F.coalesce("n.to", "h.to").alias("to"), (F.col("n.to").isNotNull()).alias("moved")
-            )
-            step = materialize(step, "jump")
-            hooks = step.select("root", "to")
-            if step.where("moved").isEmpty():
+            ahead = hooks.select(F.col("root").alias("to"), F.col("to").alias("next"))
+            jumped = step(hooks.join(ahead, "to", "left").select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "jump")
+            hooks = jumped.select("root", "to")
+            if jumped.where("moved").isEmpty():
                 break
         follow = lambda df, c: (
             df.join(hooks.select(F.col("root").alias(c), F.col("to").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
         )
-        parents = materialize(follow(parents, "component").select("node", "component"), "labels")
-        live = materialize(follow(follow(live, "a"), "b").where("a != b").select("a", "b").distinct(), "edges")
+        parents = step(follow(parents, "component").select("node", "component"), "labels")
+        live = step(follow(follow(live, "a"), "b").where("a != b").select("a", "b").distinct(), "edges")
     raise RuntimeError("components did not settle")

@@ -61,3 +61,11 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, rows: int, per_partition: int = 250_000) -> DataFrame:
+    """``df`` in as many partitions as its known number of rows asks for, and not more than it has.
+
+    Small steps of an iteration then neither run nor leave a file for every shuffle partition.
+    """
+    return df.coalesce(max(1, -(-rows // per_partition)))
