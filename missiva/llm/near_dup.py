@@ -9,10 +9,11 @@ only up to the time by which all registers are filled, so the work per document
 a constant, not length times registers.
 
 Exact copies are one node. Registers are banded, and nodes that share a band are compared through
-leaders: every member of a bucket is verified against its leader by exact multiset overlap, and the
-metric of the Jaccard distance says which members may still have partners that the leader does not
-reach; only those go on to the next round with further leaders. So no bucket is expanded into all its
-pairs, and no link between members of a bucket is lost. Classes are connected components.
+leaders: members of a bucket are verified against its leader by exact multiset overlap, and classes,
+the connected components of links, grow by rounds. The metric of the Jaccard distance says which
+members may still have partners that the leader does not reach; only those go on to the next round
+with further leaders, and only in buckets that still hold members of different classes. So no bucket
+is expanded into all its pairs, and no link that would join two classes is lost.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from missiva.llm.token_count import slices
 from missiva.operators.components import connected_components
-from missiva.session import materialize
+from missiva.session import materialize, sized
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Two documents of similarity 0.8 share no band with probability (1 - 0.8^4)^24 = 3e-6.
@@ -142,6 +143,17 @@ def overlaps(left: list[str], right: list[str]) -> np.ndarray:
     return out
 
 
+def _merge(parts: DataFrame | None, joined: DataFrame, rows: int) -> DataFrame:
+    """Components after further links: components of the links between the old ones, and the old members under their new names."""
+    if parts is None:
+        return connected_components(joined)
+    named = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+    above = connected_components(named(named(joined, "src"), "dst").select("src", "dst"))
+    moved = parts.join(above.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    fresh = above.join(parts.select("node"), "node", "left_anti").select("node", "component")
+    return materialize(sized(moved.unionByName(fresh), 4 * rows), "parts")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``node, class_id``: the class of each different text, a node being its hash. See :func:`classes`."""
     far = 1 - similar + 1e-9
@@ -169,32 +181,45 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
             d = overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["node", "leader", "distance"])
 
-    measured, links, split = [], [], 1
-    while not active.isEmpty():
-        leaders = active.groupBy("key", F.pmod(F.xxhash64("node", F.lit(split)), F.lit(split)).alias("slot")).agg(F.min("node").alias("leader")).select("key", "leader")
-        pairs = materialize(active.join(leaders, "key").where("node != leader"), "pairs")
+    measured, split, parts = [], 1, None
+    active = active.withColumn("part", F.col("node"))
+    members = active.count()
+    while True:
+        slot = F.pmod(F.xxhash64("node", F.lit(split)), F.lit(split)) if split > 1 else F.lit(0)
+        leaders = active.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "part")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.part").alias("of"))
+        # members that are connected to a leader already need no comparison
+        pairs = materialize(sized(active.join(leaders, "key").where("part <> of").select("key", "node", "leader"), members * split), "pairs")
+        count = pairs.count()
+        if not count:
+            break
+        step = lambda df, tag, per=250_000: materialize(sized(df, count, per), tag)
         fresh = pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
         if measured:
             fresh = fresh.join(reduce(DataFrame.unionAll, measured), ["node", "leader"], "left_anti")
         with_texts = fresh.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader").select("node", "leader", "a", "b")
-        done = materialize(with_texts.mapInArrow(verify, "node long, leader long, distance double"), "verified")
+        done = step(with_texts.mapInArrow(verify, "node long, leader long, distance double"), "verified", 2_000)
         measured.append(done)
-        links.append(done.where(F.col("distance") <= far))
+        joined = done.where(F.col("distance") <= far).select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+        if not joined.isEmpty():
+            parts = _merge(parts, joined, count)
         every = reduce(DataFrame.unionAll, measured)
         both = every.unionAll(every.select(F.col("leader").alias("node"), F.col("node").alias("leader"), "distance"))
-        told = materialize(pairs.join(both, ["node", "leader"]), "told")
-        # a member near a leader is settled there unless a member that the leader does not reach may be near it
+        told = step(pairs.join(both, ["node", "leader"]), "told")
+        if told.where(F.col("distance") > far).isEmpty():
+            break
+        # a member near a leader is settled unless a member that the leader does not reach may be near it; every leader is settled
         gaps = told.where(F.col("distance") > far).groupBy("key", "leader").agg(F.min("distance").alias("gap"))
-        settled = told.where(F.col("distance") <= far).join(gaps, ["key", "leader"], "left").where(F.col("gap").isNull() | (F.col("distance") < F.col("gap") - far)).select("key", "node")
-        rest = told.select("key", "node").distinct().join(settled.distinct(), ["key", "node"], "left_anti")
-        rest = rest.join(leaders.select("key", F.col("leader").alias("node")).distinct(), ["key", "node"], "left_anti")
-        rest = materialize(rest, "rest")
-        active = materialize(rest.join(rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "active")
-        split *= 2
-    if not links:
+        near = told.where(F.col("distance") <= far).join(gaps, ["key", "leader"], "left").where(F.col("gap").isNull() | (F.col("distance") < F.col("gap") - far))
+        settled = near.select("key", "node").unionAll(leaders.select("key", F.col("leader").alias("node"))).distinct()
+        rest = active.select("key", "node").join(settled, ["key", "node"], "left_anti")
+        rest = rest.withColumn("part", F.col("node")) if parts is None else rest.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        rest = materialize(sized(rest, members), "rest")
+        # buckets whose members are all connected are finished
+        mixed = rest.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
+        active = materialize(sized(rest.join(mixed, "key"), members), "active")
+        members, split = active.count(), 4 * split
+    if parts is None:
         return nodes.select("node", F.col("doc_id").alias("class_id"))
-    edges = reduce(DataFrame.unionAll, links).select(F.col("node").alias("src"), F.col("leader").alias("dst"))
-    parts = connected_components(edges)
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_node = parts.join(least, "component").select("node", "class_id")
     return nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
