@@ -52,7 +52,7 @@ def _times(n: int, odd: np.uint64) -> np.uint64:
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of texts: text number, 64-bit hash (lowest bits dropped), occurrences.
+    """Distinct shingles of texts: text number, 64-bit hash, occurrences. A shingle's hash does not depend on the other texts.
 
     Words are runs of characters other than ASCII white space. A text of one to four words has one
     shingle, all its words; a text without words has none.
@@ -70,13 +70,13 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.zeros(len(begin), dtype=np.uint64)
     for j in range(SHINGLE):
         h = _mix(h + np.where(j < size, words[begin + j] * ODD[j % 3] + np.uint64(j + 1), np.uint64(0)))
-    bits = np.uint64(max(1, len(texts) - 1).bit_length())
-    key = np.sort(h >> bits << bits | text.astype(np.uint64))
-    fresh = np.ones(len(key), dtype=bool)
-    fresh[1:] = key[1:] != key[:-1]
+    last = np.cumsum(count)
+    for a, b in zip(last - count, last):
+        h[a:b].sort()
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(fresh)
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    return (key[at] & mask).astype(np.int64), _mix(key[at] >> bits << bits), np.diff(np.append(at, len(key)))
+    return text[at], h[at], np.diff(np.append(at, len(h)))
 
 
 def signatures(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

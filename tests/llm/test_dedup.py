@@ -116,6 +116,22 @@ def test_registers_estimate_weighted_similarity():
     assert abs(np.mean(found)) < 0.03
 
 
+def test_band_keys_do_not_depend_on_the_batch(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(500)}"
+    texts = [" ".join(word() for _ in range(rng.randint(1, 80))) for _ in range(1000)]
+    alone = near_dup.band_keys(texts[:1])[0]
+    for n in (2, 10, 1000):
+        assert (near_dup.band_keys(texts[:n])[0] == alone).all()
+    # near copies that are signed in batches of different widths
+    base = [word() for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, " ".join([*base[:-1], f"z{i}"])) for i in range(3)]
+    parts = [rows[:700] + [rows[1000]], rows[700:703] + [rows[1001]], [rows[1002]]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(lambda x: x), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df).where("doc_id >= 2000").collect()}
+    assert got == {2000: 2000, 2001: 2000, 2002: 2000}
+
+
 def test_classes_awkward(spark):
     rows = [(5, "one two three"), (5, "one two three"), (9, "one two three"), (None, None), (3, ""), (4, " \n"), (6, "x " * 20000), (7, "x " * 20001)]
     df = spark.createDataFrame([(a, b, "extra") for a, b in rows], "doc_id long, text string, class_id string")
