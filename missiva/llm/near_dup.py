@@ -155,7 +155,7 @@ def _merge(parts: DataFrame | None, joined: DataFrame, rows: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``node, class_id``: the class of each different text, a node being its hash. See :func:`classes`."""
+    """``node, class_id, class_key``: the class of each different text, a node being its hash; the key is the least node of the class. See :func:`classes`."""
     far = 1 - similar + 1e-9
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.xxhash64("text"))
@@ -219,34 +219,37 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         active = materialize(sized(rest.join(mixed, "key"), members), "active")
         members, split = active.count(), 4 * split
     if parts is None:
-        return nodes.select("node", F.col("doc_id").alias("class_id"))
+        return nodes.select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("class_key"))
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    of_node = parts.join(least, "component").select("node", "class_id")
-    return nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of_node = parts.join(least, "component").select("node", "class_id", F.col("component").alias("class_key"))
+    return nodes.select("node", "doc_id").join(of_node, "node", "left").select(
+        "node", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_key", "node").alias("class_key")
+    )
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``doc_id, class_id, is_kept``: every row's near-duplicate class, named by its least doc_id.
+    """``doc_id, class_id, is_kept, class_key``: every row's near-duplicate class, named by its least doc_id.
 
     Similarity is the weighted Jaccard of 5-word shingle multisets, at least 0.8 by default; classes
     are the connected components of such links. Rows with equal texts are one node whatever their
     ids; null and empty texts are equal to each other and like no other text. ``is_kept`` marks the
     rows whose id names the class. One row per input row, repeated rows included; null ids name a
-    class only if it has no other. Other columns are ignored. An empty table gives an empty result.
+    class only if it has no other. Unrelated texts with null ids, or with one id, share a ``class_id``
+    but not a ``class_key``, the least text hash of the class. Other columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"))
     named = rows.join(materialize(near_duplicates(docs, similar), "classes"), "node")
-    return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"), "class_key")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that name their class: one document of each, with its columns."""
     node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = materialize(near_duplicates(docs, similar), "classes").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    named = materialize(near_duplicates(docs, similar), "classes").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("class_key").alias("__key"))
     kept = docs.withColumn("__node", node).withColumn("__id", F.col("doc_id").cast("long"))
     kept = kept.join(named, (kept["__node"] == named["__node"]) & kept["__id"].eqNullSafe(named["__class"]), "left_semi")
-    # repeated rows, or different texts of one id, leave several rows of a class: only then rows are compared
+    # repeated rows, or near texts of one id, leave several rows of a class: only then rows are compared
     several = kept.groupBy("__id").count().where("count > 1").limit(1).count()
     if several:
-        kept = kept.join(named, "__node").dropDuplicates(["__class"])
+        kept = kept.join(named, "__node").dropDuplicates(["__key"])
     return kept.select(*docs.columns)

@@ -139,3 +139,16 @@ def test_classes_awkward(spark):
     assert got == sorted([(5, 5, True), (5, 5, True), (9, 5, False), (None, 3, False), (3, 3, True), (4, 4, True), (6, 6, True), (7, 6, False)], key=repr)
     assert near_dup.classes(df.limit(0)).count() == 0
     assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == [3, 4, 5, 6]
+
+
+def test_unrelated_texts_of_one_id_stay_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "null id one"), (None, "null id two, unrelated"), (None, f"{long} null"), (7, "seven one"), (7, "seven two, unrelated"), (7, "seven one"), (8, long), (8, f"{long} end"), (9, f"{long} null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r.text: r.class_key for r in df.join(near_dup.near_duplicates(df), F.xxhash64("text") == F.col("node")).collect()}
+    assert len(set(key.values())) == 5 and key[long] == key[f"{long} end"] == key[f"{long} null"]
+    got = near_dup.classes(df)
+    assert got.count() == 9 and got.select("class_key").distinct().count() == 5
+    kept = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(df).collect()), key=repr)
+    assert len(kept) == 5 and {r for r in kept if r[0] != 8} == {(None, "null id one"), (None, "null id two, unrelated"), (7, "seven one"), (7, "seven two, unrelated")}
+    assert [r[1] in (long, f"{long} end") for r in kept if r[0] == 8] == [True]
