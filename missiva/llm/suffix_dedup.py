@@ -148,8 +148,11 @@ def _groups(batches, names: list[str]) -> Iterator[tuple[dict[str, np.ndarray],
         cut = int(np.searchsorted(lead, lead[-1], side="left"))
         rest = {n: v[cut:] for n, v in cols.items()}
         held[-1] = {n: v[:cut] for n, v in cols.items()}
-        yield join(held), first, False
-        first, held = False, [rest]
+        run = join(held)
+        if len(run[names[0]]):
+            yield run, first, False
+            first = False
+        held = [rest]
     if held:
         yield join(held), first, True
 

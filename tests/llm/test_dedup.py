@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,18 @@ def test_long_texts_are_cut_into_overlapping_stretches():
     assert len(starts) == 5000 - 99
 
 
+def test_a_task_that_starts_inside_a_rank_opens_it():
+    names = ["core", "stretch", "doc", "seq", "start", "more"]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
+    one, next_rows = [(5, 1, d, 0, 0, 3) for d in range(4)], [(6, 1, 9, 0, 0, 3), (7, 1, 9, 0, 8, 3), (8, 1, 9, 0, 9, 3)]
+    for batches in ([one, next_rows], [one[:2], one[2:], next_rows], [one + next_rows], [one[:1], one[1:] + next_rows[:2], next_rows[2:]]):
+        runs = list(suffix_dedup._groups(map(batch, batches), names))
+        assert [x[1] for x in runs] == [True] + [False] * (len(runs) - 1) and [x[2] for x in runs] == [False] * (len(runs) - 1) + [True]
+        assert all(len(g["core"]) for g, _, _ in runs) and sum(len(g["core"]) for g, _, _ in runs) == 7
+        got = [r for b in suffix_dedup._round_one(map(batch, batches)) for r in b.to_pylist()]
+        assert {(r["doc"], r["start"], r["open"]) for r in got} == {(0, 0, True), (1, 0, False), (2, 0, False), (3, 0, False), (9, 9, True)}
+
+
 def test_repeats_awkward(spark):
     p = "0123456789" * 30
     rows = [(2, p, "k"), (2, p, "k"), (1, "q" + p, None), (None, None, None), (None, p, "n"), (3, "", "e"), (7, "é" * 80, None), (7, "other " * 3, "o")]
