@@ -22,6 +22,8 @@ from missiva.llm.token_count import slices
 
 #: Words per window and between windows; sizes of the hashed tables, the embeddings and the states.
 WINDOW, STRIDE = 40, 30
+#: A run of more characters without white space counts as overlapping pieces of so many, each a word; characters between their starts.
+PIECE, PIECE_STEP = 64, 48
 WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 12, 15, 6, 10, 8, 8
 #: The fit: at most so many labelled texts of either kind, none of over FIT_WORDS words (a bounded sample by hash of the id).
 FIT_POSITIVE, FIT_NEGATIVE, FIT_WORDS = 2000, 2500, 600
@@ -30,9 +32,17 @@ BATCH_CHARS, BATCH_WINDOWS, REMEMBERED = 3_000_000, 2048, 400_000
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_~`^+=/\\"
 
 
+def words_of(text: str) -> list[str]:
+    """Words in lower case, long runs in overlapping pieces: every n-gram, and every stretch of up to 17 characters, lies whole in one."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[at : at + PIECE] for w in words for at in range(0, max(1, len(w) - PIECE + PIECE_STEP), PIECE_STEP)]
+
+
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed numbers of words, hashed numbers of their byte 4- and 5-grams, and the grams per word."""
-    raws = [b"<" + w.strip(EDGE)[:64].encode("utf-8") + b">>>>" for w in words]
+    raws = [b"<" + w.strip(EDGE).encode("utf-8") + b">>>>" for w in words]
     size = np.fromiter(map(len, raws), dtype=np.int64, count=len(raws)) - 4
     byte = np.frombuffer(b"".join(raws), dtype=np.uint8).astype(np.uint64)
     begin = np.repeat(np.cumsum(size + 4) - (size + 4), size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -204,7 +214,7 @@ class Network:
 def fit(texts: list[str], labels: np.ndarray, steps: int = STEPS) -> Network:
     """Train on whole texts. Fixed work whatever the number of texts; half of each step's texts are toxic."""
     net, rng, lexicon = Network(), np.random.default_rng(SEED), Lexicon()
-    ids = [np.array(lexicon.ids(t.lower().split()), dtype=np.int64) for t in texts]
+    ids = [np.array(lexicon.ids(words_of(t)), dtype=np.int64) for t in texts]
     word, gram, size = lexicon.features()
     begin = np.cumsum(size) - size
     kinds = [[i for i in np.flatnonzero(labels == k) if len(ids[i])] for k in (1, 0)]
@@ -279,7 +289,7 @@ class Scorer:
         out = np.full(len(texts), self.net.prior)
         if len(self.lexicon.number) > REMEMBERED:
             self.lexicon.clear()
-        w, per = windows([self.lexicon.ids(t.lower().split()) for t in texts])
+        w, per = windows([self.lexicon.ids(words_of(t)) for t in texts])
         self._learn()
         logit = np.concatenate([self.net.forward(self.tables, w[i : i + BATCH_WINDOWS]) for i in range(0, len(w), BATCH_WINDOWS)] or [np.zeros(0)])
         has = np.flatnonzero(per)
@@ -308,7 +318,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
         return [], np.zeros(0, dtype=int)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, y int"))  # at most FIT_POSITIVE + FIT_NEGATIVE rows
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.regexp_count("text", F.lit(r"\S+")).between(1, FIT_WORDS))
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.regexp_count("text", F.lit(rf"(?<!\S)\S{{1,{PIECE}}}|\S{{1,{PIECE_STEP}}}")).between(1, FIT_WORDS))
     rows = few.join(ids, "doc_id").orderBy(first, "doc_id", "text").limit(FIT_POSITIVE + FIT_NEGATIVE).collect()
     return [r.text for r in rows], np.array([r.y for r in rows], dtype=int)
 

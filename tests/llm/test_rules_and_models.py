@@ -100,6 +100,20 @@ def test_windows_cover_every_word():
         assert set(w[a : a + n].ravel()) - {0} == set(ids[i])
 
 
+def test_long_runs_are_scored_whole():
+    rng = random.Random(5)
+    run = "".join(rng.choice("abcdefgh") for _ in range(1000))
+    for n in (1, 63, 64, 65, 112, 113, 160, 161, 1000):
+        pieces = toxicity.words_of(run[:n])
+        assert max(map(len, pieces)) <= toxicity.PIECE and len(pieces) == (1 if n <= 64 else 1 + -(-(n - 64) // 48))
+        assert all(any(run[:n][i : i + 17] in p for p in pieces) for i in range(max(1, n - 16)))
+    assert toxicity.words_of(f"A {run[:100]}\nb") == ["a", run[:64], run[48:100], "b"]
+    scorer = toxicity.Scorer(toxicity.Network())
+    scorer.net.prior = 0.1
+    plain, late = scorer([run, run[:900] + "vileness" + run[908:]])
+    assert plain != late
+
+
 def test_toxic_words_are_learned(spark):
     rng = random.Random(2)
     plain = [f"w{i}" for i in range(60)]
