@@ -21,7 +21,7 @@ from missiva.llm.quality import held_out
 from missiva.llm.token_count import slices
 
 #: Words per window and between windows; sizes of the hashed tables, the embeddings and the states.
-WINDOW, STRIDE = 40, 30
+WINDOW, STRIDE = 40, 20
 #: A run of more characters without white space counts as overlapping pieces of so many, each a word; characters between their starts.
 PIECE, PIECE_STEP = 64, 48
 WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 12, 15, 6, 10, 8, 8

@@ -100,6 +100,11 @@ def test_windows_cover_every_word():
         assert set(w[a : a + n].ravel()) - {0} == set(ids[i])
 
 
+def test_spans_of_half_a_window_lie_whole_in_one():
+    w, _ = toxicity.windows([list(range(1, 201))])
+    assert all(any({*range(i, i + 20)} <= {*x} for x in w.tolist()) for i in range(1, 182))
+
+
 def test_long_runs_are_scored_whole():
     rng = random.Random(5)
     run = "".join(rng.choice("abcdefgh") for _ in range(1000))
