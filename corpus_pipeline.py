@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("suffix_dedup", drop_repeats), ("mixing", mix), ("bpe", encode)]
 
-#: Training, hashing and byte-pair merges are beyond SQL; tests hold the stages against brute force.
+#: Training, hashing and byte-pair merges are beyond SQL; tests hold the near-duplicate and repeated-substring stages against brute force.
 ORACLE_SQL = None
 
 

@@ -165,3 +165,28 @@ def test_unrelated_texts_of_one_id_stay_apart(spark):
     kept = sorted(((r.doc_id, r.text) for r in near_dup.keep_one(df).collect()), key=repr)
     assert len(kept) == 5 and {r for r in kept if r[0] != 8} == {(None, "null id one"), (None, "null id two, unrelated"), (7, "seven one"), (7, "seven two, unrelated")}
     assert [r[1] in (long, f"{long} end") for r in kept if r[0] == 8] == [True]
+
+
+def test_pipeline_stages_keep_what_brute_force_keeps(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    some = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    bases, passage = [some(70) for _ in range(5)], some(30)
+    rows = [(i, f"{b} {e}") for i, (b, e) in enumerate((b, e) for b in bases for e in ("one", "two", "two"))]
+    rows += [(None, some(40)), (None, some(40)), (None, f"{bases[0]} three"), (None, None), (50, ""), (60, some(40)), (60, some(40)), (60, rows[3][1]), (61, f"{some(20)} {passage}"), (62, f"{passage} {some(20)}"), (62, f"{some(9)} {passage}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    group = class_of([(k, t) for k, (_, t) in enumerate(rows)])
+    members = collections.defaultdict(list)
+    for k, g in group.items():
+        members[g].append(rows[k])
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert len(once) == len(members)
+    for found in members.values():
+        least = min((i for i, _ in found if i is not None), default=None)
+        assert sum((r.doc_id, r.text) in [m for m in found if m[0] == least] for r in once) == 1
+    left = corpus_pipeline.drop_repeats(spark, spark.createDataFrame(once, docs.schema).repartition(3), "").collect()
+    order = sorted(once, key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()))
+    want = trimmed([(k, r.text or "") for k, r in enumerate(order)])
+    assert sum(v[1] for v in want.values()) > 2 * 100
+    assert collections.Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), r.n_chars) for r in left) == collections.Counter((order[k].doc_id, v[3], v[0] - v[1]) for k, v in want.items())
