@@ -8,22 +8,25 @@ with probability equal to their weighted Jaccard similarity. Points are made in
 only up to the time by which all registers are filled, so the work per document is its length plus
 a constant, not length times registers.
 
-Exact copies are one node. Registers are banded, and nodes that share a band are compared through
-leaders: members of a bucket are verified against its leader by exact multiset overlap, and classes,
-the connected components of links, grow by rounds. The metric of the Jaccard distance says which
-members may still have partners that the leader does not reach; only those go on to the next round
-with further leaders, and only in buckets that still hold members of different classes. So no bucket
-is expanded into all its pairs, and no link that would join two classes is lost.
+Exact copies are one node. Registers are banded, and the members of a bucket are compared with its
+leader only, the member whose bands have the most company (the text that others were copied from, if
+there is one), by exact multiset overlap. Links make classes, their connected components. A bucket
+whose other members are in several classes goes on: relative to a centre, a text is the set of
+shingles by which it differs, and two texts that are similar, but not both to the centre, share part
+of these differences. So each member posts just enough of its differences, the rarest first (prefix
+filtering, made exact by the triangle of the three texts), under keys that are new, small buckets.
+Their members are compared in rounds with one leader, then four, and so on, across classes only. No
+bucket of near copies is expanded into its pairs, and no link that would join two classes is lost.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.llm.token_count import slices
@@ -31,10 +34,18 @@ from missiva.operators.components import connected_components
 from missiva.session import materialize, sized
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Two documents of similarity 0.8 share no band with probability (1 - 0.8^4)^24 = 3e-6.
-BANDS, ROWS = 24, 4
+#: Two documents of similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6; of similarity 0.3, they share one with 0.03.
+BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
 BATCH_CHARS = 1_500_000
+#: The text of a leader is copied once for each so much company.
+COMPANY = 20_000
+#: The order of differences puts so many of the most common ones of a centre last. An order of any kind gives the same links.
+COMMON = 1024
+#: Least sizes of the classes of difference sets.
+CLASSES = [1]
+while CLASSES[-1] < 1 << 33:
+    CLASSES.append(max(CLASSES[-1] + 1, CLASSES[-1] * 5 // 4))
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
 
@@ -130,17 +141,59 @@ def band_keys(texts: list[str]) -> list[np.ndarray | None]:
     return [keys[i] if some[i] else None for i in range(len(texts))]
 
 
+def elements(texts: list[str]) -> list[np.ndarray]:
+    """Each text's multiset of shingles as a sorted set: the second occurrence of a shingle is an element of its own, and so on."""
+    text, h, weight = shingles(texts)
+    again = np.arange(weight.sum(), dtype=np.uint64) - np.repeat(np.cumsum(weight) - weight, weight).astype(np.uint64)
+    owner, h = np.repeat(text, weight), np.repeat(h, weight)
+    e = np.where(again == 0, h, _mix(h + again * ODD[0]))
+    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [np.sort(e[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def differences(mine: np.ndarray, leader: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted Jaccard distance of a text from a leader, and the elements that only either has."""
+    at = np.searchsorted(leader, mine)
+    at[at == len(leader)] = 0
+    both = leader[at] == mine if len(leader) else np.zeros(len(mine), dtype=bool)
+    left = np.ones(len(leader), dtype=bool)
+    left[at[both]] = False
+    added, gone = mine[~both], leader[left]
+    shared = int(both.sum())
+    return 1 - shared / max(1, shared + len(added) + len(gone)), added, gone
+
+
+def posts(apart: np.ndarray, size: int, of_leader: int, linked: bool, similar: float = SIMILAR) -> np.ndarray:
+    """Keys under which a text of ``size`` elements posts its differences ``apart`` from a leader of ``of_leader`` elements.
+
+    With D the differences, a third text Y with differences E from the leader L is similar to X only if
+    |D ^ E| <= h, h = (1 - s) / (1 + s) * (|X| + |Y|), so that 2 |D & E| >= |D| + |E| - h, where
+    |Y| <= |X| / s and |Y| <= |L| + |E|. X and Y are to meet only if one of them is not similar to L, say
+    Y: |E| > (1 - s) / (1 + s) * (|Y| + |L|), and at least one element is shared. Two sets in one order
+    that share t elements share one within the first |D| - t + 1 of each. As t depends on |E|, X posts
+    once for every class of sizes that |E| may be in. The last two bits of a key say which of the two
+    sizes is the poster's: 0 the smaller class, 1 the larger, 2 if they are equal.
+    """
+    d = len(apart)
+    if not d:
+        return np.zeros(0, dtype=np.uint64)
+    part, own = (1 - similar) / (1 + similar), bisect_right(CLASSES, d) - 1
+    least = part * (similar * size + of_leader) if linked else 0
+    most = (1 - similar) / similar * size + 1e-6
+    keys = []
+    for g in range(bisect_right(CLASSES, max(1, int(d - most))) - 1, bisect_right(CLASSES, int(d + most))):
+        low, high = CLASSES[g], CLASSES[g + 1] - 1
+        h = part * (size + min(size / similar, of_leader + high)) + 1e-6
+        t = max(1, int(np.ceil((d + low - h) / 2)))
+        if high >= least - 1e-6 and t <= min(d, high):
+            key = _mix(apart[: d - t + 1] + _times(min(own, g) * 256 + max(own, g) + 1, ODD[2]))
+            keys.append((key & ~np.uint64(3)) | np.uint64(2 if g == own else own > g))
+    return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
+
+
 def overlaps(left: list[str], right: list[str]) -> np.ndarray:
     """Weighted Jaccard distances of pairs of texts."""
-    out = np.empty(len(left))
-    for i, pair in enumerate(zip(left, right)):
-        text, h, weight = shingles(list(pair))
-        order = np.argsort(h, kind="stable")
-        h, w, t = h[order], weight[order], text[order]
-        both = np.flatnonzero(h[1:] == h[:-1])
-        shared = np.minimum(w[both], w[both + 1])[t[both] != t[both + 1]].sum()
-        out[i] = 1 - shared / max(1, w.sum() - shared)
-    return out
+    return np.array([differences(a, b)[0] for a, b in zip(elements(left), elements(right))])
 
 
 def _merge(parts: DataFrame | None, joined: DataFrame, rows: int) -> DataFrame:
@@ -170,54 +223,97 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = rows.select("node", "doc_id", "text").mapInArrow(sign, "node long, doc_id long, bands array<long>")
     nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
     posted = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     active = materialize(posted.join(shared, "key"), "active")
     # texts of the nodes that share a band with others, one each
     wanted = active.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     texts = materialize(rows.join(wanted.select(F.col("node").alias("n_"), F.col("doc_id").alias("d_")), (F.col("node") == F.col("n_")) & F.col("doc_id").eqNullSafe(F.col("d_"))).select("node", "text").dropDuplicates(["node"]), "texts")
 
-    def verify(batches):
+    def compare(batches):
+        names, led, known = ["node", "leader", "linked", "size", "of_leader", "added", "gone"], None, None
         for batch in batches:
-            d = overlaps(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["node", "leader", "distance"])
+            keys, more, own, others = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            for s in slices(own, BATCH_CHARS):
+                rows = []
+                for i, mine in zip(range(s.start, s.stop), elements(own[s])):
+                    if led != keys[i]:
+                        led, known = keys[i], elements([others[i].as_py()])[0]
+                    distance, added, gone = differences(mine, known)
+                    rows.append((distance <= far, len(mine), len(known), *((added.view(np.int64), gone.view(np.int64)) if more[i] else (None, None))))
+                part = batch.slice(s.start, s.stop - s.start)
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names=names)
 
-    measured, split, parts = [], 1, None
-    active = active.withColumn("part", F.col("node"))
-    members = active.count()
-    while True:
+    def post(batches):
+        for batch in batches:
+            rows, keys = batch.to_pydict(), []
+            for linked, size, of_leader, added, gone, hot in zip(*(rows[c] for c in ("linked", "size", "of_leader", "added", "gone", "hot"))):
+                apart = np.array(added + gone, dtype=np.int64)
+                if hot:  # the most common elements last, all others in the order of differences()
+                    hot = np.array(hot, dtype=np.int64)
+                    by = np.argsort(hot)
+                    at = np.minimum(np.searchsorted(hot[by], apart), len(hot) - 1)
+                    apart = apart[np.argsort(np.where(hot[by][at] == apart, by[at] + 1, 0), kind="stable")]
+                keys.append(posts(apart.view(np.uint64), size, of_leader, linked, similar).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("leader"), batch.column("part"), pa.array(keys, pa.list_(pa.int64()))], names=["node", "leader", "part", "posts"])
+
+    def compared(asked: DataFrame, count: int) -> DataFrame:
+        """Of pairs ``node, leader, more, company``: are they linked, and with ``more`` also their differences."""
+        # a leader has at least a BANDS-th of its company as members: copies of its text, so that no task gets all of them, are few against those
+        salts = (F.col("company") / COMPANY).cast("long")
+        led = asked.groupBy(F.col("leader").alias("node")).agg(F.max("company").alias("company")).join(texts, "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.col("text").alias("b"))
+        both = asked.join(texts.withColumnRenamed("text", "a"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), salts + 1)).join(led, ["leader", "salt"])
+        made = "node long, leader long, linked boolean, size long, of_leader long, added array<long>, gone array<long>"
+        return materialize(sized(both.select("node", "leader", "more", "a", "b").mapInArrow(compare, made), count, 4_000), "compared")
+
+    def grouped(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+        """``node`` and further columns, with the class of each node."""
+        return rows.withColumn("part", F.col("node")) if parts is None else rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+    ends = [F.min("part").alias("low"), F.max("part").alias("high")]
+    count = active.count()
+    company = active.groupBy("node").agg(F.sum("n").alias("company"))
+    leaders = active.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.company").alias("company"))
+    members = materialize(sized(active.join(leaders, "key"), count), "members")
+    # the centre of a bucket, of which it need not be a member: the leader of most company that any member has
+    hubs = members.groupBy("node").agg(F.max(F.struct("company", "leader")).alias("hub"))
+    centres = members.where("n > 2").join(hubs, "node").groupBy("key").agg(F.max("hub").alias("hub")).select("key", F.col("hub.leader").alias("centre"), F.col("hub.company").alias("company"))
+    rest = materialize(sized(members.where("n > 2 and node <> leader").select("key", "node").join(centres, "key"), count), "rest")
+    asked = members.where("node <> leader").select("node", "leader", F.lit(False).alias("more"), "company").unionAll(rest.where("node <> centre").select("node", "centre", F.lit(True), "company"))
+    done = compared(asked.groupBy("node", "leader").agg(F.max("more").alias("more"), F.max("company").alias("company")), count)
+    links = done.where("linked").select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+    parts = None if links.isEmpty() else _merge(None, links, count)
+    # buckets whose other members are all connected are finished
+    rest = materialize(sized(grouped(rest, parts).withColumnRenamed("centre", "leader"), count), "rest")
+    mixed = rest.groupBy("key").agg(*ends).where("low < high").select("key")
+    apart = materialize(rest.join(mixed, "key").select("node", "leader", "part").distinct().join(done, ["node", "leader"]), "apart")
+    common = apart.select("leader", F.explode(F.concat("added", "gone")).alias("e")).groupBy("leader", "e").agg(F.count("*").alias("c")).where("c > 3")
+    first = Window.partitionBy("leader").orderBy(F.desc("c"), "e")
+    common = common.withColumn("at", F.row_number().over(first)).where(F.col("at") <= COMMON).groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("hot"))
+    fresh = apart.join(common, "leader", "left").select("node", "leader", "part", "linked", "size", "of_leader", "added", "gone", "hot").mapInArrow(post, "node long, leader long, part long, posts array<long>")
+    fresh = fresh.select("node", "leader", "part", F.explode("posts").alias("e"))
+    fresh = materialize(fresh.select(F.xxhash64("leader", F.shiftright("e", 2)).alias("key"), F.expr("shiftleft(1, cast(e & 3 as int))").alias("side"), "node", "part"), "posts")
+    who = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")
+    mixed = fresh.groupBy("key").agg(F.count("*").alias("n"), who, F.bit_or("side").alias("sides"), *ends).where("low < high and sides in (3, 4)")
+    # of buckets with the same members, one
+    mixed = mixed.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+    active = materialize(fresh.select("key", "node", "part").join(mixed, "key"), "active")
+    measured, split = done.select("node", "leader"), 1
+    while count := active.count():
         slot = F.pmod(F.xxhash64("node", F.lit(split)), F.lit(split)) if split > 1 else F.lit(0)
         leaders = active.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "part")).alias("l")).select("key", F.col("l.node").alias("leader"), F.col("l.part").alias("of"))
-        # members that are connected to a leader already need no comparison
-        pairs = materialize(sized(active.join(leaders, "key").where("part <> of").select("key", "node", "leader"), members * split), "pairs")
-        count = pairs.count()
-        if not count:
-            break
-        step = lambda df, tag, per=250_000: materialize(sized(df, count, per), tag)
-        fresh = pairs.select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-        if measured:
-            fresh = fresh.join(reduce(DataFrame.unionAll, measured), ["node", "leader"], "left_anti")
-        with_texts = fresh.join(texts.withColumnRenamed("text", "a"), "node").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("b")), "leader").select("node", "leader", "a", "b")
-        done = step(with_texts.mapInArrow(verify, "node long, leader long, distance double"), "verified", 2_000)
-        measured.append(done)
-        joined = done.where(F.col("distance") <= far).select(F.col("node").alias("src"), F.col("leader").alias("dst"))
-        if not joined.isEmpty():
-            parts = _merge(parts, joined, count)
-        every = reduce(DataFrame.unionAll, measured)
-        both = every.unionAll(every.select(F.col("leader").alias("node"), F.col("node").alias("leader"), "distance"))
-        told = step(pairs.join(both, ["node", "leader"]), "told")
-        if told.where(F.col("distance") > far).isEmpty():
-            break
-        # a member near a leader is settled unless a member that the leader does not reach may be near it; every leader is settled
-        gaps = told.where(F.col("distance") > far).groupBy("key", "leader").agg(F.min("distance").alias("gap"))
-        near = told.where(F.col("distance") <= far).join(gaps, ["key", "leader"], "left").where(F.col("gap").isNull() | (F.col("distance") < F.col("gap") - far))
-        settled = near.select("key", "node").unionAll(leaders.select("key", F.col("leader").alias("node"))).distinct()
-        rest = active.select("key", "node").join(settled, ["key", "node"], "left_anti")
-        rest = rest.withColumn("part", F.col("node")) if parts is None else rest.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-        rest = materialize(sized(rest, members), "rest")
-        # buckets whose members are all connected are finished
-        mixed = rest.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("key")
-        active = materialize(sized(rest.join(mixed, "key"), members), "active")
-        members, split = active.count(), 4 * split
+        asked = active.join(leaders, "key").where("part <> of").select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
+        asked = materialize(asked.join(measured, ["node", "leader"], "left_anti"), "pairs")
+        done = compared(asked.select("node", "leader", F.lit(False).alias("more"), F.lit(0).cast("long").alias("company")), asked.count())
+        measured = measured.unionAll(done.select("node", "leader"))
+        links = done.where("linked").select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+        if not links.isEmpty():
+            parts = _merge(parts, links, count)
+        # leaders have met all members; buckets whose other members are all connected are finished
+        left = active.join(leaders.select("key", F.col("leader").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        left = materialize(sized(grouped(left, parts), count), "rest")
+        active = materialize(sized(left.join(left.groupBy("key").agg(*ends).where("low < high").select("key"), "key"), count), "active")
+        split *= 4
     if parts is None:
         return nodes.select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("class_key"))
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))

@@ -116,6 +116,46 @@ def test_classes(spark):
     assert got == class_of(rows)
 
 
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(14)
+    some = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    base, passage, rows = some(120), some(25), []
+    for i in range(260):
+        w = list(rows[rng.randrange(len(rows))][1].split()) if rows and rng.random() < 0.3 else list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 5, 8))):
+            w[rng.randrange(len(w))] = rng.choice(some(1))
+        kind = rng.random()
+        w = w[: rng.randint(60, len(w))] if kind < 0.2 and len(w) > 60 else w + passage * rng.randint(1, 3) if kind < 0.35 else w
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = class_of(rows)
+    assert len(set(want.values())) > 20 and got == want
+
+
+def test_similar_texts_meet_in_their_differences():
+    rng = random.Random(15)
+    base, met = [f"w{i}" for i in range(90)], 0
+    texts = [base]
+    for _ in range(220):
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 2)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(3000)}"
+        texts.append(w[: rng.randint(50, len(w))] if rng.random() < 0.2 and len(w) > 50 else w)
+    bags = near_dup.elements([" ".join(w) for w in texts])
+    leader, posted = bags[0], []
+    for e in bags:
+        distance, added, gone = near_dup.differences(e, leader)
+        keys = near_dup.posts(np.concatenate([added, gone]), len(e), len(leader), distance <= 0.2 + 1e-9)
+        posted.append((distance <= 0.2 + 1e-9, {int(k) >> 2: int(k) & 3 for k in keys}))
+    for i, a in enumerate(bags):
+        for j in range(i):
+            if near_dup.differences(a, bags[j])[0] <= 0.2 + 1e-9 and not (posted[i][0] and posted[j][0]):
+                shared = [(posted[i][1][k], posted[j][1][k]) for k in posted[i][1].keys() & posted[j][1].keys()]
+                assert any(x != y or x == 2 for x, y in shared)
+                met += 1
+    assert met > 100
+
+
 def test_registers_estimate_weighted_similarity():
     rng = random.Random(7)
     found = []
@@ -136,6 +176,9 @@ def test_band_keys_do_not_depend_on_the_batch(spark):
     alone = near_dup.band_keys(texts[:1])[0]
     for n in (2, 10, 1000):
         assert (near_dup.band_keys(texts[:n])[0] == alone).all()
+    whole = near_dup.signatures(texts[:700])[0]
+    for n in (1, 5, 40):
+        assert (np.concatenate([near_dup.signatures(texts[i : i + n])[0] for i in range(0, 700, n)]) == whole).all()
     # near copies that are signed in batches of different widths
     base = [word() for _ in range(200)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, " ".join([*base[:-1], f"z{i}"])) for i in range(3)]
