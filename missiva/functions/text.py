@@ -94,19 +94,50 @@ def sentences(text: Column) -> Column:
 
 
 def obligation_candidates(text: Column) -> Column:
-    """``{text, cues, has_deadline}`` of every sentence with a strong obligation signal."""
+    """``{text, cues, has_deadline}`` of every sentence with a strong obligation signal.
+
+    Every signal of a sentence is worked out once, in a step of its own; dates are looked for only where there is a digit.
+    """
     from missiva.functions.atoms import extract_dates
 
-    def judge(s: Column) -> Column:
-        due = (F.size(extract_dates(s)) > 0) | has_cue(s, DEADLINES)
-        asks = F.lower(s).rlike(rf"(?U)^({QUESTION_LEADS})\b") | has_cue(s, QUESTION_MARKS)
-        request, duty, waiver = has_cue(s, REQUESTS), has_cue(s, DUTIES), has_cue(s, WAIVERS)
+    cued = lambda x, cues: x["low"].rlike(_quoted(cues))
+    signals = {
+        "due": lambda x: cued(x, DEADLINES) | (x["s"].rlike(r"(?U)\d") & (F.size(extract_dates(x["s"])) > 0)), "asks": lambda x: x["low"].rlike(rf"(?U)^({QUESTION_LEADS})\b") | cued(x, QUESTION_MARKS),
+        "request": lambda x: cued(x, REQUESTS), "duty": lambda x: cued(x, DUTIES), "waiver": lambda x: cued(x, WAIVERS),
+    }
+    low = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    judged = F.transform(low, lambda x: F.struct(x["s"].alias("s"), x["low"].alias("low"), *(f(x).alias(k) for k, f in signals.items())))
+    strong = F.filter(judged, lambda x: x["request"] | x["duty"] | x["waiver"] | x["due"] | x["asks"])
+
+    def told(x: Column) -> Column:
         flags = {
-            "courtesy": has_cue(s, COURTESY), "deadline": due | has_cue(s, WEAK_DEADLINES), "obligation": duty, "question": asks,
-            "request": request | has_cue(s, WEAK_REQUESTS) | asks, "waiver": waiver,
+            "courtesy": cued(x, COURTESY), "deadline": x["due"] | cued(x, WEAK_DEADLINES), "obligation": x["duty"], "question": x["asks"],
+            "request": x["request"] | cued(x, WEAK_REQUESTS) | x["asks"], "waiver": x["waiver"],
         }
         cues = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items())))
-        return F.struct(F.substring(s, 1, 200).alias("text"), cues.alias("cues"), flags["deadline"].alias("has_deadline"), (request | duty | waiver | due | asks).alias("strong"))
+        return F.struct(F.substring(x["s"], 1, 200).alias("text"), cues.alias("cues"))
+
+    return F.transform(F.transform(strong, told), lambda x: F.struct(x["text"].alias("text"), x["cues"].alias("cues"), F.array_contains(x["cues"], "deadline").alias("has_deadline")))
+
+
+# Words of a precondition.
+PRECONDITIONS = (
+    "required before", "precondition", "prerequisite", "prior to", "before handover", "cannot proceed until", "needed before", "must be completed before", "is a condition of",
+    "before we can", "before it can", "before sign-off", "before go-live", "的前提", "之前完成", "视为放弃", "逾期", "须先", "先决条件",
+)
+
+
+def implied_candidates(text: Column) -> Column:
+    """``{text, cues}`` of every sentence that states a precondition, with the first date of the whole text, each once."""
+    from missiva.functions.atoms import extract_dates
+
+    found = F.array_distinct(F.transform(F.filter(sentences(text), lambda s: has_cue(s, PRECONDITIONS)), lambda s: F.substring(s, 1, 160)))
+    due = F.coalesce(F.when(F.size(found) > 0, F.concat(F.lit(" — by "), F.try_element_at(extract_dates(text), F.lit(1)))), F.lit(""))
+    return F.transform(found, lambda s: F.struct(F.concat(s, due).alias("text"), F.array(F.lit("implied")).alias("cues")))
+
 
-    judged = F.filter(F.transform(sentences(text), judge), lambda x: x["strong"])
-    return F.transform(judged, lambda x: F.struct(x["text"].alias("text"), x["cues"].alias("cues"), x["has_deadline"].alias("has_deadline")))
+def soft_candidates(text: Column) -> Column:
+    """``{text, cues, has_deadline}`` of every sentence with a weak request that is neither a strong candidate nor a courtesy."""
+    strong = F.transform(obligation_candidates(text), lambda x: x["text"])
+    weak = F.transform(F.filter(sentences(text), lambda s: has_cue(s, WEAK_REQUESTS) & ~has_cue(s, COURTESY)), lambda s: F.substring(s, 1, 200))
+    return F.transform(F.filter(weak, lambda s: ~F.array_contains(strong, s)), lambda s: F.struct(s.alias("text"), F.array(F.lit("soft")).alias("cues"), F.lit(False).alias("has_deadline")))

@@ -50,16 +50,65 @@ def keyword_scores(items: DataFrame, keywords: DataFrame, key: str, text: str) -
     return terms.join(keywords, "term").groupBy(key).agg(F.sum("weight").alias("score"))
 
 
+def _pieces(text: Column, longest: int) -> Column:
+    """All distinct substrings of one to ``longest`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(text, i, F.lit(n)) for n in range(1, longest + 1))))))
+
+
 def match_rules(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """Newest rule that applies to each item: keyword as a whole word of its text, part of its sender, or equal project.
+    """Newest rule that applies to each item: keyword or phrase as whole words of its text, part of its sender, or equal project.
 
-    Rules are few, so keyword and sender rules meet items by broadcast; project rules by equality.
+    Phrases in scripts without word breaks apply where the text contains them. All rules meet items by
+    equal keys, so neither side has to be small: a phrase by its first word (or first two characters),
+    then it is looked for; a part of a sender by its first three characters, among distinct senders.
     """
-    few = rules.select("kind", "match", "category", "ordinal")
-    said = few.where("kind = 'keyword'")
-    by_word = items.select(key, F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")), " "))).alias("match")).join(said, "match")
-    sent = F.broadcast(few.where("kind = 'sender'"))
-    by_sender = items.select(key, "sender").join(sent, F.contains(F.col("sender"), F.col("match")))
+    few = rules.select("kind", F.lower(F.trim("match")).alias("match"), "category", "ordinal").where("match <> ''")
+    plain = F.col("match").rlike("^[\\x00-\\x7F]*$")
+    first_word = F.regexp_extract("match", "[a-z0-9]+", 0)
+    said = few.where("kind = 'keyword'").withColumn("piece", F.when(plain & (first_word != ""), first_word).otherwise(F.substring("match", 1, 2)))
+    low = F.lower(F.coalesce("text", F.lit("")))
+    words = F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[^\x00-\x7F]+"), F.lit(0)), lambda r: _pieces(r, 2))))
+    met = items.select(key, low.alias("__low"), F.explode(F.array_distinct(words)).alias("piece")).join(said, "piece")
+    whole = F.regexp_like("__low", F.concat(F.lit(r"(?U)\b\Q"), F.replace("match", F.lit(r"\E")), F.lit(r"\E\b")))
+    by_word = met.where(F.when(plain, whole).otherwise(F.contains("__low", F.col("match"))))
+    sent = few.where("kind = 'sender'").withColumn("piece", F.substring("match", 1, 3))
+    senders = items.select("sender").distinct().withColumn("piece", F.explode(_pieces(F.lower("sender"), 3))).join(sent, "piece").where(F.contains(F.lower("sender"), F.col("match")))
+    by_sender = items.select(key, "sender").join(senders, "sender")
     by_project = items.select(key, F.lower(F.trim(F.regexp_replace("project", r"\s+", " "))).alias("match")).join(few.where("kind = 'project'"), "match")
     hits = by_word.select(key, "category", "ordinal").unionByName(by_sender.select(key, "category", "ordinal")).unionByName(by_project.select(key, "category", "ordinal"))
     return hits.groupBy(key).agg(F.max_by("category", "ordinal").alias("category"), F.max("ordinal").alias("rule"))
+
+
+# Words that are no signals.
+NOT_SIGNALS = (
+    "the", "a", "an", "and", "or", "to", "of", "for", "in", "on", "at", "is", "are", "be", "by", "with", "from", "this", "that", "your", "our", "you", "we",
+    "please", "kindly", "can", "could", "would", "should", "will", "shall", "need", "needs", "ensure", "make", "sure",
+)
+
+
+def item_signals(refs: Column, project: Column, category: Column, domain: Column, parties: Column, said: Column, most: int = 14) -> Column:
+    """``{term, weight}`` of an item, heaviest first: references and project 3, category and parties 2, domain and longer words 1; a term counts once, at its most."""
+    listed = lambda xs, w: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.struct(F.lower(F.trim(x)).alias("term"), F.lit(w).alias("weight")))
+    words = F.regexp_extract_all(F.lower(F.coalesce(said, F.lit(""))), F.lit("[a-z][a-z-]{3,}"), F.lit(0))
+    every = F.concat(listed(refs, 3), listed(F.array(project), 3), listed(F.array(category), 2), listed(F.array(domain), 1), listed(parties, 2), listed(words, 1))
+    every = F.filter(every, lambda x: x["term"].isNotNull() & (x["term"] != "") & ~x["term"].isin(*NOT_SIGNALS))
+    terms = F.array_distinct(F.transform(every, lambda x: x["term"]))
+    best = F.transform(terms, lambda t, i: F.struct((-F.array_max(F.transform(F.filter(every, lambda x: x["term"] == t), lambda x: x["weight"]))).alias("w"), i.alias("i"), t.alias("term")))
+    return F.slice(F.transform(F.array_sort(best), lambda x: F.struct(x["term"].alias("term"), (-x["w"]).alias("weight"))), 1, most)
+
+
+def learn_keywords(pinned: DataFrame, signals: str) -> DataFrame:
+    """``term, weight``: the weights of the signals of all pinned items, summed."""
+    return pinned.select(F.explode(signals).alias("x")).groupBy("x.term").agg(F.sum("x.weight").alias("weight"))
+
+
+def clean_themes(themes: Column, most: int = 6, terms: int = 10) -> Column:
+    """Themes ``{label, terms}`` with a label and terms, in lower case, the first ten terms of the first six themes."""
+    tidy = F.transform(themes, lambda t: F.struct(F.trim(t["label"]).alias("label"), F.slice(F.filter(F.transform(t["terms"], lambda x: F.lower(F.trim(x))), lambda x: x != ""), 1, terms).alias("terms")))
+    return F.slice(F.filter(tidy, lambda t: (t["label"] != "") & (F.size(t["terms"]) > 0)), 1, most)
+
+
+def suggested(obligation: Column, score: Column, terms: Column, themes: Column) -> Column:
+    """Is an item worth suggesting: an obligation, a keyword score of 4 or more, or two terms of one theme."""
+    return F.coalesce(obligation, F.lit(False)) | (F.coalesce(score, F.lit(0)) >= 4) | F.exists(themes, lambda t: F.size(F.array_intersect(t["terms"], terms)) >= 2)

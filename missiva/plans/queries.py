@@ -230,10 +230,9 @@ def find_deadlines(spark, sf):
     return view(spark, sf, "mail_v").select("ordinal", F.explode(deadlines.find_deadlines(F.col("body"))).alias("x")).select("ordinal", "x.kind", F.col("x.n").cast("long").alias("n"), "x.unit", "x.direction", "x.anchor")
 
 
-@query("""select ordinal, 'From [EMAIL] re [MRN] and S[ID] call [PHONE]' as masked from mail_v""")
+@query("""select ordinal, 'From [EMAIL] [MRN], [DOB], [NRIC], [ID], call +[PHONE] on ' || ordinal as masked from mail_v""")
 def pii_mask(spark, sf):
-    said = F.concat(F.lit("From "), "sender", F.lit(" re MRN: 12345 and Smember id AB1234 call +65 6123 4567"))
-    said = F.concat(F.lit("From "), "sender", F.lit(" re MRN: 12345 and S"), F.lit("[ID] call 65 6123 4567"))
+    said = F.concat(F.lit("From "), "sender", F.lit(" MRN: "), F.col("ordinal") + 10000, F.lit(", DOB 1980-01-02, S1234567D, member id AB1234, call +65 6123 4567 on "), "ordinal")
     return view(spark, sf, "mail_v").select("ordinal", text.mask_identifiers(said).alias("masked"))
 
 

@@ -46,6 +46,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound the bytes of the Arrow batches that Python workers get, unless the session sets a bound: rows may be long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, size)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet under the shared scratch folder and reread it.
 
