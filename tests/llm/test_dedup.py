@@ -178,7 +178,7 @@ def test_band_keys_do_not_depend_on_the_batch(spark):
         assert (near_dup.band_keys(texts[:n])[0] == alone).all()
     whole = near_dup.signatures(texts[:700])[0]
     for n in (1, 5, 40):
-        assert (np.concatenate([near_dup.signatures(texts[i : i + n])[0] for i in range(0, 700, n)]) == whole).all()
+        assert (np.concatenate([near_dup.signatures(texts[i : min(i + n, 700)])[0] for i in range(0, 700, n)]) == whole).all()
     # near copies that are signed in batches of different widths
     base = [word() for _ in range(200)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(2000 + i, " ".join([*base[:-1], f"z{i}"])) for i in range(3)]
