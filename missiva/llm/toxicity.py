@@ -19,16 +19,17 @@ from pyspark.sql import functions as F
 
 from missiva.llm.quality import held_out
 from missiva.llm.token_count import slices
+from missiva.session import materialize, small_batches
 
 #: Words per window and between windows; sizes of the hashed tables, the embeddings and the states.
 WINDOW, STRIDE = 40, 20
 #: A run of more characters without white space counts as overlapping pieces of so many, each a word; characters between their starts.
 PIECE, PIECE_STEP = 64, 48
 WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 12, 15, 6, 10, 8, 8
-#: The fit: at most so many labelled texts of either kind, none of over FIT_WORDS words (a bounded sample by hash of the id).
+#: The fit: at most so many labelled texts of either kind, chosen by hash of the id; of these the ones of over FIT_WORDS words are left out.
 FIT_POSITIVE, FIT_NEGATIVE, FIT_WORDS = 2000, 2500, 600
 STEPS, TEXTS_A_STEP, RATE, SEED = 330, 40, 0.02, 7
-BATCH_CHARS, BATCH_WINDOWS, REMEMBERED = 3_000_000, 2048, 400_000
+BATCH_CHARS, BATCH_WINDOWS, REMEMBERED = 1_000_000, 2048, 100_000
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_~`^+=/\\"
 
 
@@ -318,8 +319,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic"
         return [], np.zeros(0, dtype=int)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame([tuple(r) for r in chosen], "doc_id long, y int"))  # at most FIT_POSITIVE + FIT_NEGATIVE rows
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.regexp_count("text", F.lit(rf"(?<!\S)\S{{1,{PIECE}}}|\S{{1,{PIECE_STEP}}}")).between(1, FIT_WORDS))
-    rows = few.join(ids, "doc_id").orderBy(first, "doc_id", "text").limit(FIT_POSITIVE + FIT_NEGATIVE).collect()
+    # only the chosen texts are counted: the join is written before the filter, which would be pushed below it
+    few = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id"), "labelled")
+    few = few.where(F.regexp_count("text", F.lit(rf"(?<!\S)\S{{1,{PIECE}}}|\S{{1,{PIECE_STEP}}}")).between(1, FIT_WORDS))
+    rows = few.orderBy(first, "doc_id", "text").limit(FIT_POSITIVE + FIT_NEGATIVE).collect()
     return [r.text for r in rows], np.array([r.y for r in rows], dtype=int)
 
 
@@ -334,10 +337,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     """
     texts, y = training_sample(docs, labels, label_col)
     kinds = {int(k) for k, t in zip(y, texts) if t.split()}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("__text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("keep_text"), *(F.col(c).alias(f"keep_{c}") for c in keep if c != "text"))
     extra = [(c, rows.schema[f"keep_{c}"].dataType.simpleString()) for c in keep]
     if kinds != {0, 1}:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *(F.col(f"keep_{c}") for c in keep))
+    small_batches(docs.sparkSession)
     net = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     key = uuid.uuid4().hex
 
@@ -349,7 +353,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
                 p = scorer(texts[s])
                 part = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *part.columns[3:]],
+                    [part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(part.column(f"keep_{c}") for c in keep)],
                     names=["doc_id", "held_out", "score", "predicted", *(f"keep_{c}" for c in keep)],
                 )
 
