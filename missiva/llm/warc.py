@@ -3,7 +3,7 @@
 Every page becomes three records: request, response (or revisit, where a later page has an equal
 payload), and metadata, tied together by WARC-Concurrent-To. Spark's text writer puts records out as
 gzipped files whose line separator is the empty line pair that ends a WARC record, with a bounded
-number of records per file; the reader opens each file as a whole and walks it by Content-Length, so
+number of records and bytes per file; the reader opens each file as a whole and walks it by Content-Length, so
 that payloads may hold anything, WARC records included.
 """
 
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missiva.session import scratch_dir
+from missiva.session import materialize, scratch_dir
 
-RECORDS_PER_FILE = 6000
+#: Records per file by the largest payload in it, so that a file, which is read as a whole, holds some 240 MB at most (or one payload).
+RECORDS_PER_FILE = ((40_000, 6000), (2_400_000, 100), (1 << 62, 3))
 CRLF = "\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -71,7 +72,9 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     together = F.concat(F.lit("WARC-Concurrent-To: <"), capture, F.lit(">"))
     digest = field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("sha"))))
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
-    request = _record("request", _urn(capture, "request"), [when, target, together, field("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET / HTTP/1.1\r\nHost: "), host, F.lit(CRLF * 2)))
+    asked = F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://[^/?#]*([^#]*)", 1), " ", "%20")
+    path_of = F.when(F.startswith(asked, F.lit("/")), asked).otherwise(F.concat(F.lit("/"), asked))
+    request = _record("request", _urn(capture, "request"), [when, target, together, field("Content-Type", F.lit("application/http; msgtype=request"))], F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(CRLF * 2)))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit(CRLF * 2))
     response = _record("response", capture, [when, target, digest, field("Content-Type", F.lit("application/http; msgtype=response"))], F.concat(http, F.col("html")))
     refers = [
@@ -80,8 +83,17 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     ]
     revisit = _record("revisit", capture, [when, target, digest, *refers, field("Content-Type", F.lit("application/http; msgtype=response"))], http)
     metadata = _record("metadata", _urn(capture, "metadata"), [when, target, together, field("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("pageId: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF)))
-    records = tagged.select(F.explode(F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    parts = F.array(request, F.when(F.col("revisit"), revisit).otherwise(response), metadata)
+    largest = rows.agg(F.max(size)).first()[0] or 0
+    if largest > RECORDS_PER_FILE[0][0]:
+        tagged = materialize(tagged, "tagged")
+    above = -1
+    for most, records in RECORDS_PER_FILE:
+        some = tagged.where((size > above) & (size <= most)) if largest > RECORDS_PER_FILE[0][0] else tagged
+        some.select(F.explode(parts).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        above = most
+        if largest <= above:
+            break
 
 
 RECORD = "record_id string, kind string, target_uri string, concurrent_to string, refers_to string, payload_digest string, page_id long, payload_bytes long, digest_ok boolean"
@@ -150,10 +162,12 @@ def resolve(captures: DataFrame) -> DataFrame:
         "capture_id", F.col("metadata.page_id").alias("page_id"), F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("to"),
         F.col("response.payload_bytes").alias("own_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.target_uri").alias("target_uri"), "times",
     )
-    seen = rows.where("record_type = 'response'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("to_page"), F.col("own_bytes").alias("to_bytes"))
-    return rows.join(seen, "to", "left").select(
-        "page_id", F.coalesce("own_bytes", "to_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("to_page").alias("refers_to"), "target_uri", "capture_id", "times",
-    )
+    responses = rows.where("record_type = 'response' or to is null")
+    seen = responses.select(F.col("capture_id").alias("to"), F.col("page_id").alias("to_page"), F.col("own_bytes").alias("to_bytes"))
+    # only revisits are joined: no null keys
+    found = rows.where("record_type <> 'response' and to is not null").join(seen, "to", "left")
+    out = lambda df, size, page: df.select("page_id", size.alias("payload_bytes"), "payload_digest", "record_type", page.alias("refers_to"), "target_uri", "capture_id", "times")
+    return out(responses, F.col("own_bytes"), F.lit(None).cast("long")).unionAll(out(found, F.coalesce("own_bytes", "to_bytes"), F.col("to_page")))
 
 
 def archive_pages(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
@@ -166,7 +180,7 @@ def archive_pages(pages: DataFrame, *, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, min_bytes=min_bytes)
-    rows = resolve(assemble(read_records(spark, path)))
+    rows = resolve(materialize(assemble(read_records(spark, path)), "captures"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
