@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Reply prefixes, and lines that begin quoted text, close a letter, or are no signature.
 PREFIXES = "re|fwd|fw|aw|sv|antw"
 QUOTE_START = r"(?i)^\s*(>|on\b.*\bwrote:\s*$|from:\s|sent:\s|-{2,}\s*original message|_{5,}|发件人)"
-SIGN_OFF = r"(?i)^\s*(best|kind|warm)?\s*(regards|wishes)|^\s*(thanks|thank you|cheers|sincerely|yours)\b"
+SIGN_OFF = r"(?i)^\s*(?:(?:with |many )?(?:best|kind|warm|warmest)?\s*(?:regards|wishes)|(?:many )?thanks(?: (?:and|&) (?:best |kind )?regards)?|thank you(?: very much)?|cheers|(?:yours )?(?:sincerely|faithfully|truly))\s*[,.!]*\s*$"
 
 
 def clean_subject(subject: Column) -> Column:
@@ -50,7 +50,7 @@ def own_text(body: Column) -> Column:
 
 def signature_zone(body: Column, most: int = 12) -> Column:
     """Non-blank lines after the last sign-off of the own text, else its last ten; at most ``most``."""
-    lines = F.filter(F.transform(F.split(own_text(body), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(own_text(body), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     n = F.size(lines)
     last = n - F.array_position(F.reverse(F.transform(lines, lambda x: x.rlike(SIGN_OFF))), F.lit(True)) + 1
     closed = F.array_contains(F.transform(lines, lambda x: x.rlike(SIGN_OFF)), True)

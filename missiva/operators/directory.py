@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions.names import company_key, domain, near
+from missiva.operators.components import connected_components
 from missiva.session import materialize
 
 
@@ -26,19 +27,85 @@ def firm_consensus(people: DataFrame) -> DataFrame:
 
 
 def near_keys(keys: DataFrame, column: str = "key", block: int = 4, least: int = 6) -> DataFrame:
-    """Pairs of keys that share a block of first characters and differ by at most two edits."""
-    rows = keys.select(F.col(column).alias("a")).where(F.col(column).rlike(f"^[a-z0-9]{{{least},}}$")).distinct().withColumn("block", F.substring("a", 1, block))
-    return rows.join(rows.withColumnRenamed("a", "b"), "block").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    """Pairs of keys that share a block of first characters and differ by at most two edits.
 
+    Two strings at most two edits apart become equal by deleting at most two characters of each, so
+    the keys meet by equal remainders, not by all pairs of a block.
+    """
+    rows = keys.select(F.col(column).alias("a")).where(F.col(column).rlike(f"^[a-z0-9]{{{least},}}$")).distinct()
+    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
+    tail = F.substring("a", block + 1, F.char_length("a"))
+    left = F.array_distinct(F.concat(F.array(tail), fewer(tail), F.flatten(F.transform(fewer(tail), fewer))))
+    posted = rows.select("a", F.explode(left).alias("left")).select("a", F.concat(F.substring("a", 1, block), "left").alias("rest"))
+    pairs = posted.join(posted.withColumnRenamed("a", "b"), "rest").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    return pairs.where(near(F.col("a"), F.col("b")))
 
-def resolve_chains(merges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """``from_key, to_key`` with every chain followed to its end by pointer jumping; members of a cycle stay themselves."""
+
+def company_clusters(votes: DataFrame) -> DataFrame:
+    """``key, canonical, name``: clusters of near-equal company keys; ``votes`` has ``key, name, messages``.
+
+    The canonical key is the one with most messages (ties: the first), the name the one with most
+    messages over the cluster, then the longest. Keys without a near one are their own cluster.
+    """
+    keys = votes.groupBy("key").agg(F.sum("messages").alias("messages"))
+    linked = connected_components(near_keys(keys), "a", "b")
+    placed = keys.join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    canon = placed.groupBy("component").agg(F.min_by("key", F.struct((-F.col("messages")).alias("m"), "key")).alias("canonical"))
+    named = placed.select("key", "component").join(votes, "key").groupBy("component", "name").agg(F.sum("messages").alias("m"))
+    best = named.groupBy("component").agg(F.min_by("name", F.struct((-F.col("m")).alias("m"), (-F.char_length("name")).alias("c"), "name")).alias("name"))
+    return placed.select("key", "component").join(canon, "component").join(best, "component").select("key", "canonical", "name")
+
+
+def company_owners(signatures: DataFrame) -> DataFrame:
+    """``key, domain``: the domains (ties all) from which most people sign as a company; ``signatures`` has ``email, company``."""
+    votes = signatures.select(company_key(F.col("company")).alias("key"), domain(F.col("email")).alias("domain")).where("key <> ''").groupBy("key", "domain").count()
+    most = votes.groupBy("key").agg(F.max("count").alias("count"))
+    return votes.join(most, ["key", "count"]).select("key", "domain")
+
+
+def valid_merges(merges: DataFrame) -> DataFrame:
+    """``merges`` (``from_key, to_key``) that are neither blank nor to themselves nor part of a cycle."""
+    named = merges.where("trim(coalesce(from_key, '')) <> '' and trim(coalesce(to_key, '')) <> '' and from_key <> to_key")
+    cycles = _follow(named).select(F.col("to_key").alias("from_key")).distinct()  # ends of chains are no from_key
+    return named.join(cycles, "from_key", "left_anti")
+
+
+def key_map(people: DataFrame, merges: DataFrame) -> DataFrame:
+    """``email, key``: every address and alias of the directory with its company key, merged keys followed to their ends."""
+    ends = resolve_chains(merges)
+    named = people.select("email", F.explode(F.concat(F.array("email"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("address"), F.col("company_key").alias("from_key"))
+    return named.join(ends, "from_key", "left").select(F.col("address").alias("email"), F.coalesce("to_key", "from_key").alias("key")).distinct()
+
+
+def firm_issues(firms: DataFrame) -> DataFrame:
+    """``name, code, issue`` of firms (``name, code, ordinal``) to look at: odd names, and codes that an earlier firm has."""
+    name = F.col("name")
+    odd = name.rlike(r"(?i)^(?:for|at|with|to|from|by|dear|re|fw|fwd)\b") | name.rlike(r"[\[\]]") | (F.char_length(F.regexp_replace(name, "[^A-Za-z0-9]", "")) < 2) | (company_key(name) == "") | (F.contains(name, F.lit(" ")) & ~name.rlike("[a-z]"))
+    code = F.upper(F.coalesce("code", F.lit("")))
+    again = (code != "") & (F.row_number().over(Window.partitionBy(code).orderBy("ordinal")) > 1)
+    return firms.withColumn("again", again).withColumn("issue", F.explode(F.array_compact(F.array(F.when(odd, "check name"), F.when(F.col("again"), "duplicate code"))))).select("name", "code", "issue")
+
+
+def contact_order(people: DataFrame) -> DataFrame:
+    """People with a company first, then by company and name without case."""
+    company = F.lower(F.coalesce("company", F.lit("")))
+    return people.orderBy(company == "", company, F.lower(F.coalesce("name", F.lit(""))))
+
+
+def _follow(merges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``from_key, to_key`` after at least as many steps as there are merges, by pointer jumping; what is still a from_key then lies on a cycle."""
     if rounds is None:
         rounds = max(1, math.ceil(math.log2(max(2, merges.count()))))
     now = merges.select("from_key", "to_key")
     for _ in range(rounds):
         ahead = now.select(F.col("from_key").alias("to_key"), F.col("to_key").alias("next"))
         now = materialize(now.join(ahead, "to_key", "left").select("from_key", F.coalesce("next", "to_key").alias("to_key")), "chains")
+    return now
+
+
+def resolve_chains(merges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``from_key, to_key`` with every chain followed to its end; what leads to a cycle stays itself."""
+    now = _follow(merges, rounds)
     ends = now.join(merges.select(F.col("from_key").alias("to_key")), "to_key", "left_semi").select("from_key").withColumn("cyclic", F.lit(True))
     return now.join(ends, "from_key", "left").select("from_key", F.when(F.col("cyclic"), F.col("from_key")).otherwise(F.col("to_key")).alias("to_key"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,41 @@ def links_of_messages(links: DataFrame, messages: DataFrame) -> DataFrame:
     by_id = links.where("message_id is not null").join(messages.select("thread", "message_id"), "message_id").select("thread", "link_id")
     by_path = links.where("path is not null").join(messages.select("thread", "path"), "path").select("thread", "link_id")
     return by_id.unionByName(by_path).dropDuplicates()
+
+
+def direct_url(url: Column, provider: Column) -> Column:
+    """Address of a plain download where the provider has one: Dropbox with dl=1 last, a Drive file by its id; null else."""
+    base, fragment = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)$", 1)
+    pairs = F.filter(F.split(F.regexp_extract(base, r"\?(.*)$", 1), "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != "dl"))
+    dropbox = F.concat(F.substring_index(base, "?", 1), F.lit("?"), F.array_join(F.concat(pairs, F.array(F.lit("dl=1"))), "&"), fragment)
+    in_path, in_query = F.regexp_extract(url, r"/d/([A-Za-z0-9_-]{10,})", 1), F.regexp_extract(url, r"[?&]id=([A-Za-z0-9_-]{10,})", 1)
+    file_id = F.coalesce(F.nullif(in_path, F.lit("")), F.nullif(in_query, F.lit("")))
+    return F.when(provider == "Dropbox", dropbox).when(provider == "Google Drive", F.concat(F.lit("https://drive.google.com/uc?export=download&id="), file_id))
+
+
+def status_note(status: Column, provider: Column, url: Column) -> Column:
+    """Why a link has no file, in words; empty where there is nothing to say."""
+    # The notes.
+    document = (provider == "Google Drive") & F.contains(F.coalesce(url, F.lit("")), F.lit("docs.google.com"))
+    return (
+        F.when(status == "needs-auth", "Sign-in required (private link). Open it yourself, or download the file and attach it.")
+        .when((status == "dead") & document, "Google Doc — can't auto-download. Open it signed in and use File > Download, or share it as a file.")
+        .when(status == "dead", "Link returned not-found / expired — the file may have been removed or the URL changed.")
+        .when(status == "error", "Couldn't fetch this link (network or browser error) — it'll be retried next time.")
+        .otherwise("")
+    )
+
+
+def harvest_summary(scanned: DataFrame, links: DataFrame) -> DataFrame:
+    """One row: messages scanned, messages with links, links, and links by provider."""
+    by = links.groupBy("provider").agg(F.count("*").alias("n"))
+    each = by.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "provider", "n"))), "|").alias("by_provider"), F.sum("n").alias("links"))
+    return scanned.agg(F.count("*").alias("scanned")).crossJoin(links.agg(F.count_distinct("message_id").alias("with_links"))).crossJoin(each)  # one row each
+
+
+def fetch_summary(links: DataFrame) -> DataFrame:
+    """One row: links fetched, dead, in need of a sign-in, failed, and remaining (pending or failed), and how the phase went."""
+    n = {s: F.count_if(F.col("status") == s) for s in ("downloaded", "dead", "needs-auth", "error", "pending")}
+    out = links.agg(n["downloaded"].alias("downloaded"), n["dead"].alias("dead"), n["needs-auth"].alias("needs_auth"), n["error"].alias("failed"), (n["pending"] + n["error"]).alias("remaining"), F.count("*").alias("__n"))
+    phase = F.when(F.col("__n") == 0, "skipped").when(F.col("remaining") > 0, F.concat_ws(" ", F.lit("partial:"), F.col("remaining"), F.lit("remaining"))).otherwise("ok")
+    return out.withColumn("phase", phase).drop("__n")

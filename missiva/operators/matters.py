@@ -63,7 +63,7 @@ def match_rules(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     equal keys, so neither side has to be small: a phrase by its first word (or first two characters),
     then it is looked for; a part of a sender by its first three characters, among distinct senders.
     """
-    few = rules.select("kind", F.lower(F.trim("match")).alias("match"), "category", "ordinal").where("match <> ''")
+    few = rules.select("kind", F.lower(F.trim("match")).alias("match"), "category", F.col("ordinal").alias("__rule")).where("match <> ''")
     plain = F.col("match").rlike("^[\\x00-\\x7F]*$")
     first_word = F.regexp_extract("match", "[a-z0-9]+", 0)
     said = few.where("kind = 'keyword'").withColumn("piece", F.when(plain & (first_word != ""), first_word).otherwise(F.substring("match", 1, 2)))
@@ -76,8 +76,8 @@ def match_rules(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     senders = items.select("sender").distinct().withColumn("piece", F.explode(_pieces(F.lower("sender"), 3))).join(sent, "piece").where(F.contains(F.lower("sender"), F.col("match")))
     by_sender = items.select(key, "sender").join(senders, "sender")
     by_project = items.select(key, F.lower(F.trim(F.regexp_replace("project", r"\s+", " "))).alias("match")).join(few.where("kind = 'project'"), "match")
-    hits = by_word.select(key, "category", "ordinal").unionByName(by_sender.select(key, "category", "ordinal")).unionByName(by_project.select(key, "category", "ordinal"))
-    return hits.groupBy(key).agg(F.max_by("category", "ordinal").alias("category"), F.max("ordinal").alias("rule"))
+    hits = by_word.select(key, "category", "__rule").unionByName(by_sender.select(key, "category", "__rule")).unionByName(by_project.select(key, "category", "__rule"))
+    return hits.groupBy(key).agg(F.max_by("category", "__rule").alias("category"), F.max("__rule").alias("rule"))
 
 
 # Words that are no signals.

@@ -117,7 +117,7 @@ def thread_components(spark, sf):
 
 @query(f"""
 select component, count(*) as n, min(sent_day) as start_day, max(sent_day) as end_day, arg_min(message_id, sent_day || lpad(cast(ordinal as string), 12, '0')) as root_id,
-  count(distinct sender) as participants, count(distinct folder) as folders, substr(sha1(string_agg(message_id, '|' order by message_id)), 1, 16) as thread_id
+  count(distinct sender) as participants, count(distinct folder) as folders, substr(sha1(string_agg(message_id, chr(10) order by message_id)), 1, 16) as thread_id
 from (select *, {COMPONENT} as component from mail_v) x group by component""")
 def thread_rollup(spark, sf):
     return threads.thread_rollup(threads.link_threads(view(spark, sf, "mail_v")))
