@@ -43,3 +43,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         parents = step(follow(parents, "component").select("node", "component"), "labels")
         live = step(follow(follow(live, "a"), "b").where("a != b").select("a", "b").distinct(), "edges")
     raise RuntimeError("components did not settle")
+
+
+def extend_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """``labels`` (``node, component``) after further edges: only the components that the edges touch are worked on again.
+
+    The edges are taken between components; their components rename the old ones. New nodes join.
+    The component of a node stays the least node of it.
+    """
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    old = labels.select("node", "component")
+    of = lambda df, c: df.join(old.select(F.col("node").alias(c), F.col("component").alias("__c")), c, "left").withColumn(c, F.coalesce("__c", c)).drop("__c")
+    above = connected_components(of(of(ends, "a"), "b").select("a", "b"), "a", "b")
+    moved = old.join(above.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    fresh = above.join(old.select("node"), "node", "left_anti").join(old.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    return moved.unionByName(fresh.select("node", "component"))

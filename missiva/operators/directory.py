@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missiva.functions.names import company_key, domain, near
+from missiva.functions.names import FREE_MAIL, company_code, company_key, domain, near
 from missiva.operators.components import connected_components
 from missiva.session import materialize
 
@@ -122,3 +123,64 @@ def project_index(records: DataFrame) -> DataFrame:
     by = records.groupBy("project", "category").count()
     order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("category").alias("category"))))
     return by.groupBy("project").agg(F.sum("count").alias("threads"), F.array_join(F.transform(order, lambda x: x["category"]), "|").alias("categories"))
+
+
+def project_contacts(took: DataFrame, people: DataFrame) -> DataFrame:
+    """``project, email, name``: everybody who took part (``project, email``), unknown addresses with an empty name."""
+    known = people.groupBy("email").agg(F.min("name").alias("name"))
+    return took.distinct().join(known, "email", "left").select("project", "email", F.coalesce("name", F.lit("")).alias("name"))
+
+
+def participant_firms(took: DataFrame, people: DataFrame) -> DataFrame:
+    """``took`` with the firm of each address: its own in the directory, else that of its corporate domain; empty if neither is known."""
+    own = people.where("coalesce(company_key, '') <> ''").groupBy("email").agg(F.min("company_key").alias("__own"))
+    hosts = people.where((F.coalesce("company_key", F.lit("")) != "") & ~F.col("domain").isin(*FREE_MAIL)).groupBy("domain").agg(F.min("company_key").alias("__host"))
+    rows = took.withColumn("domain", domain(F.col("email"))).join(own, "email", "left").join(hosts, "domain", "left")
+    return rows.select(*took.columns, F.coalesce("__own", "__host", F.lit("")).alias("firm"))
+
+
+def project_companies(took: DataFrame, people: DataFrame) -> DataFrame:
+    """``project, firm, people``: the firms that worked on each project, and with how many people."""
+    return participant_firms(took.distinct(), people).where("firm <> ''").groupBy("project", "firm").agg(F.count("*").alias("people"))
+
+
+def company_projects(took: DataFrame, people: DataFrame) -> DataFrame:
+    """``firm, project``: the projects that each firm worked on."""
+    return participant_firms(took.distinct(), people).where("firm <> ''").select("firm", "project").distinct()
+
+
+def green_book(people: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``key, name, people, code, unverified`` of every firm: its overridden name, else the most common one that people sign with (then the longest), else its domain, unverified.
+
+    People without a company key are individuals and in no firm. Codes are unique, in order of keys.
+    """
+    rows = people.where("coalesce(company_key, '') <> ''")
+    votes = rows.where("coalesce(company, '') <> ''").groupBy("company_key", "company").agg(F.count("*").alias("n"))
+    agreed = votes.groupBy("company_key").agg(F.min_by("company", F.struct((-F.col("n")).alias("n"), (-F.char_length("company")).alias("c"), "company")).alias("agreed"))
+    firms = rows.groupBy("company_key").agg(F.count("*").alias("people"), F.min("domain").alias("domain")).join(agreed, "company_key", "left")
+    firms = firms.join(overrides.select(F.col("key").alias("company_key"), F.col("name").alias("given")), "company_key", "left")
+    named = firms.select(F.col("company_key").alias("key"), F.coalesce("given", "agreed", "domain").alias("name"), "people", (F.col("given").isNull() & F.col("agreed").isNull()).alias("unverified"))
+    return unique_codes(named.withColumn("code", company_code(F.col("name"))), "code", "key").withColumn("code", F.col("unique_code")).drop("unique_code")
+
+
+def fill_blanks(people: DataFrame, found: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """People with blank fields filled from contacts found elsewhere (``email, ordinal`` and the fields): the first value that is not blank."""
+    first = found.groupBy("email").agg(*(F.min_by(F.when(F.trim(f) != "", F.trim(f)), F.when(F.trim(f) != "", F.col("ordinal"))).alias(f"__{f}") for f in fields))
+    return people.join(first, "email", "left").select(*(F.coalesce(F.nullif(F.col(c), F.lit("")), f"__{c}", F.lit("")).alias(c) if c in fields else F.col(c) for c in people.columns))
+
+
+def duplicate_people(people: DataFrame, most: int = 2) -> DataFrame:
+    """Pairs ``a, b`` of addresses of one name that share the domain with near local parts, or the local part with near domains.
+
+    They meet by name, domain or local part, and equal remainders after at most two deletions.
+    """
+    rows = people.where("trim(coalesce(name, '')) <> ''").select("email", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("who"), F.substring_index("email", "@", 1).alias("local"), domain(F.col("email")).alias("host"))
+    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
+    found = []
+    for same, close in (("host", "local"), ("local", "host")):
+        left = F.array_distinct(F.concat(F.array(close), fewer(F.col(close)), F.flatten(F.transform(fewer(F.col(close)), fewer))))
+        posted = rows.select("email", "who", same, close, F.explode(left).alias("rest"))
+        other = posted.select(F.col("email").alias("b"), "who", same, F.col(close).alias("__close"), "rest")
+        pairs = posted.join(other, ["who", same, "rest"]).where((F.col("email") < F.col("b")) & near(F.col(close), F.col("__close"), most))
+        found.append(pairs.select(F.col("email").alias("a"), "b").distinct())
+    return found[0].unionAll(found[1]).distinct()

@@ -4,28 +4,42 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
-def scan_json_lines(spark: SparkSession, path: str, schema: str, *, strict: bool = False) -> DataFrame:
-    """Rows of JSON-lines files. Tolerant scans skip blank, broken and non-object lines; strict ones raise on them."""
+def _object(line: Column) -> Column:
+    """The line as a JSON object; null if it is anything else."""
+    return F.when(F.startswith(F.trim(line), F.lit("{")), F.try_parse_json(line))
+
+
+def scan_json_lines(spark: SparkSession, path: str, schema: str, *, strict: bool = False, places: bool = False) -> DataFrame:
+    """Rows of JSON-lines files. Tolerant scans skip blank, broken and non-object lines; strict ones raise on them.
+
+    A tolerant scan keeps every object: a field of another type is cast, or null where it cannot be.
+    ``places`` adds ``file_name`` and ``ordinal``, which grows with the line within a file.
+    """
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.where("_bad is null").drop("_bad")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file_name"), F.monotonically_increasing_id().alias("ordinal"))
+    rows = rows.withColumn("__v", _object(F.col("value"))).where("__v is not null")
+    fields = spark.createDataFrame([], schema).schema.fields
+    nested = (ArrayType, MapType, StructType)
+    read = lambda f: F.from_json("value", StructType([f]))[f.name] if isinstance(f.dataType, nested) else F.try_variant_get("__v", f"$['{f.name}']", f.dataType.simpleString())
+    return rows.select(*(read(f).alias(f.name) for f in fields), *(["file_name", "ordinal"] if places else []))
 
 
-def rejected_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines that a tolerant scan skips, as text."""
-    text = spark.read.text(path).where(F.trim("value") != "")
-    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    return text.where(parsed["_bad"].isNotNull() | ~F.startswith(F.trim("value"), F.lit("{"))).select("value")
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that a tolerant scan skips, as text, but for blank ones."""
+    return spark.read.text(path).where((F.trim("value") != "") & _object(F.col("value")).isNull()).select("value")
 
 
 def append(df: DataFrame, path: str) -> None:
-    """Add rows to a log; readers take the last row of a key (see operators.archive.latest)."""
-    df.write.mode("append").parquet(path)
+    """Add rows to a log, with ``ts`` and ``ordinal`` unless they have them; readers take the last row of a key by these (see operators.archive.latest)."""
+    stamped = df if "ts" in df.columns else df.withColumn("ts", F.current_timestamp())
+    stamped = stamped if "ordinal" in df.columns else stamped.withColumn("ordinal", F.monotonically_increasing_id())
+    stamped.write.mode("append").parquet(path)
 
 
 def write_version(df: DataFrame, root: str) -> str:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from missiva.session import scratch_dir
@@ -15,19 +16,19 @@ def stream_once(landing: DataFrame, key: str, store: str, checkpoint: str, then:
     """Append the rows of a streaming DataFrame to the table at ``store``, each key once.
 
     Repeats inside a micro-batch fall to ``dropDuplicates``, later ones to an anti join with what the
-    table holds; each batch is written under its own number, so a batch that is run again after a
+    table holds (only the key column is read); rows without a key all come in; each batch is written under its own number, so a batch that is run again after a
     failure replaces its own output. ``then`` sees the new rows of each batch.
     """
     spark = landing.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates([key])
+        keyless, fresh = batch.where(F.col(key).isNull()), batch.where(F.col(key).isNotNull()).dropDuplicates([key])
         fs = spark._jvm.org.apache.hadoop.fs.Path(store).getFileSystem(spark._jsc.hadoopConfiguration())
         done = [p.getPath() for p in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(store))] if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(store)) else []
         earlier = [p.toString() for p in done if p.getName().startswith("batch=") and p.getName() != f"batch={number}"]
         if earlier:
             fresh = fresh.join(spark.read.schema(batch.schema).parquet(*earlier).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        fresh.unionByName(keyless).write.mode("overwrite").parquet(f"{store}/batch={number}")
         if then:
             then(spark.read.schema(batch.schema).parquet(f"{store}/batch={number}"))
 

@@ -116,3 +116,31 @@ def test_stream_takes_each_key_once(spark):
 def test_materialize_round_trip(spark):
     df = spark.range(5).withColumn("x", F.array(F.lit("a"), F.lit(None)))
     assert sorted(map(tuple, materialize(df, "t").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_messages_without_an_id_stand_alone(spark):
+    from missiva.operators import threads
+
+    rows = [(1, None, None, None), (2, "", None, None), (3, "a", None, ["", None]), (4, "b", None, ["a"]), (5, " ", "b", None), (6, "b", None, None)]
+    mail = spark.createDataFrame(rows, "ordinal long, message_id string, reply_to string, refs array<string>").withColumns({"sent_day": F.lit("1997-01-01"), "sender": F.lit("x"), "subject": F.lit("s"), "folder": F.lit("f"), "has_attach": F.lit(None).cast("boolean")})
+    linked = threads.link_threads(mail, "refs")
+    assert linked.count() == 6 and linked.select("component").distinct().count() == 3
+    members = threads.thread_members(linked)
+    assert sorted(r.n for r in threads.member_rollup(members).collect()) == [1, 1, 3]
+    assert max(len(r.locations) for r in members.collect()) == 2
+
+
+def test_cut_off_json_is_mended():
+    from missiva.operators.records import mend
+
+    assert mend('x {"a": [1, {"b": "c"}, {"d": "e') == '{"a": [1, {"b": "c"}]}' or mend('x {"a": [1, {"b": "c"}, {"d": "e') == '{"a": [1, {"b": "c"}, {}]}'
+    assert mend('{"a": "x, y", "b": 1, "c') == '{"a": "x, y", "b": 1}'
+    assert mend('{"a": "\\"}", "b": [1, 2') is not None and mend("none") is None and mend(None) is None
+
+
+def test_prefixes_of_merges_keep_what_leads_to_a_cycle(spark):
+    from missiva.operators import directory
+
+    rows = [("a", "b"), ("b", "c"), ("c", "b"), ("x", "x"), ("", "y"), ("p", "q"), ("q", None)]
+    got = directory.valid_merges(spark.createDataFrame(rows, "from_key string, to_key string"))
+    assert sorted(map(tuple, got.collect())) == [("a", "b"), ("p", "q")]

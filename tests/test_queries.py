@@ -5,6 +5,7 @@ from duck import connect, rows
 
 import missiva.plans.directory_queries  # noqa: F401
 import missiva.plans.record_queries  # noqa: F401
+import missiva.plans.scope_queries  # noqa: F401
 from missiva.plans.queries import QUERIES, SQL
 
 

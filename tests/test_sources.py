@@ -15,7 +15,11 @@ def test_json_lines(spark, tmp_path):
     path.write_text('{"type": "keyword", "match": "a", "ts": 1}\n\nnot json\n[1]\n{"type": "sender", "extra": 1}\n{"type": \n')
     got = tables.scan_json_lines(spark, str(path), RULES).orderBy("type").collect()
     assert [(r.type, r.match, r.ts) for r in got] == [("keyword", "a", 1.0), ("sender", None, None)]
-    assert tables.rejected_lines(spark, str(path), RULES).count() == 3
+    assert tables.rejected_lines(spark, str(path)).count() == 3
+    odd = tmp_path / "odd.jsonl"
+    odd.write_text('{"id": "a", "size": 1, "tags": ["x"]}\n{"id": "b", "size": "12"}\n{"id": "c", "size": {"n": 1}, "tags": "x"}\n[{"id": "arr"}]\n"text"\n')
+    rows = tables.scan_json_lines(spark, str(odd), "id string, size long, tags array<string>", places=True).orderBy("ordinal").collect()
+    assert [(r.id, r.size, r.tags) for r in rows] == [("a", 1, ["x"]), ("b", 12, None), ("c", None, None)] and rows[0].file_name.endswith("odd.jsonl")
     with pytest.raises(Exception):
         tables.scan_json_lines(spark, str(path), RULES, strict=True).collect()
 
