@@ -138,3 +138,97 @@ def test_toxic_words_are_learned(spark):
     assert len(got) == 402 and sum((r.predicted == 1) == (r.doc_id in bad) for r in unseen) / len(unseen) > 0.9
     assert all(r.predicted == 0 for r in got if r.doc_id in (None, 1000))
     assert {r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_windows_are_scored_as_a_plain_loop_scores_them():
+    net, rng = toxicity.Network(), random.Random(3)
+    net.prior, h = 0.3, toxicity.HIDDEN
+    for k in ("o", "a", "v"):
+        net.p[k] = net.p[k] * 3
+
+    def vector(word):
+        number, grams, size = toxicity.word_features([word])
+        return np.concatenate([net.p["word"][number[0]], net.p["gram"][grams].sum(axis=0) / np.sqrt(size[0])])
+
+    def soft(x):
+        return x / (1 + np.abs(x))
+
+    def states(vectors, k):
+        s, out = np.zeros(h), []
+        for x in vectors:
+            g, u = x @ net.p[f"x{k}"] + net.p[f"b{k}"], s @ net.p[f"h{k}"]
+            r, z = (soft(g[:h] + u[:h]) + 1) / 2, (soft(g[h : 2 * h] + u[h : 2 * h]) + 1) / 2
+            s = z * s + (1 - z) * soft(g[2 * h :] + r * u[2 * h :])
+            out.append(s)
+        return out
+
+    def plain(text):
+        words, best = toxicity.words_of(text), None
+        if not words:
+            return net.prior
+        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            window = words[at : at + toxicity.WINDOW]
+            vectors = [vector(w) for w in window] + [vector("")] * (toxicity.WINDOW - len(window))
+            both = [np.concatenate(p) for p in zip(states(vectors, 0), states(vectors[::-1], 1)[::-1])][: len(window)]
+            weight = np.exp([soft(s @ net.p["a"] + net.p["ab"]) @ net.p["v"] for s in both])
+            logit = sum(w * s for w, s in zip(weight / weight.sum(), both)) @ net.p["o"] + net.p["ob"][0]
+            best = logit if best is None else max(best, logit)
+        return 1 / (1 + np.exp(-best))
+
+    texts = [" ".join(rng.choice(["Aa", "bb,", "ccc", "déjà", "x" * 90]) + str(rng.randrange(30)) for _ in range(n)) for n in (0, 1, 39, 40, 41, 60, 61, 130)]
+    assert toxicity.Scorer(net)(texts) == pytest.approx([plain(t) for t in texts], abs=1e-4)
+
+
+def test_toxicity_awkward(spark):
+    docs = awkward(spark).withColumnRenamed("labels", "predicted").unionByName(spark.createDataFrame([(k, f"plain{k} vile{k % 2}", 0.0, "z") for k in range(6, 40)], DOCS.replace("labels", "predicted")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6, 40)] + [(1, None)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels, keep=("text", "score")).collect()
+    assert len(got) == 40 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and sum(r.doc_id == 1 for r in got) == 2
+    assert {r.keep_text for r in got if r.doc_id in (None, 3)} == {None, ""} and {r.keep_score for r in got if r.doc_id == 3} == {2.0}
+    assert toxicity.score_toxicity(docs.limit(0), labels, keep=("text",)).count() == 0
+
+
+def test_quality_scores_as_plain_numpy_has_them(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta.", "GAMMA", "1234", "x", "#"]) for _ in range(rng.randint(0, 60)))) for i in range(500)]
+    rows += rows[:5] + [(None, "no id at all"), (700, None)]
+    label = {i: int(len(t or "") % 3 == 0) for i, t in rows if i is not None and i % 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = quality.score_quality(docs, spark.createDataFrame(list(label.items()), "doc_id long, quality int"))
+    stats = quality.text_statistics(docs).toPandas()
+    x = stats[list(quality.NAMES)].to_numpy()
+    basis = quality.Basis(x.mean(axis=0), x.std(axis=0))
+    out = lambda i: i is None or i != i or zlib.crc32(str(int(i)).encode()) % 5 == 0
+    held = np.array([out(i) for i in stats.doc_id])
+    y = np.array([label.get(-1 if i != i else int(i), -1) for i in stats.doc_id])
+    known = ~held & (y >= 0)
+    z, fold = basis(x[known]), np.array([zlib.crc32(str(int(i)).encode()) // 5 % quality.FOLDS for i in stats.doc_id[known]])
+
+    def ridge(a, b):
+        return np.linalg.inv(a.T @ a + quality.PENALTY * len(a) * np.eye(a.shape[1])) @ a.T @ b
+
+    raw = np.zeros(len(z))
+    for k in range(quality.FOLDS):
+        raw[fold == k] = z[fold == k] @ ridge(z[fold != k], y[known][fold != k])
+    at = np.clip((raw - quality.LOW) / (quality.HIGH - quality.LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    bins = np.unique(at)
+    n, s = np.array([(at == b).sum() for b in bins]), np.array([y[known][at == b].sum() for b in bins])
+    mean = lambda j, k: s[j : k + 1].sum() / n[j : k + 1].sum()
+    fitted = [max(min(mean(j, k) for k in range(i, len(bins))) for j in range(i + 1)) for i in range(len(bins))]
+    centres = quality.LOW + (bins + 0.5) / quality.BINS * (quality.HIGH - quality.LOW)
+    want = np.clip(np.interp(basis(x) @ ridge(z, y[known]), centres, fitted), 0, 1)
+    key = lambda i: -1 if i is None or i != i else int(i)
+    mine = sorted(((key(i), bool(h), p) for i, h, p in zip(stats.doc_id, held, want)))
+    theirs = sorted((key(r.doc_id), r.held_out, r.score) for r in got.collect())
+    assert [r[:2] for r in mine] == [r[:2] for r in theirs]
+    assert [r[2] for r in theirs] == pytest.approx([r[2] for r in mine], abs=1e-6)
+
+
+def test_random_features_approximate_the_kernel():
+    rng = np.random.default_rng(1)
+    d = len(quality.NAMES)
+    x = rng.normal(size=(60, d))
+    z = quality.Basis(np.zeros(d), np.ones(d))(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * d))
+    assert np.abs(z @ z.T - kernel).mean() < 0.1
