@@ -46,7 +46,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
     """Bound the bytes of the Arrow batches that Python workers get, unless the session sets a bound: rows may be long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") == "67108864b":
