@@ -22,22 +22,23 @@ bucket of near copies is expanded into its pairs, and no link that would join tw
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from missiva.llm.token_count import slices
 from missiva.operators.components import connected_components
-from missiva.session import materialize, sized
+from missiva.session import materialize, sized, small_batches
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Two documents of similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6; of similarity 0.3, they share one with 0.03.
 BANDS, ROWS = 40, 6
 REGISTERS = BANDS * ROWS
-BATCH_CHARS = 1_500_000
+BATCH_BYTES = 500_000
 #: The text of a leader is copied once for each so much company.
 COMPANY = 20_000
 #: The order of differences puts so many of the most common ones of a centre last. An order of any kind gives the same links.
@@ -49,6 +50,17 @@ while CLASSES[-1] < 1 << 33:
 ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
 
+def cuts(column: pa.Array, limit: int) -> Iterator[slice]:
+    """Runs of rows of about ``limit`` bytes of a text column together (a longer text stands alone)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(size):
+        before = size[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield slice(begin, stop)
+        begin = stop
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
     x *= ODD[3]
@@ -210,15 +222,15 @@ def _merge(parts: DataFrame | None, joined: DataFrame, rows: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """``node, class_id, class_key``: the class of each different text, a node being its hash; the key is the least node of the class. See :func:`classes`."""
     far = 1 - similar + 1e-9
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("node", F.xxhash64("text"))
 
     def sign(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for s in slices(texts, BATCH_CHARS):
+            for s in cuts(batch.column(2), BATCH_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(band_keys(texts[s]), pa.list_(pa.int64()))], names=["node", "doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(band_keys(part.column(2).to_pylist()), pa.list_(pa.int64()))], names=["node", "doc_id", "bands"])
 
     signed = rows.select("node", "doc_id", "text").mapInArrow(sign, "node long, doc_id long, bands array<long>")
     nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
@@ -232,15 +244,14 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     def compare(batches):
         names, led, known = ["node", "leader", "linked", "size", "of_leader", "added", "gone"], None, None
         for batch in batches:
-            keys, more, own, others = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
-            for s in slices(own, BATCH_CHARS):
-                rows = []
-                for i, mine in zip(range(s.start, s.stop), elements(own[s])):
+            keys, more, others = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
+            for s in cuts(batch.column(3), BATCH_BYTES):
+                part, rows = batch.slice(s.start, s.stop - s.start), []
+                for i, mine in zip(range(s.start, s.stop), elements(part.column(3).to_pylist())):
                     if led != keys[i]:
                         led, known = keys[i], elements([others[i].as_py()])[0]
                     distance, added, gone = differences(mine, known)
                     rows.append((distance <= far, len(mine), len(known), *((added.view(np.int64), gone.view(np.int64)) if more[i] else (None, None))))
-                part = batch.slice(s.start, s.stop - s.start)
                 kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names=names)
 

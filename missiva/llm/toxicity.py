@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from missiva.llm.quality import held_out
-from missiva.llm.token_count import slices
+from missiva.llm.near_dup import cuts
 from missiva.session import materialize, small_batches
 
 #: Words per window and between windows; sizes of the hashed tables, the embeddings and the states.
@@ -29,7 +29,7 @@ WORDS, GRAM_BITS, WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 1 << 12, 15, 6, 10, 8, 8
 #: The fit: at most so many labelled texts of either kind, chosen by hash of the id; of these the ones of over FIT_WORDS words are left out.
 FIT_POSITIVE, FIT_NEGATIVE, FIT_WORDS = 2000, 2500, 600
 STEPS, TEXTS_A_STEP, RATE, SEED = 330, 40, 0.02, 7
-BATCH_CHARS, BATCH_WINDOWS, REMEMBERED = 1_000_000, 2048, 100_000
+BATCH_BYTES, BATCH_WINDOWS, REMEMBERED = 250_000, 2048, 60_000
 EDGE = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}|*#$%&<>-_~`^+=/\\"
 
 
@@ -348,10 +348,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     def run(batches):
         scorer = _scorer(key, net)
         for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            for s in slices(texts, BATCH_CHARS):
-                p = scorer(texts[s])
+            for s in cuts(batch.column(2), BATCH_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
+                p = scorer([t or "" for t in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *(part.column(f"keep_{c}") for c in keep)],
                     names=["doc_id", "held_out", "score", "predicted", *(f"keep_{c}" for c in keep)],
