@@ -1,5 +1,6 @@
 """Extractors of references, dates, amounts, percentages, addresses and links, as native column expressions.
 
+Patterns of numbers, dates, amounts, links and references, like the tables below, are fixed values: results must agree to the letter.
 Every function maps a string column to an array (or struct of arrays) without Python UDFs. Null text
 gives an empty array. Patterns start with (?U) so that classes cover full-width and CJK characters.
 """

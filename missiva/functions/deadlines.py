@@ -1,4 +1,7 @@
-"""Relative deadlines: finding them in text and resolving them against an anchor date."""
+"""Relative deadlines: finding them in text and resolving them against an anchor date.
+
+The patterns of deadlines, recurrences and colloquial dates are fixed values, like the names of units and weekdays.
+"""
 
 from __future__ import annotations
 

@@ -22,12 +22,20 @@ def header_ids(value: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit("<([^>]+)>"), F.lit(1)), lambda x: F.lower(F.trim(x)))
 
 
+# Named zones of mail dates.
+ZONES = {"GMT": "+0000", "UT": "+0000", "UTC": "+0000", "Z": "+0000", "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700"}
+
+
 def to_utc(date: Column) -> Column:
-    """RFC 2822 date as UTC ISO string; without a zone it is UTC, unreadable ones are null."""
+    """RFC 2822 date as UTC ISO string; seconds may be missing, without a zone it is UTC, unreadable ones are null."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(date, r"^\s*[A-Za-z]{3},\s*", ""), r"\s*\([^)]*\)\s*$", ""))
-    bare = F.regexp_replace(bare, r"\s+(GMT|UT|UTC)$", " +0000")
-    zoned = F.when(bare.rlike(r"[+-]\d{4}$"), bare).otherwise(F.concat(bare, F.lit(" +0000")))
-    return F.date_format(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    parts = r"^(\d{1,2}) +([A-Za-z]{3}) +(\d{4}) +(\d{1,2}):(\d\d)(?::(\d\d))? *([+-]\d{4}|[A-Za-z]{1,4})?$"
+    g = lambda k: F.regexp_extract(bare, parts, k)
+    named = F.create_map(*(F.lit(x) for kv in ZONES.items() for x in kv))
+    zone = F.when(g(7).rlike(r"^[+-]"), g(7)).otherwise(F.coalesce(F.try_element_at(named, F.upper(g(7))), F.lit("+0000")))
+    second = F.when(g(6) == "", "00").otherwise(g(6))
+    at = F.concat(g(1), F.lit(" "), F.initcap(g(2)), F.lit(" "), g(3), F.lit(" "), F.lpad(g(4), 2, "0"), F.lit(":"), g(5), F.lit(":"), second, F.lit(" "), zone)
+    return F.date_format(F.try_to_timestamp(at, F.lit("d MMM yyyy HH:mm:ss Z")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def safe_name(name: Column, most: int = 60) -> Column:

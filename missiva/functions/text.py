@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,13 +57,29 @@ def mask_identifiers(text: Column) -> Column:
     return out
 
 
+def decode_entities(text: Column) -> Column:
+    """Character references decoded once: the named ones of HTML 4 and apos, decimal and hexadecimal ones; a no-break space becomes a blank."""
+    named = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'", "&nbsp;": " "}
+    table = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?=&[#A-Za-z0-9]{2,10};)|(?<=;)")
+
+    def decoded(token: Column) -> Column:
+        number = F.regexp_extract(token, r"(?i)^&#(?:x([0-9a-f]{1,6})|(\d{1,7}));$", 2).try_cast("int")
+        hexadecimal = F.regexp_extract(token, r"(?i)^&#x([0-9a-f]{1,6});$", 1)
+        code = F.coalesce(number, F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int")))
+        usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(~F.startswith(token, F.lit("&")), token).when(usable, F.when(code == 160, " ").otherwise(char)).otherwise(F.coalesce(F.try_element_at(table, token), token))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, decoded), "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: scripts, styles and comments dropped, breaks and block ends as new lines, common entities decoded, blanks squeezed."""
+    """Visible text: scripts, styles and comments dropped, breaks and block ends as new lines, entities decoded, blanks squeezed."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|tr|li|h[1-6]|table|ul|ol|article|section|nav|head|title)\s*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = decode_entities(out)
     out = F.regexp_replace(out, r"[ \t\x0B\f\r]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n ?", "\n"), r"\n{2,}", "\n"), F.lit(" \n"))
 

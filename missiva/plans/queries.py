@@ -284,11 +284,14 @@ def resolve_deadline_months(spark, sf):
     return _resolved(spark, sf, "months")
 
 
-@query("""
-select ordinal, cast(day - greatest(w - 4, 0) + n + 2 * ((least(w, 4) + n) // 5) as string) as due
-from (select ordinal, cast(sent_day as date) as day, cast(ordinal % 30 + 1 as integer) as n, cast(isodow(cast(sent_day as date)) - 1 as integer) as w from mail_v) x""")
+@query(f"""
+with calendar as (select cast(d as date) as d, row_number() over (order by d) as no from range(date '1990-01-01', date '2002-01-01', interval 1 day) t(d)
+  where isodow(d) < 6 and cast(cast(d as date) as string) not in {HOLIDAYS}),
+x as (select ordinal, cast(sent_day as date) as day, cast(ordinal % 30 + 1 as integer) as n from mail_v),
+base as (select x.ordinal, x.n, c.no from x asof join calendar c on x.day >= c.d)
+select base.ordinal, cast(c.d as string) as due from base join calendar c on c.no = base.no + base.n""")
 def resolve_deadline_business(spark, sf):
-    return _resolved(spark, sf, "businessdays")
+    return _resolved(spark, sf, "businessdays", HOLIDAYS)
 
 
 @query("""
@@ -472,12 +475,13 @@ def unique_codes(spark, sf):
 
 
 @query("""
-select email, coalesce(k.p_name, '') as firm from (select 'user' || c_custkey || '@firm' || (c_custkey % 50) || '.example' as email, c_custkey % 50 as d from customer) c
-left join (select p_partkey, p_name from part where p_partkey < 40) k on k.p_partkey = c.d""")
+select 'user' || c_custkey || '@firm' || (c_custkey * 2) || '.example' as email, case when c_custkey % 7 = 0 then 'own' || c_custkey else coalesce(p_name, '') end as firm from customer left join part on p_partkey = c_custkey * 2""")
 def participant_firms(spark, sf):
-    people = table(spark, sf, "customer").select(F.concat(F.lit("user"), "c_custkey", F.lit("@firm"), F.col("c_custkey") % 50, F.lit(".example")).alias("email"))
-    firms = table(spark, sf, "part").where("p_partkey < 40").select(F.concat(F.lit("firm"), "p_partkey", F.lit(".example")).alias("domain"), "p_name")
-    return people.withColumn("domain", names.domain(F.col("email"))).join(firms, "domain", "left").select("email", F.coalesce("p_name", F.lit("")).alias("firm"))
+    address = F.concat(F.lit("user"), "c_custkey", F.lit("@firm"), F.col("c_custkey") * 2, F.lit(".example"))
+    people = table(spark, sf, "customer").select("c_custkey", address.alias("email"))
+    own = people.where("c_custkey % 7 = 0").select("email", F.concat(F.lit("own"), "c_custkey").alias("company_key"), F.lit("").alias("domain"))
+    firms = table(spark, sf, "part").select(F.lit("info").alias("email"), F.col("p_name").alias("company_key"), F.concat(F.lit("firm"), "p_partkey", F.lit(".example")).alias("domain"))
+    return directory.participant_firms(people.select("email"), own.unionAll(firms))
 
 
 @query("""select event_type, sum(value) as tokens, greatest(0, 100000 - sum(value)) as token_left from events group by event_type""")
@@ -490,10 +494,10 @@ def usage_totals(spark, sf):
 
 
 @query("""
-select page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
+select page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
   regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', ' ', 'g'),
     '(?i)<br\\s*/?>|</(p|div|tr|li|h[1-6]|table|ul|ol|article|section|nav|head|title)\\s*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
-  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
+  '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'),
   '[ \\t\\v\\f\\r]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{2,}', chr(10), 'g'), ' ' || chr(10)) as body from pages""")
 def html_to_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("body"))

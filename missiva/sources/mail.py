@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import email
 import re
-from datetime import timezone
 from email import policy
 from email.parser import BytesHeaderParser
-from email.utils import getaddresses, parsedate_to_datetime
+from email.utils import getaddresses
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from missiva.functions.mail import to_utc
 from missiva.schemas import BODIES, HEADERS
 
 
@@ -20,35 +20,34 @@ def _ids(value) -> list[str]:
     return [x.strip("<> \t").lower() for x in re.findall(r"<[^>]+>", str(value or ""))]
 
 
-def _utc(value) -> str | None:
-    try:
-        at = parsedate_to_datetime(str(value))
-    except (TypeError, ValueError):
-        return None
-    at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at.astimezone(timezone.utc)
-    return at.strftime("%Y-%m-%dT%H:%M:%SZ")
-
-
 def _header_row(path: str, raw: bytes) -> dict:
     m = BytesHeaderParser(policy=policy.default).parsebytes(raw)
     said = {k: str(m.get(k, "") or "") for k in ("From", "To", "Subject", "Content-Type")}
     addresses = [a.strip().lower() for _, a in getaddresses([said["From"], said["To"]]) if "@" in a]
     return {
-        "path": path, "mid": (_ids(m.get("Message-ID")) or [""])[0], "date": _utc(m.get("Date")), "from": said["From"], "to": said["To"], "subject": said["Subject"],
+        "path": path, "mid": (_ids(m.get("Message-ID")) or [""])[0], "date": str(m.get("Date", "") or ""), "from": said["From"], "to": said["To"], "subject": said["Subject"],
         "refs": _ids(m.get("In-Reply-To")) + _ids(m.get("References")), "addrs": list(dict.fromkeys(addresses)), "attach": "multipart/mixed" in said["Content-Type"].lower(),
     }
 
 
+def _is_attachment(part, shown: set[str]) -> bool:
+    """A file, and no image that stands in the text: by its disposition, else by a content id that the body shows, else by a file name."""
+    said, image = part.get_content_disposition(), part.get_content_maintype() == "image"
+    if said is not None:
+        return said == "attachment" or not image
+    cid = str(part.get("Content-ID", "") or "").strip("<> ")
+    return cid not in shown if cid and image else bool(part.get_filename())
+
+
 def _body_row(path: str, raw: bytes) -> dict:
     m = email.message_from_bytes(raw, policy=policy.default)
     part = m.get_body(preferencelist=("html", "plain"))
     body = "" if part is None else part.get_content()
     is_html = part is not None and part.get_content_subtype() == "html"
-    shown = set(re.findall(r"cid:([^\s\"'>)]+)", body, re.I))
+    shown = {c.strip("<> ") for c in re.findall(r"cid:([^\s\"'>)]+)", body, re.I)} if is_html else set()
     found = []
-    for p in m.walk():
-        cid = str(p.get("Content-ID", "") or "").strip("<> ")
-        if p.is_multipart() or p is part or not (p.get_filename() or p.get_content_disposition() == "attachment") or cid and cid in shown:
+    for p in m.iter_attachments():
+        if not _is_attachment(p, shown):
             continue
         data = p.get_payload(decode=True) or b""
         found.append({"position": len(found), "name": p.get_filename() or "attachment", "size": len(data), "is_image": p.get_content_maintype() == "image"})
@@ -60,19 +59,30 @@ def message_files(spark: SparkSession, path: str, pattern: str = "*.eml") -> Dat
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
 
+def unreadable(files: DataFrame, parsed: DataFrame) -> DataFrame:
+    """The files that a projection left out."""
+    return files.select("path").join(parsed.select("path"), "path", "left_anti")
+
+
 def _project(files: DataFrame, row, schema: str) -> DataFrame:
     columns = [f.strip("`") for f in re.findall(r"(?:^|, )(`?\w+`?) ", re.sub(r"<.*?>(?=,|$)", "", schema))]
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame([row(p, c) for p, c in zip(frame["path"], frame["content"])], columns=columns)
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows.append(row(path, content))
+                except (LookupError, ValueError, TypeError, AttributeError):  # an unknown charset, a broken header: the file is left out
+                    continue
+            yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """The headers that threading needs, one row per file; unreadable dates are null."""
-    return _project(files, _header_row, HEADERS)
+    """The headers that threading needs, one row per readable file; unreadable dates are null."""
+    return _project(files, _header_row, HEADERS).withColumn("date", to_utc(F.col("date")))
 
 
 def bodies(files: DataFrame) -> DataFrame:

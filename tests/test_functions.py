@@ -87,3 +87,16 @@ def test_names(one):
     assert one(names.company_key, "A&B Foundation (SG) Pte. Ltd", "Mega Company Limited", "Pte Ltd", None) == ["a&bfoundation", "mega", "", ""]
     assert one(names.company_code, "Mega Build Pte Ltd", "Tower", "") == ["MB", "TOWE", ""]
     assert one(names.is_automated, "no-reply@x.com", "jo@gmail.com", "a@mail.x.com", "b@u.mailchimp.com", "ann@firm.com") == [True, False, True, True, False]
+
+
+def test_entities_dates_and_signatures(spark):
+    from missiva.functions import mail
+    from missiva.functions import text as words
+
+    said = "a&#8217;s &eacute;t&eacute; &#x1F600; &amp;lt; &nope; &nbsp;b &copy;2024; x &#55296;"
+    dates = ["Mon, 2 Jan 2023 10:00 +0800", "2 Jan 2023 10:00:05 EST", "02 jan 2023 9:00 (x)", "someday"]
+    got = spark.createDataFrame([(said, d) for d in dates], "t string, d string").select(words.decode_entities(F.col("t")).alias("t"), mail.to_utc(F.col("d")).alias("d")).collect()
+    assert got[0].t == "a\u2019s \u00e9t\u00e9 \U0001f600 &lt; &nope;  b \u00a92024; x &#55296;"
+    assert [r.d for r in got] == ["2023-01-02T02:00:00Z", "2023-01-02T15:00:05Z", "2023-01-02T09:00:00Z", None]
+    body = "Thanks for the file, see below.\nMore text\nKind regards,\n 12 Ann Tan 12 \nAcme"
+    assert spark.createDataFrame([(body,)], "b string").select(mail.signature_zone(F.col("b")).alias("z")).first().z == ["12 Ann Tan 12", "Acme"]

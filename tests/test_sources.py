@@ -45,7 +45,7 @@ def test_mail_files(spark, tmp_path):
     b = EmailMessage()
     b["From"], b["Date"] = "c@z.net", "no date"
     b.set_content("<p>hi <img src='cid:pic1'></p>", subtype="html")
-    b.add_related(b"img", "image", "png", cid="<pic1>", filename="pic.png")
+    b.add_related(b"img", "image", "png", cid="<pic1>", filename="pic.png", disposition="inline")
     for name, m in (("a", a), ("b", b)):
         (tmp_path / f"{name}.eml").write_bytes(m.as_bytes())
     files = mail.message_files(spark, str(tmp_path))
