@@ -39,13 +39,14 @@ def reconcile(index: DataFrame, disk: DataFrame, most: int = 50) -> DataFrame:
     """Per folder: indexed and present files, missing and orphaned ones, with up to ``most`` names of each."""
     both = index.select("folder", "path", F.lit(1).alias("i")).join(disk.select("folder", "path", F.lit(1).alias("d")), ["folder", "path"], "full_outer")
     missing, orphan = F.col("d").isNull(), F.col("i").isNull()
-    few = Window.partitionBy("folder", missing, orphan).orderBy("path")
-    both = both.withColumn("k", F.row_number().over(few))
-    name = lambda flag: F.array_sort(F.collect_list(F.when(flag & (F.col("k") <= most), F.col("path"))))
-    return both.groupBy("folder").agg(
-        F.count("i").alias("indexed"), F.count("d").alias("on_disk"), F.count_if(missing).alias("n_missing"), F.count_if(orphan).alias("n_orphans"),
-        name(missing).alias("missing"), name(orphan).alias("orphans"),
-    ).withColumn("ok", (F.col("n_missing") == 0) & (F.col("n_orphans") == 0))
+    counts = both.groupBy("folder").agg(F.count("i").alias("indexed"), F.count("d").alias("on_disk"), F.count_if(missing).alias("n_missing"), F.count_if(orphan).alias("n_orphans"))
+    # only files without a partner are ranked
+    odd = both.where(missing | orphan).select("folder", "path", missing.alias("gone"))
+    odd = odd.withColumn("k", F.row_number().over(Window.partitionBy("folder", "gone").orderBy("path"))).where(F.col("k") <= most)
+    name = lambda flag: F.array_sort(F.collect_list(F.when(flag, F.col("path"))))
+    named = odd.groupBy("folder").agg(name(F.col("gone")).alias("missing"), name(~F.col("gone")).alias("orphans"))
+    none, ok = F.array().cast("array<string>"), (F.col("n_missing") == 0) & (F.col("n_orphans") == 0)
+    return counts.join(named, "folder", "left").select("folder", "indexed", "on_disk", "n_missing", "n_orphans", F.coalesce("missing", none).alias("missing"), F.coalesce("orphans", none).alias("orphans"), ok.alias("ok"))
 
 
 def admit(df: DataFrame, group: Sequence[str], order: Sequence[str], cost: str, budget: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from missiva.functions.atoms import extract_atoms
 from missiva.operators.archive import coverage, latest
 
 
@@ -187,3 +188,44 @@ def display_date(iso: Column) -> Column:
     """A date as 02 Jan 2024; what is no date stays as it is."""
     day = F.substring(iso, 1, 10).try_cast("date")
     return F.coalesce(F.date_format(day, "dd MMM yyyy"), iso)
+
+
+def fact_tags(facts: Column, tags: Column) -> Column:
+    """The facts of a record as an item shows them: references, amounts as currency and value, percentages, facet tags."""
+    none = F.array().cast("array<string>")
+    amounts = F.transform(facts["amounts"], lambda a: F.trim(F.concat_ws(" ", a["currency"], a["value"])))
+    return F.struct(F.coalesce(facts["refs"], none).alias("refs"), F.coalesce(amounts, none).alias("amounts"), F.coalesce(facts["percents"], none).alias("percents"), F.coalesce(tags, none).alias("facet_tags"))
+
+
+def gold_candidates(threads: DataFrame, text: str, version: int = 1) -> DataFrame:
+    """``thread_id, confirmed, gold_version, atoms``: what the rules find in a thread's text, to be confirmed by hand."""
+    return threads.select("thread_id", F.lit(False).alias("confirmed"), F.lit(version).alias("gold_version"), extract_atoms(F.col(text)).alias("atoms"))
+
+
+def preferences(events: DataFrame) -> DataFrame:
+    """``key, kind, value``: the last value of each preference (``key, kind, value, ts``), cleaned.
+
+    Codes are upper case and of at most 8 characters, names of 80, descriptions of 240; importance is
+    high, normal or clear, anything else normal. Blank values clear a preference.
+    """
+    value, kind = F.trim(F.coalesce("value", F.lit(""))), F.col("kind")
+    clean = (
+        F.when(kind == "code", F.upper(F.substring(value, 1, 8))).when(kind == "name", F.substring(value, 1, 80)).when(kind == "description", F.substring(value, 1, 240))
+        .when(kind == "importance", F.when(value.isin("high", "normal", "clear"), value).otherwise("normal")).otherwise(value)
+    )
+    return latest(events.withColumn("value", clean), ["key", "kind"], "ts").where("value <> ''").select("key", "kind", "value")
+
+
+def effective_taxonomy(given: DataFrame, safety_net: str) -> DataFrame:
+    """``domain, category, safety_net`` of a profile (``domain, category, ordinal``): blank names go, names that differ by case only count once, as first written; the safety net is marked, or the last category stands in for it."""
+    rows = given.where("trim(coalesce(domain, '')) <> '' and trim(coalesce(category, '')) <> ''").withColumns({"domain": F.trim("domain"), "category": F.trim("category")})
+    first = rows.groupBy(F.lower("domain").alias("d"), F.lower("category").alias("c")).agg(F.min_by("category", "ordinal").alias("category"), F.min("ordinal").alias("ordinal"))
+    spelled = rows.groupBy(F.lower("domain").alias("d")).agg(F.min_by("domain", "ordinal").alias("domain"))
+    ends = first.agg(F.max(F.when(F.col("c") == safety_net.lower(), F.col("ordinal"))).alias("named"), F.max("ordinal").alias("last"))
+    marked = first.join(spelled, "d").crossJoin(F.broadcast(ends))  # one row
+    return marked.select("domain", "category", (F.col("ordinal") == F.coalesce("named", "last")).alias("safety_net"))
+
+
+def rebuild_report(people: DataFrame) -> DataFrame:
+    """One row about a directory (``email, company_key, aliases``): people, firms, addresses folded into others."""
+    return people.agg(F.count("*").alias("people"), F.count_distinct(F.nullif("company_key", F.lit(""))).alias("firms"), F.sum(F.greatest(F.lit(0), F.size(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("folded"))

@@ -211,3 +211,43 @@ def enriched_contacts(spark, sf):
 def duplicate_people(spark, sf):
     person = lambda tail: table(spark, sf, "customer").select(F.concat(F.lit("anna"), "c_custkey", F.lit(tail)).alias("email"), F.concat(F.lit("Anna "), "c_custkey").alias("name"))
     return directory.duplicate_people(person("@firm.example").unionAll(person("x@firm.example")).unionAll(person("@elsewhere.example")))
+
+
+@query("""select l_orderkey, l_linenumber, 'PO-' || l_partkey as refs, 'USD ' || l_suppkey || '|' || l_suppkey as amounts, 0 as percents, 'Phase: Design' as facet_tags from lineitem""")
+def fact_tags(spark, sf):
+    amount = lambda c: F.struct(c.alias("currency"), F.col("l_suppkey").cast("string").alias("value"))
+    facts = F.struct(F.array(F.concat(F.lit("PO-"), "l_partkey")).alias("refs"), F.array(amount(F.lit("USD")), amount(F.lit(""))).alias("amounts"), F.lit(None).cast("array<string>").alias("percents"))
+    got = scope.fact_tags(facts, F.array(F.lit("Phase: Design")))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(got["refs"], "|").alias("refs"), F.array_join(got["amounts"], "|").alias("amounts"), F.size(got["percents"]).alias("percents"), F.array_join(got["facet_tags"], "|").alias("facet_tags"))
+
+
+@query("""select ordinal as thread_id, false as confirmed, 3 as gold_version, 'PO-' || ordinal as refs, sent_day as dates from mail_v""")
+def gold_candidates(spark, sf):
+    got = scope.gold_candidates(view(spark, sf, "mail_v").withColumnRenamed("ordinal", "thread_id"), "body", 3)
+    return got.select("thread_id", "confirmed", "gold_version", F.array_join("atoms.refs", "|").alias("refs"), F.array_join("atoms.dates", "|").alias("dates"))
+
+
+@query("""
+select 'c' || c_custkey as key, kind, value from (select c_custkey, 'code' as kind, upper(substr('ab' || c_custkey || '-longer-code', 1, 8)) as value from customer
+  union all select c_custkey, 'importance', case when c_custkey % 2 = 0 then 'high' else 'normal' end from customer union all select c_custkey, 'pin', 'on' from customer where c_custkey % 3 <> 0) x""")
+def preferences(spark, sf):
+    rows = table(spark, sf, "customer")
+    event = lambda kind, value, ts: rows.select(F.concat(F.lit("c"), "c_custkey").alias("key"), F.lit(kind).alias("kind"), value.alias("value"), F.lit(ts).alias("ts"))
+    events = event("code", F.lit("old"), 1).unionAll(event("code", F.concat(F.lit(" ab"), "c_custkey", F.lit("-longer-code")), 2)).unionAll(event("importance", F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("urgent"), 1))
+    return scope.preferences(events.unionAll(event("pin", F.lit("on"), 1)).unionAll(event("pin", F.when(F.col("c_custkey") % 3 == 0, " ").otherwise("on"), 2)))
+
+
+@query("""select p_brand as domain, 'Type ' || k as category, p_brand = first_brand and k = 3 as safety_net from (select distinct p_brand from part) b cross join (select unnest([1, 2, 3]) as k) x cross join (select max(p_brand) as first_brand from part) f""")
+def effective_taxonomy(spark, sf):
+    brands = table(spark, sf, "part").select("p_brand").distinct().withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    rank = F.concat("p_brand", F.col("k").cast("string"))
+    rows = brands.select(F.concat(F.lit(" "), "p_brand").alias("domain"), F.concat(F.lit("Type "), "k").alias("category"), rank.alias("ordinal"))
+    again = brands.select(F.upper("p_brand").alias("domain"), F.concat(F.lit("TYPE "), "k").alias("category"), F.concat(F.lit("~"), rank).alias("ordinal"))
+    odd = brands.select(F.lit(" ").alias("domain"), F.lit("x").alias("category"), F.lit("~~").alias("ordinal"))
+    return scope.effective_taxonomy(rows.unionAll(again).unionAll(odd), "none such")
+
+
+@query("""select count(*) as people, 7 as firms, sum(case when c_custkey % 2 = 0 then 2 else 0 end) as folded from customer""")
+def rebuild_report(spark, sf):
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("email"), F.when(F.col("c_custkey") % 8 == 0, "").otherwise(F.concat(F.lit("f"), F.col("c_custkey") % 8)).alias("company_key"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("aliases"))
+    return scope.rebuild_report(rows)
