@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from missiva.session import materialize
 
 BUCKET = 2000
+#: Target weights of the registered query, by level; names that are not given weigh 1.
+TARGETS = {"domain": {"domain0": 3, "domain1": 2}, "lang": {"en": 4, "de": 2}, "source": {"src0": 3, "src7": 2}}
 LEAF = ("domain", "lang", "source")
 
 
@@ -73,13 +75,13 @@ def mix_sources(
     Tokens are words (runs of characters other than ASCII white space). The budget is ``percent`` of
     all tokens; ``weights`` maps a level to the weights of its names (1 where none is given). No leaf
     is taken more than ``epochs`` times over. The last document of a leaf may overrun its budget.
-    Null languages and sources count as names of their own (empty text); null texts have no tokens
+    Null domains, languages and sources count as names of their own (empty text); null texts have no tokens
     and are taken with any prefix that reaches their place; null ids are ordered like an empty id.
     Repeated rows are taken one by one. Other columns are ignored. An empty table gives an empty
     result.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"))
-    rows = materialize(named.withColumn("domain", default_domain() if domain is None else domain).select("doc_id", *LEAF, "n_tokens"), "mix")
+    rows = materialize(named.withColumn("domain", F.coalesce(default_domain() if domain is None else domain, F.lit(""))).select("doc_id", *LEAF, "n_tokens"), "mix")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     budgets = leaf_budgets(leaves, percent, epochs, weights or {})
     plan = materialize(
@@ -121,23 +123,23 @@ with rows as (
   from documents),
 leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens from rows group by 1, 2, 3),
 total as (select cast(floor(sum(tokens) * 60 / 100) as bigint) as budget from leaves),
-d0 as (select domain, cast(sum(tokens * 2) as bigint) as capacity from leaves group by 1),
-d1 as (select d0.*, budget, row_number() over (order by cast(capacity as double), domain) as k from d0, total),
-d2 as (select *, count(*) over (order by k desc) as w_left, coalesce(sum(capacity) over (order by k rows between unbounded preceding and 1 preceding), 0) as taken from d1),
-d3 as (select *, capacity * w_left <= budget - taken as is_full from d2),
-d4 as (select *, budget - sum(case when is_full then capacity else 0 end) over () as open_budget, sum(case when is_full then 0 else 1 end) over () as open_weight from d3),
-d as (select domain, cast(case when is_full then capacity else open_budget // open_weight end as bigint) as budget from d4),
-l0 as (select domain, lang, cast(sum(tokens * 2) as bigint) as capacity from leaves group by 1, 2),
-l1 as (select l0.*, budget, row_number() over (partition by domain order by cast(capacity as double), lang) as k from l0 join d using (domain)),
-l2 as (select *, count(*) over (partition by domain order by k desc) as w_left, coalesce(sum(capacity) over (partition by domain order by k rows between unbounded preceding and 1 preceding), 0) as taken from l1),
-l3 as (select *, capacity * w_left <= budget - taken as is_full from l2),
-l4 as (select *, budget - sum(case when is_full then capacity else 0 end) over (partition by domain) as open_budget, sum(case when is_full then 0 else 1 end) over (partition by domain) as open_weight from l3),
-l as (select domain, lang, cast(case when is_full then capacity else open_budget // open_weight end as bigint) as budget from l4),
-s1 as (select leaves.*, tokens * 2 as capacity, budget, row_number() over (partition by domain, lang order by cast(tokens * 2 as double), source) as k from leaves join l using (domain, lang)),
-s2 as (select *, count(*) over (partition by domain, lang order by k desc) as w_left, coalesce(sum(capacity) over (partition by domain, lang order by k rows between unbounded preceding and 1 preceding), 0) as taken from s1),
-s3 as (select *, capacity * w_left <= budget - taken as is_full from s2),
-s4 as (select *, budget - sum(case when is_full then capacity else 0 end) over (partition by domain, lang) as open_budget, sum(case when is_full then 0 else 1 end) over (partition by domain, lang) as open_weight from s3),
-s as (select domain, lang, source, tokens, cast(case when is_full then capacity else open_budget // open_weight end as bigint) as granted from s4),
+d0 as (select domain, case domain when 'domain0' then 3 when 'domain1' then 2 else 1 end as w, cast(sum(tokens * 2) as bigint) as capacity from leaves group by 1),
+d1 as (select d0.*, budget, row_number() over (order by cast(capacity as double) / w, domain) as k from d0, total),
+d2 as (select *, sum(w) over (order by k desc) as w_left, coalesce(sum(capacity) over (order by k rows between unbounded preceding and 1 preceding), 0) as taken from d1),
+d3 as (select *, capacity * w_left <= w * (budget - taken) as is_full from d2),
+d4 as (select *, budget - sum(case when is_full then capacity else 0 end) over () as open_budget, sum(case when is_full then 0 else w end) over () as open_weight from d3),
+d as (select domain, cast(case when is_full then capacity else open_budget * w // open_weight end as bigint) as budget from d4),
+l0 as (select domain, lang, case lang when 'en' then 4 when 'de' then 2 else 1 end as w, cast(sum(tokens * 2) as bigint) as capacity from leaves group by 1, 2),
+l1 as (select l0.*, budget, row_number() over (partition by domain order by cast(capacity as double) / w, lang) as k from l0 join d using (domain)),
+l2 as (select *, sum(w) over (partition by domain order by k desc) as w_left, coalesce(sum(capacity) over (partition by domain order by k rows between unbounded preceding and 1 preceding), 0) as taken from l1),
+l3 as (select *, capacity * w_left <= w * (budget - taken) as is_full from l2),
+l4 as (select *, budget - sum(case when is_full then capacity else 0 end) over (partition by domain) as open_budget, sum(case when is_full then 0 else w end) over (partition by domain) as open_weight from l3),
+l as (select domain, lang, cast(case when is_full then capacity else open_budget * w // open_weight end as bigint) as budget from l4),
+s1 as (select leaves.*, case source when 'src0' then 3 when 'src7' then 2 else 1 end as w, tokens * 2 as capacity, budget, row_number() over (partition by domain, lang order by cast(tokens * 2 as double) / (case source when 'src0' then 3 when 'src7' then 2 else 1 end), source) as k from leaves join l using (domain, lang)),
+s2 as (select *, sum(w) over (partition by domain, lang order by k desc) as w_left, coalesce(sum(capacity) over (partition by domain, lang order by k rows between unbounded preceding and 1 preceding), 0) as taken from s1),
+s3 as (select *, capacity * w_left <= w * (budget - taken) as is_full from s2),
+s4 as (select *, budget - sum(case when is_full then capacity else 0 end) over (partition by domain, lang) as open_budget, sum(case when is_full then 0 else w end) over (partition by domain, lang) as open_weight from s3),
+s as (select domain, lang, source, tokens, cast(case when is_full then capacity else open_budget * w // open_weight end as bigint) as granted from s4),
 plan as (select domain, lang, source, case when tokens > 0 then granted // tokens else 2 end as whole, case when tokens > 0 then granted % tokens else 0 end as rest from s),
 placed as (select rows.*, whole, rest, md5('17-' || cast(whole + 1 as varchar) || '-' || coalesce(cast(doc_id as varchar), '')) as digest from rows join plan using (domain, lang, source)),
 taken as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by digest, doc_id, n_tokens rows between unbounded preceding and 1 preceding), 0) as ahead from placed)

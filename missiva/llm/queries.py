@@ -41,7 +41,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=mixing.TARGETS)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
