@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from missiva.llm import bpe_codec, mixing, near_dup, permutation_index, quality, repetition, suffix_dedup, token_count, toxicity, warc
+from missiva.llm import bpe_codec, mixing, near_dup, packing, periodic, permutation_index, quality, repetition, spelling, suffix_dedup, token_count, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,18 @@ def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup, op5_mixing, op9_warc, op6_permutation_index)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True, keep=())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_quality_rules, op4_bpe_codec, op7_toxicity, op8_suffix_dedup, op10_near_dup, op5_mixing, op9_warc, op6_permutation_index, op11_packing, op12_spelling_variants, op13_periodic_runs)}
 
 SQL: dict[str, str] = {"op3_quality_rules": repetition.SQL, "op5_mixing": mixing.SQL, "op9_warc": warc.SQL}
