@@ -20,7 +20,8 @@ def _ids(value) -> list[str]:
     return [x.strip("<> \t").lower() for x in re.findall(r"<[^>]+>", str(value or ""))]
 
 
-def _header_row(path: str, raw: bytes) -> dict:
+def header_row(path: str, raw: bytes) -> dict:
+    """The headers of one message as they are written, but for ids and addresses."""
     m = BytesHeaderParser(policy=policy.default).parsebytes(raw)
     said = {k: str(m.get(k, "") or "") for k in ("From", "To", "Subject", "Content-Type")}
     addresses = [a.strip().lower() for _, a in getaddresses([said["From"], said["To"]]) if "@" in a]
@@ -82,7 +83,7 @@ def _project(files: DataFrame, row, schema: str) -> DataFrame:
 
 def headers(files: DataFrame) -> DataFrame:
     """The headers that threading needs, one row per readable file; unreadable dates are null."""
-    return _project(files, _header_row, HEADERS).withColumn("date", to_utc(F.col("date")))
+    return _project(files, header_row, HEADERS).withColumn("date", to_utc(F.col("date")))
 
 
 def bodies(files: DataFrame) -> DataFrame:

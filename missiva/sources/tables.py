@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from missiva.sources.manifest import add_entry, last_entry
+
 
 def _object(line: Column) -> Column:
     """The line as a JSON object; null if it is anything else."""
@@ -42,19 +45,50 @@ def append(df: DataFrame, path: str) -> None:
     stamped.write.mode("append").parquet(path)
 
 
-def write_version(df: DataFrame, root: str) -> str:
-    """Write a whole new version beside the old ones and name it as current in a pointer table."""
+class Outdated(RuntimeError):
+    """Another writer has named a newer version meanwhile."""
+
+
+def write_version(df: DataFrame, root: str, based_on: int | None = None) -> str:
+    """Write a whole new version beside the old ones and name it as the current one.
+
+    With ``based_on``, the number of the version that ``df`` was made from (see :func:`version_number`),
+    a newer version of another writer raises :class:`Outdated`; without, the version comes after it.
+    Old versions stay for their readers.
+    """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{root}/{version}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).withColumn("ts", F.current_timestamp()).write.mode("append").parquet(f"{root}/_pointer")
-    return f"{root}/{version}"
+    while True:
+        number, _ = last_entry(spark, root)
+        if based_on is not None and number != based_on:
+            raise Outdated(f"{root}: version {number} came after {based_on}")
+        if add_entry(spark, root, number + 1, {"version": version}):
+            return f"{root}/{version}"
+
+
+def version_number(spark: SparkSession, root: str) -> int:
+    """Number of the current version; 0 where there is none."""
+    return last_entry(spark, root)[0]
 
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
-    """The version that was named last."""
-    version = spark.read.parquet(f"{root.rstrip('/')}/_pointer").orderBy(F.desc("ts")).first().version
-    return spark.read.parquet(f"{root}/{version}")
+    """The current version."""
+    state = last_entry(spark, root)[1]
+    if not state:
+        raise ValueError(f"no version at {root}")
+    return spark.read.parquet(f"{root.rstrip('/')}/{state['version']}")
+
+
+def change_version(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> str:
+    """Replace the current version by ``change`` of it; done anew on what another writer has made of it meanwhile."""
+    for _ in range(tries):
+        number = version_number(spark, root)
+        try:
+            return write_version(change(read_version(spark, root)), root, number)
+        except Outdated:
+            continue
+    raise Outdated(f"{root}: {tries} tries")
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str]) -> None:

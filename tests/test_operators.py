@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from missiva.operators import archive, directory, links, matters, scoring, threads
 from missiva.operators.components import connected_components
 from missiva.session import materialize, scratch_dir
-from missiva.streaming import ingest
 
 
 def parts_of(spark, edges):
@@ -96,23 +95,6 @@ def test_panel_majority(spark):
     assert {r.item: r.verdict for r in scoring.panel_vote(votes).collect()} == {"i": "B_missed", "j": "B_hallucination"}
 
 
-def test_stream_takes_each_key_once(spark):
-    base = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    rows = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"))
-    seen = []
-
-    def run():
-        landing = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-        ingest.stream_once(landing, "k", f"{base}/store", f"{base}/cp", lambda df: seen.append(df.count())).awaitTermination()
-        return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{base}/store")
-
-    rows.where("k < 120").write.parquet(f"{base}/in/a")
-    assert run().count() == 120
-    rows.where("k > 80").write.parquet(f"{base}/in/b")
-    got = run()
-    assert got.count() == 200 and got.select("k").distinct().count() == 200 and sum(seen) == 200
-
-
 def test_materialize_round_trip(spark):
     df = spark.range(5).withColumn("x", F.array(F.lit("a"), F.lit(None)))
     assert sorted(map(tuple, materialize(df, "t").collect())) == sorted(map(tuple, df.collect()))
