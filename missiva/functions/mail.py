@@ -7,8 +7,27 @@ from pyspark.sql import functions as F
 
 # Reply prefixes, and lines that begin quoted text, close a letter, or are no signature.
 PREFIXES = "re|fwd|fw|aw|sv|antw"
-QUOTE_START = r"(?i)^\s*(>|on\b.*\bwrote:\s*$|from:\s|sent:\s|-{2,}\s*original message|_{5,}|发件人)"
-SIGN_OFF = r"(?i)^\s*(?:(?:with |many )?(?:best|kind|warm|warmest)?\s*(?:regards|wishes)|(?:many )?thanks(?: (?:and|&) (?:best |kind )?regards)?|thank you(?: very much)?|cheers|(?:yours )?(?:sincerely|faithfully|truly))\s*[,.!]*\s*$"
+QUOTE_STARTS = (
+    r"\s*>",
+    r"\s*On\s.{0,200}\bwrote:\s*$",
+    r"\s*-{2,}\s*original\smessage\s*-{2,}",
+    r"\s*_{5,}\s*$",
+    r"\s*(?:from|发件人|de|von|van)\s*[:：]\s.{0,200}$",
+    r"\s*(?:sent|发送时间|date)\s*[:：]\s.{0,120}$",
+)
+SIGN_OFFS = (
+    r"best\s+regards", r"warm(?:est)?\s+regards", r"kind\s+regards", r"with\s+(?:kind\s+)?regards", "regards", "rgds", r"thanks?(?:\s*(?:&|and)\s*regards)?", r"thank\s+you", "sincerely",
+    r"yours\s+\w+", "cheers", r"b\.?\s*r\.?", r"with\s+thanks",
+)
+NO_SIGNATURE = (
+    "confidential", r"in\s+error", r"please\s+notify", r"intended\s+(?:solely\s+)?(?:for|recipient|only)", "privileged", r"all\s+rights\s+reserved", "unsubscribe", "disclaimer",
+    r"do\s+not\s+(?:copy|disclose)", r"this\s+(?:e-?mail|message|communication)",
+)
+SALUTATIONS, FOOTERS = ("dear", "hi", "hello", "attn", "to"), ("©", "&copy;", r"\bcopyright\b", r"\bsent\s+from\s+my\b")
+
+QUOTE_START = f"(?iu)^(?:{'|'.join(QUOTE_STARTS)})"
+SIGN_OFF = rf"(?iU)^\s*(?:{'|'.join(SIGN_OFFS)})\b[\s,.!-]*$"
+SKIPPED = rf"(?iU)\b(?:{'|'.join(NO_SIGNATURE)})\b|^\s*(?:{'|'.join(SALUTATIONS)})\b|{'|'.join(FOOTERS)}"
 
 
 def clean_subject(subject: Column) -> Column:
@@ -57,20 +76,17 @@ def own_text(body: Column) -> Column:
 
 
 def signature_zone(body: Column, most: int = 12) -> Column:
-    """Non-blank lines after the last sign-off of the own text, else its last ten; at most ``most``."""
-    lines = F.filter(F.transform(F.split(own_text(body), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    n = F.size(lines)
-    last = n - F.array_position(F.reverse(F.transform(lines, lambda x: x.rlike(SIGN_OFF))), F.lit(True)) + 1
-    closed = F.array_contains(F.transform(lines, lambda x: x.rlike(SIGN_OFF)), True)
-    begin = F.when(closed, last + 1).otherwise(F.greatest(F.lit(1), n - 9)).cast("int")
-    return F.slice(lines, begin, F.lit(most))
-
+    """Lines after the last sign-off of the own text, else its last ten that are not blank, as a signature shows them.
 
-def signature_phone(zone: Column) -> Column:
-    """First number of 7 to 15 digits on a line that is no fax line; empty if none."""
-    numbers = F.transform(F.filter(zone, lambda x: ~F.lower(x).rlike(r"^\s*f(ax)?\b")), lambda x: F.regexp_extract(x, r"\+?\d[\d().\s-]{5,}\d", 0))
-    fit = F.filter(numbers, lambda x: F.length(F.regexp_replace(x, r"\D", "")).between(7, 15))
-    return F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit(""))
+    List and quote marks at the edges go, and so do blank lines, salutations, disclaimers and footers;
+    the first ``most`` lines are left.
+    """
+    lines = F.filter(F.split(own_text(body), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    closes = F.transform(lines, lambda x: x.rlike(SIGN_OFF))
+    n = F.size(lines)
+    begin = F.when(F.array_contains(closes, True), n - F.array_position(F.reverse(closes), F.lit(True)) + 2).otherwise(F.greatest(F.lit(1), n - 9)).cast("int")
+    bare = F.transform(F.slice(lines, begin, n), lambda x: F.trim(F.trim(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[>*_|\-\s]+", ""), r"\s+$", "")), F.lit("*_"))))
+    return F.slice(F.filter(bare, lambda x: (x != "") & ~x.rlike(SKIPPED)), F.lit(1), F.lit(most))
 
 
 def pack_messages(lengths: Column, most: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions.names import FREE_MAIL, company_code, company_key, domain, near
@@ -111,11 +111,46 @@ def resolve_chains(merges: DataFrame, rounds: int | None = None) -> DataFrame:
     return now.join(ends, "from_key", "left").select("from_key", F.when(F.col("cyclic"), F.col("from_key")).otherwise(F.col("to_key")).alias("to_key"))
 
 
-def unique_codes(firms: DataFrame, base: str = "code", order: str = "first_seen") -> DataFrame:
-    """Codes made unique: repeats of a base get 2, 3, ... in order of appearance."""
-    w = Window.partitionBy(base).orderBy(order)
-    n = F.row_number().over(w)
-    return firms.withColumn("unique_code", F.concat(base, F.when(n > 1, n.cast("string")).otherwise("")))
+def _free_number(walls: Column, rank: Column) -> Column:
+    """The ``rank``-th number that is none of the ascending ``walls``."""
+    return F.aggregate(walls, rank, lambda n, w: n + F.when(n >= w, 1).otherwise(0))
+
+
+def unique_codes(firms: DataFrame, base: str = "code", order: str = "first_seen", given: str | None = None) -> DataFrame:
+    """``firms`` with ``unique_code``: in the order of ``order`` (unique), each takes the first of its base, base2, base3, ... that no earlier one has.
+
+    A firm with a code in the column ``given`` keeps it, even if another has it; later firms make way for it. The
+    firms of one base take growing numbers, so a number is a firm's rank among those of its base that are
+    not walls: numbers whose code belongs to an earlier firm of another base (AB, AB, AB2: the third
+    firm's own code is the second's). Each round takes the walls from the codes of the round before,
+    until no code changes; a code depends on those of earlier firms only, so this ends, and ends alike.
+    """
+    fixed = F.lit(None).cast("string") if given is None else F.nullif(F.trim(given), F.lit(""))
+    rows = firms.withColumn("__given", fixed).withColumn("__base", F.coalesce(base, F.lit("")))
+    auto = rows.where("__given is null").select(F.col("__base").alias("base"), F.col(order).alias("at"))
+    auto = materialize(auto.withColumn("rank", F.row_number().over(Window.partitionBy("base").orderBy("at"))), "codes")
+    bases = auto.select("base").distinct()
+    kept = rows.where("__given is not null").select(F.col("__given").alias("code"), F.col(order).alias("at"), F.lit(None).cast("string").alias("own"))
+    coded = F.concat("base", F.when(F.col("n") > 1, F.col("n").cast("string")).otherwise(""))
+    now = materialize(auto.withColumn("n", F.col("rank")).withColumn("code", coded), "codes")
+    digits = F.length(F.regexp_extract("code", "[0-9]*$", 0))
+    while True:
+        claims = now.select("code", "at", F.col("base").alias("own")).unionAll(kept)
+        split = claims.select("*", F.explode(F.sequence(F.length("code") - digits, F.length("code"))).alias("cut"))
+        split = split.select("at", "own", F.substring("code", F.lit(1), F.col("cut")).alias("base"), F.substring("code", F.col("cut") + 1, F.length("code")).alias("number")).where("number = '' or (length(number) < 10 and number rlike '^([2-9]|[1-9][0-9]+)$')")
+        walls = split.where("own is null or own <> base").join(bases, "base", "left_semi").groupBy("base", F.when(F.col("number") == "", 1).otherwise(F.expr("try_cast(number as int)")).alias("x")).agg(F.min("at").alias("by"))
+        # a wall stands if it is past the numbers that its base had taken before it
+        before = auto.join(walls, "base").groupBy("base", "x", "by").agg(F.coalesce(F.max(F.when(F.col("at") < F.col("by"), F.col("rank"))), F.lit(0)).alias("before"))
+        listed = before.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("by", "x", "before"))).alias("walls"))
+        taken = lambda xs, w: F.when(w["before"] > 0, _free_number(F.array_sort(xs), w["before"])).otherwise(0)
+        standing = listed.select("base", F.aggregate("walls", F.array().cast("array<int>"), lambda xs, w: F.when(w["x"] > taken(xs, w), F.array_append(xs, w["x"])).otherwise(xs)).alias("walls"))
+        moved = auto.join(standing, "base", "left").withColumn("n", F.coalesce(_free_number(F.array_sort("walls"), F.col("rank")), "rank")).drop("walls").withColumn("code", coded)
+        moved = materialize(moved, "codes")
+        if moved.select("at", "n").exceptAll(now.select("at", "n")).isEmpty():
+            break
+        now = moved
+    found = rows.join(now.select(F.col("at").alias(order), F.col("code").alias("__code")), order, "left")
+    return found.select(*firms.columns, F.coalesce("__given", "__code").alias("unique_code"))
 
 
 def project_index(records: DataFrame) -> DataFrame:
@@ -169,12 +204,14 @@ def fill_blanks(people: DataFrame, found: DataFrame, fields: Sequence[str]) -> D
     return people.join(first, "email", "left").select(*(F.coalesce(F.nullif(F.col(c), F.lit("")), f"__{c}", F.lit("")).alias(c) if c in fields else F.col(c) for c in people.columns))
 
 
-def duplicate_people(people: DataFrame, most: int = 2) -> DataFrame:
+def duplicate_people(people: DataFrame, most: int = 2, who: Column | None = None) -> DataFrame:
     """Pairs ``a, b`` of addresses of one name that share the domain with near local parts, or the local part with near domains.
 
-    They meet by name, domain or local part, and equal remainders after at most two deletions.
+    ``who`` is what counts as the name, by default the name without case and with single blanks. They meet
+    by name, domain or local part, and equal remainders after at most two deletions.
     """
-    rows = people.where("trim(coalesce(name, '')) <> ''").select("email", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))).alias("who"), F.substring_index("email", "@", 1).alias("local"), domain(F.col("email")).alias("host"))
+    who = F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))) if who is None else who
+    rows = people.select("email", who.alias("who"), F.substring_index("email", "@", 1).alias("local"), domain(F.col("email")).alias("host")).where("who <> ''")
     fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
     found = []
     for same, close in (("host", "local"), ("local", "host")):

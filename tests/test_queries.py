@@ -4,6 +4,7 @@ import pytest
 from duck import connect, rows
 
 import missiva.plans.directory_queries  # noqa: F401
+import missiva.plans.people_queries  # noqa: F401
 import missiva.plans.record_queries  # noqa: F401
 import missiva.plans.scope_queries  # noqa: F401
 import missiva.plans.stream_queries  # noqa: F401

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from missiva.functions import mail as fields
+from missiva.functions.signature import signature_phone
 from missiva.schemas import RULES
 from missiva.sources import mail, tables
 
@@ -77,5 +78,5 @@ def test_fields(spark):
     said = "Hi Bob\nsee below\nBest regards,\nAnn Lee\nMega Build Pte Ltd\nFax 6123 4567\nTel +65 6123 9999\nOn Mon, Bob wrote:\n> old"
     assert one(fields.own_text(F.lit(said))).endswith("9999")
     zone = fields.signature_zone(F.lit(said))
-    assert one(zone)[0] == "Ann Lee" and one(fields.signature_phone(zone)) == "+65 6123 9999"
+    assert one(zone)[0] == "Ann Lee" and one(signature_phone(zone)) == "+65 6123 9999"
     assert one(fields.pack_messages(F.array(*(F.lit(n).cast("long") for n in (5, 5, 3, 20, 1))), 10)) == [1, 1, 2, 3, 4]
