@@ -6,7 +6,7 @@ rows whose text does not parse. Null text counts as empty throughout.
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
@@ -46,31 +46,49 @@ def normal(text: Column) -> Column:
 # --- JSON ----------------------------------------------------------------------------------------
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|([{}\[\],:])|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity))')
+_ENDS, _STRAY = re.compile(r"[ \t\n\r]*(?:[,}\]]|\Z)"), re.compile(r"\s*(?:,|[,:]*\s*\Z)")
+#: Objects and lists within each other that are read.
+DEEPEST = 500
+# what may come next: a value, a value or the end of its list, a key, a key or the end of its object, a colon, a comma or an end
+VALUE, FIRST, KEY, OPENED, COLON, AFTER = range(6)
+
+
 def mend(text: str | None) -> str | None:
-    """A JSON object that was cut off: the longest head that ends at a delimiter and can be closed; null if there is none."""
-    begin = -1 if text is None else text.find("{")
+    """A JSON object that was cut off: the longest head that ends with a whole value and can be closed; null if there is none.
+
+    One scan, whatever the length. An object or list that opens at the very end, or before a stray comma, counts as
+    empty, numbers and words count if a delimiter or the end follows, and what comes after the object is left out.
+    """
+    at = begin = -1 if text is None else text.find("{")
     if begin < 0:
         return None
-    body, closing, quoted, escaped, ends = text[begin:], "", False, False, []
-    for i, ch in enumerate(body):
-        if quoted:
-            quoted, escaped = escaped or ch != '"', ch == "\\" and not escaped
-        elif ch == '"':
-            quoted = True
-        elif ch in "{[":
-            closing = "}]"["{[".index(ch)] + closing
-        elif ch in "}]":
-            closing = closing[1:]
-        if not quoted and (ch in ',}]"' or i == len(body) - 1):
-            ends.append((i + 1, closing))
-    for end, closing in reversed(ends):
-        whole = body[:end].rstrip().rstrip(",:").rstrip() + closing
-        try:
-            json.loads(whole)
-        except ValueError:
-            continue
-        return whole
-    return None
+    state, closing, good, depth = VALUE, [], None, 0
+    while m := _TOKEN.match(text, at):
+        quoted, mark, plain = m.groups()
+        at = m.end()
+        if quoted and state in (KEY, OPENED):
+            state = COLON
+        elif (quoted and state in (VALUE, FIRST)) or (plain and state in (VALUE, FIRST) and _ENDS.match(text, at)):
+            state, good, depth = AFTER, at, len(closing)
+        elif mark in ("{", "[") and state in (VALUE, FIRST) and len(closing) < DEEPEST:
+            closing.append("}" if mark == "{" else "]")
+            state = OPENED if mark == "{" else FIRST
+            if _STRAY.match(text, at):
+                good, depth = at, len(closing)
+        elif mark in ("}", "]") and state in (AFTER, OPENED if mark == "}" else FIRST) and mark == closing[-1]:
+            closing.pop()
+            state, good, depth = AFTER, at, len(closing)
+            if not closing:
+                break
+        elif mark == "," and state == AFTER:
+            state = KEY if closing[-1] == "}" else VALUE
+        elif mark == ":" and state == COLON:
+            state = VALUE
+        else:
+            break
+    # what is closed is always a whole value, so what was open at the last good place is still open
+    return None if good is None else text[begin:good] + "".join(reversed(closing[:depth]))
 
 
 def parse_objects(rows: DataFrame, text: str, out: str = "json") -> DataFrame:

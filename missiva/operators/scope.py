@@ -128,8 +128,14 @@ def file_counts(members: DataFrame, links: DataFrame) -> DataFrame:
     return by_id.unionAll(by_path).groupBy("thread_id").agg(F.count("*").alias("files"))
 
 
-def updated(table: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``table`` with the columns of ``updates`` where these are not null; updates of keys that it lacks are not added."""
+def updated(table: DataFrame, updates: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """``table`` with the columns of ``updates`` where these are not null; updates of keys that it lacks are not added.
+
+    Of several updates of one key the last by the column ``order`` counts, without one the largest.
+    """
+    values = [c for c in updates.columns if c not in keys]
+    updates = latest(updates, keys, *([order] if order else values))
+    updates = updates.drop(order) if order and order not in table.columns else updates
     fields = [c for c in updates.columns if c not in keys]
     named = updates.select(*keys, *(F.col(c).alias(f"__{c}") for c in fields))
     return table.join(named, list(keys), "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns))

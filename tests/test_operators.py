@@ -1,6 +1,7 @@
 """Iterative and incremental operators, and their awkward inputs."""
 
 import random
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -118,6 +119,21 @@ def test_cut_off_json_is_mended():
     assert mend('x {"a": [1, {"b": "c"}, {"d": "e') == '{"a": [1, {"b": "c"}]}' or mend('x {"a": [1, {"b": "c"}, {"d": "e') == '{"a": [1, {"b": "c"}, {}]}'
     assert mend('{"a": "x, y", "b": 1, "c') == '{"a": "x, y", "b": 1}'
     assert mend('{"a": "\\"}", "b": [1, 2') is not None and mend("none") is None and mend(None) is None
+    assert mend('{"a": 1, "b": tru') == '{"a": 1}' and mend('{"a": {"b": [') == '{"a": {"b": []}}' and mend('{"a"') is None and mend('{"a": 1} and "b"') == '{"a": 1}'
+    long = '{"a": [' + '{"b": "c", "d": [1, 2]}, ' * 40_000 + '{"x": "y'
+    begin = time.process_time()
+    assert mend(long).endswith("}, {}]}") or mend(long).endswith("}]}")
+    assert time.process_time() - begin < 10  # a quadratic rule takes an hour
+    assert mend('{"a": ' * 100_000) is None or len(mend('{"a": ' * 100_000)) < 10_000
+
+
+def test_of_several_updates_one_counts(spark):
+    from missiva.operators import scope
+
+    rows = spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("c", 3, "z")], "k string, n int, v string")
+    changes = spark.createDataFrame([("a", "p", 2), ("a", "q", 1), ("b", None, 1), ("d", "r", 1)], "k string, v string, ts int")
+    assert sorted(map(tuple, scope.updated(rows, changes, ["k"], "ts").collect())) == [("a", 1, "p"), ("b", 2, None), ("c", 3, "z")]
+    assert scope.updated(rows, changes.drop("ts"), ["k"]).where("k = 'a'").first().v == "q"
 
 
 def test_prefixes_of_merges_keep_what_leads_to_a_cycle(spark):
