@@ -81,7 +81,8 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, share: float = S
 
     Queries are the rows whose vec_id is a multiple of ``every``; candidates are all rows but those
     of the query's own id. Vectors that are null, zero or hold null or non-finite components, and null
-    ids, take no part. Rows that repeat an id with another vector are separate candidates and queries.
+    ids, take no part. Rows that repeat an id with another vector are separate candidates and queries,
+    each with its own list; equal rows count once.
     Vectors are of one length (others raise). Ties go to the smaller id. Other columns are ignored.
     An empty table gives an empty result.
     """
@@ -98,7 +99,11 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, share: float = S
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         x = np.array(table.column("v").to_pylist())
-        by = np.argsort(ids, kind="stable")
+        # by id, then vector; equal rows once
+        by = np.lexsort((*x.T[::-1], ids))
+        fresh = np.ones(len(by), dtype=bool)
+        fresh[1:] = (ids[by[1:]] != ids[by[:-1]]) | (x[by[1:]] != x[by[:-1]]).any(axis=1)
+        by = by[fresh]
         order = permutations(x[by], pivots, places)
         return pa.table({"part": [table.column("part")[0].as_py()], "ids": [ids[by].tobytes()], "x": [x[by].tobytes()], "places": [order.tobytes()]}, schema=schema)
 
@@ -122,11 +127,12 @@ def search(vectors: DataFrame, *, every: int = 20, k: int = 20, share: float = S
                 segment = Segment(*read(""), len(pivots))
                 q_ids, q_x, q_order = read("q_")
                 found = [segment.search(i, q, o, k, share) for i, q, o in zip(q_ids.tolist(), q_x, q_order)]
+                size = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat((row["block"] << 32) + np.arange(len(q_ids)), size)), pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
+                    names=["query", "query_id", "vec_id", "score"],
                 )
 
-    met = pairs.select("ids", "x", "places", "q_ids", "q_x", "q_places").mapInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = pairs.select("block", "ids", "x", "places", "q_ids", "q_x", "q_places").mapInArrow(meet, "query long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -99,6 +99,19 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
 RECORD = "record_id string, kind string, target_uri string, concurrent_to string, refers_to string, payload_digest string, page_id long, payload_bytes long, digest_ok boolean"
 
 
+def unpacked(data: bytes, step: int = 1 << 16) -> bytes:
+    """Content of all members of a gzip file, of which archives have one per record or one in all."""
+    parts, at, view = [], 0, memoryview(data)
+    while at < len(data):
+        member = zlib.decompressobj(47)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("an archive ends within a member")
+            parts.append(member.decompress(view[at : at + step]))
+            at += len(view[at : at + step]) - len(member.unused_data)
+    return b"".join(parts)
+
+
 def parse_records(data: bytes):
     """Header fields and content of the records of one archive."""
     at = 0
@@ -120,7 +133,7 @@ def read_records(spark: SparkSession, path: str, *, with_payload: bool = False)
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
-                for fields, content in parse_records(zlib.decompress(data, 47)):
+                for fields, content in parse_records(unpacked(data)):
                     ids = [fields.get(k, "").strip("<>") or None for k in ("warc-record-id", "warc-concurrent-to", "warc-refers-to")]
                     kind, digest, page, payload, ok = fields["warc-type"], fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, None, None, None
                     if kind == "response":

@@ -103,3 +103,31 @@ def test_pipeline(spark, sf_dir):
     assert (out.ids.str.len() == 4 * out.n_tokens).all()
     assert all(hashlib.sha256(i).hexdigest() == s for i, s in zip(out.ids, out.ids_sha256))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_dedup", "mixing", "bpe"]
+
+
+def test_repeated_query_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[20], rows[20], rows[7], (40, x[41].tolist()), (None, x[0].tolist())]
+    got = permutation_index.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert {q: len(v) for q, v in lists.items()} == {q: 40 if q == 40 else 20 for q in range(0, 200, 20)}
+    assert len({v for _, v, _ in lists[20]}) == 20
+    every = [(i, v) for i, v in rows[:200]] + [(40, x[41].tolist())]
+    for query in (x[40], x[41]):
+        want = sorted(((-float((query * np.array(v)).sum()), i) for i, v in every if i != 40))[:20]
+        assert {i for _, i in want} <= {v for _, v, _ in lists[40]}
+
+
+def test_archives_of_several_members(spark, tmp_path):
+    import gzip
+
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: request\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    (tmp_path / "part-1.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(300)))
+    (tmp_path / "part-2.warc.gz").write_bytes(gzip.compress(record(300) + record(301)))
+    assert sorted(r.record_id for r in warc.read_records(spark, str(tmp_path)).collect()) == sorted(f"urn:{i}" for i in range(302))
+    big = gzip.compress(b"x" * 300_000) + gzip.compress(np.random.default_rng(1).bytes(200_000)) + gzip.compress(b"")
+    assert len(warc.unpacked(big)) == 500_000 and warc.unpacked(big, 7) == warc.unpacked(big)
