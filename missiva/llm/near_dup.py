@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.operators.components import connected_components
@@ -219,21 +219,39 @@ def _merge(parts: DataFrame | None, joined: DataFrame, rows: int) -> DataFrame:
     return materialize(sized(moved.unionByName(fresh), 4 * rows), "parts")
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """``node, class_id, class_key``: the class of each different text, a node being its hash; the key is the least node of the class. See :func:`classes`."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def with_nodes(rows: DataFrame, text: Column, clashing: DataFrame | None, node: str = "node") -> DataFrame:
+    """``rows`` with the node of their text: its hash, but for the few hashes in ``clashing`` (that different texts have) a second one."""
+    if clashing is None:
+        return rows.withColumn(node, text_hash(text))
+    rows = rows.withColumn(node, text_hash(text)).join(clashing.select(F.col("node").alias(node), F.lit(True).alias("__clash")), node, "left")
+    return rows.withColumn(node, F.when(F.col("__clash"), F.xxhash64(F.lit(1), text)).otherwise(F.col(node))).drop("__clash")
+
+
+def near_texts(docs: DataFrame, similar: float = SIMILAR, clashing: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``node, class_id, class_key``: the class of each different text, the key being the least node of the class; and the ``clashing`` hashes for :func:`with_nodes`. See :func:`classes`.
+
+    A second hash tells whether a node holds different texts (of 10^10 texts two or three pairs may); if so, the work is done anew with these apart.
+    """
     far = 1 - similar + 1e-9
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("node", F.xxhash64("text"))
+    rows = with_nodes(rows, F.col("text"), clashing).withColumn("other", F.xxhash64(F.lit(2), "text"))
 
     def sign(batches):
         for batch in batches:
             for s in cuts(batch.column(2), BATCH_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(band_keys(part.column(2).to_pylist()), pa.list_(pa.int64()))], names=["node", "doc_id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(band_keys(part.column(2).to_pylist()), pa.list_(pa.int64()))], names=["node", "doc_id", "other", "bands"])
 
-    signed = rows.select("node", "doc_id", "text").mapInArrow(sign, "node long, doc_id long, bands array<long>")
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "nodes")
+    signed = rows.select("node", "doc_id", "text", "other").mapInArrow(sign, "node long, doc_id long, other long, bands array<long>")
+    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), (F.min("other") < F.max("other")).alias("several")), "nodes")
+    if clashing is None and not (several := nodes.where("several").select("node")).isEmpty():
+        return near_texts(docs, similar, several)
+    nodes = nodes.drop("several")
     posted = nodes.select(F.explode("bands").alias("key"), "node")
     shared = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     active = materialize(posted.join(shared, "key"), "active")
@@ -326,12 +344,18 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         active = materialize(sized(left.join(left.groupBy("key").agg(*ends).where("low < high").select("key"), "key"), count), "active")
         split *= 4
     if parts is None:
-        return nodes.select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("class_key"))
+        return nodes.select("node", F.col("doc_id").alias("class_id"), F.col("node").alias("class_key")), clashing
     least = parts.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     of_node = parts.join(least, "component").select("node", "class_id", F.col("component").alias("class_key"))
-    return nodes.select("node", "doc_id").join(of_node, "node", "left").select(
+    found = nodes.select("node", "doc_id").join(of_node, "node", "left").select(
         "node", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_key", "node").alias("class_key")
     )
+    return found, clashing
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """``node, class_id, class_key`` of each different text, see :func:`near_texts`."""
+    return near_texts(docs, similar)[0]
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -342,18 +366,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     ids; null and empty texts are equal to each other and like no other text. ``is_kept`` marks the
     rows whose id names the class. One row per input row, repeated rows included; null ids name a
     class only if it has no other. Unrelated texts with null ids, or with one id, share a ``class_id``
-    but not a ``class_key``, the least text hash of the class. Other columns are ignored. An empty table gives an empty result.
+    but not a ``class_key``, the least text hash of the class. Texts of any length are
+    compared whole. Other columns are ignored. An empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"))
-    named = rows.join(materialize(near_duplicates(docs, similar), "classes"), "node")
+    found, clashing = near_texts(docs, similar)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = with_nodes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), text, clashing).select("doc_id", "node")
+    named = rows.join(materialize(found, "classes"), "node")
     return named.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"), "class_key")
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` that name their class: one document of each, with its columns."""
-    node = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    named = materialize(near_duplicates(docs, similar), "classes").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("class_key").alias("__key"))
-    kept = docs.withColumn("__node", node).withColumn("__id", F.col("doc_id").cast("long"))
+    found, clashing = near_texts(docs, similar)
+    named = materialize(found, "classes").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("class_key").alias("__key"))
+    kept = with_nodes(docs, F.coalesce(F.col("text").cast("string"), F.lit("")), clashing, "__node").withColumn("__id", F.col("doc_id").cast("long"))
     kept = kept.join(named, (kept["__node"] == named["__node"]) & kept["__id"].eqNullSafe(named["__class"]), "left_semi")
     # repeated rows, or near texts of one id, leave several rows of a class: only then rows are compared
     several = kept.groupBy("__id").count().where("count > 1").limit(1).count()

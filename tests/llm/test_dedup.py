@@ -210,6 +210,17 @@ def test_unrelated_texts_of_one_id_stay_apart(spark):
     assert [r[1] in (long, f"{long} end") for r in kept if r[0] == 8] == [True]
 
 
+def test_different_texts_of_one_hash_stay_apart(spark, monkeypatch):
+    said = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, said("a")), (2, said("b")), (3, said("a")), (4, said("b") + " bx"), (5, said("longer")), (6, ""), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.class_id for r in near_dup.classes(df).collect()}
+    assert want == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 6, 7: 6}
+    monkeypatch.setattr(near_dup, "text_hash", lambda text: F.xxhash64(F.length(text)))
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
+    assert sorted(r.doc_id for r in near_dup.keep_one(df).collect()) == [1, 2, 5, 6]
+
+
 def test_pipeline_stages_keep_what_brute_force_keeps(spark):
     import corpus_pipeline
 
