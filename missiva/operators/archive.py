@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from missiva.operators.ranges import running_totals
+
 
 def latest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """Last row of each key in the given order (last write wins)."""
@@ -50,10 +52,11 @@ def reconcile(index: DataFrame, disk: DataFrame, most: int = 50) -> DataFrame:
 
 
 def admit(df: DataFrame, group: Sequence[str], order: Sequence[str], cost: str, budget: int) -> DataFrame:
-    """Rows of each group in order while their running cost stays within the budget; the first always."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    run = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("running", run).withColumn("rn", F.row_number().over(w)).where((F.col("running") <= budget) | (F.col("rn") == 1))
+    """Rows of each group in order while their running cost stays within the budget; the first always.
+
+    Groups may be of any size: see ``ranges.running_totals``, whose ``running`` and ``rn`` are added.
+    """
+    return running_totals(df, group, order, cost).where((F.col("running") <= budget) | (F.col("rn") == 1))
 
 
 def coverage(current: DataFrame, recorded: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from missiva.operators import components, directory, matters, scope
+from missiva.operators import components, directory, matters, ranges, scope
 from missiva.plans.queries import QUERIES, SQL, query  # noqa: F401
 from missiva.plans.views import table, view
 
@@ -251,3 +251,27 @@ def effective_taxonomy(spark, sf):
 def rebuild_report(spark, sf):
     rows = table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("email"), F.when(F.col("c_custkey") % 8 == 0, "").otherwise(F.concat(F.lit("f"), F.col("c_custkey") % 8)).alias("company_key"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("aliases"))
     return scope.rebuild_report(rows)
+
+
+@query("""
+with recursive m as (
+  select folder, ordinal, size, row_number() over w as rn, sum(size) over w as upto from mail_v window w as (partition by folder order by ordinal)),
+s as (
+  select folder, rn, 1 as chunk, upto - size + 20000000 as full from m where rn = 1
+  union all
+  select m.folder, m.rn, s.chunk + 1, m.upto - m.size + 20000000 from s join m on m.folder = s.folder and m.upto > s.full and m.upto - m.size <= s.full)
+select m.folder, m.ordinal, m.size, max(s.chunk) as chunk from m join s on s.folder = m.folder and s.rn <= m.rn group by 1, 2, 3""")
+def folder_chunks(spark, sf):
+    return ranges.pack(view(spark, sf, "mail_v"), ["folder"], ["ordinal"], "size", 20_000_000)
+
+
+@query("""
+with recursive m as (select o_custkey, ordinal, size, row_number() over (partition by o_custkey order by sent_day, ordinal) as rn from mail_v),
+s as (
+  select o_custkey, ordinal, size, rn, 1 as chunk, size as used from m where rn = 1
+  union all
+  select m.o_custkey, m.ordinal, m.size, m.rn, case when s.used + m.size > 400000 then s.chunk + 1 else s.chunk end, case when s.used + m.size > 400000 then m.size else s.used + m.size end
+  from s join m on m.o_custkey = s.o_custkey and m.rn = s.rn + 1)
+select o_custkey, ordinal, chunk from s""")
+def thread_chunks(spark, sf):
+    return ranges.pack(view(spark, sf, "mail_v"), ["o_custkey"], ["sent_day", "ordinal"], "size", 400_000).select("o_custkey", "ordinal", "chunk")

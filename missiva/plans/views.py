@@ -64,4 +64,6 @@ def with_views(query: str) -> str:
         out.append(f"mail_v as (select * from mail_full where {PRESENT})")
     head, sep, tail = query.strip().partition("with ")
     extra = tail if not head and sep else ""
-    return f"with {', '.join(out)}{', ' + extra if extra else ' ' + query}" if out else query
+    loops = "recursive " if extra.startswith("recursive ") else ""
+    extra = extra.removeprefix("recursive ")
+    return f"with {loops}{', '.join(out)}{', ' + extra if extra else ' ' + query}" if out else query
