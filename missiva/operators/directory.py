@@ -27,13 +27,13 @@ def firm_consensus(people: DataFrame) -> DataFrame:
     return votes.withColumn("k", F.row_number().over(order)).where("k = 1").select("domain", "key", F.col("count").alias("votes"))
 
 
-def near_keys(keys: DataFrame, column: str = "key", block: int = 4, least: int = 6) -> DataFrame:
+def near_keys(keys: DataFrame, column: str = "key", block: int = 4, least: int = 6, letters: str = "a-z0-9") -> DataFrame:
     """Pairs of keys that share a block of first characters and differ by at most two edits.
 
     Two strings at most two edits apart become equal by deleting at most two characters of each, so
     the keys meet by equal remainders, not by all pairs of a block.
     """
-    rows = keys.select(F.col(column).alias("a")).where(F.col(column).rlike(f"^[a-z0-9]{{{least},}}$")).distinct()
+    rows = keys.select(F.col(column).alias("a")).where(F.col(column).rlike(f"^[{letters}]{{{least},}}$")).distinct()
     fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
     tail = F.substring("a", block + 1, F.char_length("a"))
     left = F.array_distinct(F.concat(F.array(tail), fewer(tail), F.flatten(F.transform(fewer(tail), fewer))))

@@ -67,3 +67,67 @@ def fetch_summary(links: DataFrame) -> DataFrame:
     out = links.agg(n["downloaded"].alias("downloaded"), n["dead"].alias("dead"), n["needs-auth"].alias("needs_auth"), n["error"].alias("failed"), (n["pending"] + n["error"]).alias("remaining"), F.count("*").alias("__n"))
     phase = F.when(F.col("__n") == 0, "skipped").when(F.col("remaining") > 0, F.concat_ws(" ", F.lit("partial:"), F.col("remaining"), F.lit("remaining"))).otherwise("ok")
     return out.withColumn("phase", phase).drop("__n")
+
+
+def fetch_plan(links: DataFrame, order: str = "ordinal") -> tuple[DataFrame, DataFrame]:
+    """Pending links that another record of their url settles, and the urls to fetch.
+
+    ``links`` are ``message_id, url, provider, status, file, size, confirmed`` and an order (of several
+    records the last counts). A file that some record has is used by all. A link that is not confirmed
+    waits for it if the url is known to be too large, and else is dead or in need of a sign-in if
+    another record found that. The first result is ``message_id, url, status, file, size, note``; the second
+    is ``url, provider, confirmed, links``, one row a url, ``confirmed`` (any record is) lifting the bound of size.
+    """
+    last = lambda c, when: F.max_by(c, F.when(when, F.col(order)))
+    has_file = (F.col("status") == "downloaded") & (F.coalesce("file", F.lit("")) != "")
+    large = F.col("status") == "needs-confirm"
+    known = links.where(F.col("status") != "pending").groupBy("url").agg(
+        F.max(has_file).alias("__done"), last("file", has_file).alias("__file"), F.max(large).alias("__large"), last("size", large).alias("__size"),
+        F.max(F.col("status") == "dead").alias("__dead"), F.max(F.col("status") == "needs-auth").alias("__auth"),
+    )
+    open_ = ~F.coalesce("confirmed", F.lit(False))
+    told = F.when(F.col("__done"), "downloaded").when(open_ & F.col("__large"), "needs-confirm").when(open_ & F.col("__dead"), "dead").when(open_ & F.col("__auth"), "needs-auth")
+    rows = links.where("status = 'pending'").join(known, "url", "left").withColumn("__told", told)
+    settled = rows.where("__told is not null").select(
+        "message_id", "url", F.col("__told").alias("status"), F.when(F.col("__told") == "downloaded", F.col("__file")).alias("file"), F.when(F.col("__told") == "needs-confirm", F.col("__size")).alias("size"),
+        status_note(F.col("__told"), F.col("provider"), F.col("url")).alias("note"),
+    )
+    work = rows.where("__told is null").groupBy("url").agg(F.max_by("provider", order).alias("provider"), F.max(F.coalesce("confirmed", F.lit(False))).alias("confirmed"), F.count("*").alias("links"))
+    return settled, work
+
+
+def applied(links: DataFrame, settled: DataFrame) -> DataFrame:
+    """``links`` with the status, file and size that ``fetch_plan`` settled, by message and url."""
+    said = settled.dropDuplicates(["message_id", "url"]).select("message_id", "url", F.col("status").alias("__status"), F.col("file").alias("__file"), F.col("size").alias("__size"))
+    rows = links.join(said, ["message_id", "url"], "left")
+    own = lambda c: F.when((F.col("status") == "pending") & F.col("__status").isNotNull(), F.coalesce(f"__{c}", c)).otherwise(F.col(c)).alias(c)
+    return rows.select(*(own(c) if c in ("status", "file", "size") else F.col(c) for c in links.columns))
+
+
+def status_counts(links: DataFrame) -> DataFrame:
+    """``status, n, providers``: links by status (null: pending), and the providers of each."""
+    return links.groupBy(F.coalesce("status", F.lit("pending")).alias("status")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("provider")).alias("providers"))
+
+
+def triage(links: DataFrame, order: str = "ordinal", most: int = 50) -> DataFrame:
+    """``status, url, provider``: the first ``most`` links in need of a sign-in, and as many dead ones."""
+    first = lambda s: links.where(F.col("status") == s).orderBy(order).limit(most).select("status", "url", "provider")
+    return first("needs-auth").unionAll(first("dead"))
+
+
+def to_confirm(links: DataFrame) -> DataFrame:
+    """``message_id, url, provider, gb`` of every link that waits for a word because of its size."""
+    return links.where("status = 'needs-confirm'").select("message_id", "url", F.coalesce("provider", F.lit("")).alias("provider"), F.bround(F.coalesce("size", F.lit(0)) / 1073741824, 2).alias("gb"))
+
+
+def thread_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """``thread_id, total, fetched, pending`` of links that stand in a member, by its id, else by its path (either slash); waiting for a sign-in or a word is pending too."""
+    path = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))
+    by_id = members.where("message_id <> ''").groupBy("message_id").agg(F.max("thread_id").alias("__by_id"))
+    by_path = members.where("path <> ''").groupBy(path("path").alias("__path")).agg(F.max("thread_id").alias("__by_path"))
+    # links without an id or path stand apart, as they would meet in one task
+    rows = links.withColumn("__path", path("path")).join(by_id, "message_id", "left")
+    found, rest = rows.where("__by_id is not null").select("status", F.col("__by_id").alias("thread_id")), rows.where("__by_id is null and __path <> ''")
+    found = found.unionAll(rest.join(by_path, "__path").select("status", F.col("__by_path").alias("thread_id")))
+    waits = F.coalesce("status", F.lit("pending")).isin("pending", "needs-auth", "needs-confirm")
+    return found.groupBy("thread_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "downloaded").alias("fetched"), F.count_if(waits).alias("pending"))

@@ -3,6 +3,7 @@
 import pytest
 from duck import connect, rows
 
+import missiva.plans.book_queries  # noqa: F401
 import missiva.plans.directory_queries  # noqa: F401
 import missiva.plans.people_queries  # noqa: F401
 import missiva.plans.record_queries  # noqa: F401
