@@ -110,6 +110,11 @@ def parse_objects(rows: DataFrame, text: str, out: str = "json") -> DataFrame:
     return staged.withColumn(out, F.coalesce("__found", mended("__rest"))).drop("__found", "__rest")
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.try_element_at(F.transform(F.array(value), f), F.lit(1))
+
+
 def split_ledger(text: Column) -> Column:
     """``{prose, ledger}`` of an answer with an open-items ledger between its marks; an empty ledger without them."""
     blob = F.regexp_extract(_text(text), r"(?s)<<<LEDGER>>>(.*?)(?:<<<END>>>|$)", 1)
@@ -119,11 +124,16 @@ def split_ledger(text: Column) -> Column:
 def ledger_items(text: Column) -> Column:
     """Open items of the ledger, whether it is an object with open_items (or items) or an array; empty if it does not parse."""
     blob = split_ledger(text)["ledger"]
-    block = F.regexp_extract(blob, r"(?s)[\[{].*[\]}]", 0)
-    good = F.when(F.try_parse_json(blob).isNotNull(), blob).when(F.try_parse_json(block).isNotNull(), block)
-    boxed = F.from_json(good, f"struct<open_items:array<{ITEM}>,items:array<{ITEM}>>")
-    plain = F.from_json(good, f"array<{ITEM}>")
-    items = F.when(F.startswith(good, F.lit("[")), plain).otherwise(F.when(F.size(boxed["open_items"]) > 0, boxed["open_items"]).otherwise(boxed["items"]))
+
+    def good(b: Column) -> Column:
+        block = F.regexp_extract(b, r"(?s)[\[{].*[\]}]", 0)
+        return F.when(F.try_parse_json(b).isNotNull(), b).when(F.try_parse_json(block).isNotNull(), block)
+
+    def parsed(g: Column) -> Column:
+        boxed = _once(F.from_json(g, f"struct<open_items:array<{ITEM}>,items:array<{ITEM}>>"), lambda x: F.when(F.size(x["open_items"]) > 0, x["open_items"]).otherwise(x["items"]))
+        return F.when(F.startswith(g, F.lit("[")), F.from_json(g, f"array<{ITEM}>")).otherwise(boxed)
+
+    items = _once(blob, lambda b: _once(good(b), parsed))
     return F.filter(F.coalesce(items, _empty(f"array<{ITEM}>")), lambda x: x.isNotNull())
 
 
@@ -132,18 +142,21 @@ def registrar_facts(answer: Column) -> Column:
 
     The first project counts; the others stay among the sources. Repeated values count once, in order.
     """
-    got = F.from_json(answer, f"struct<project:array<{CITED}>,facts:array<{CITED}>,contacts:array<{CONTACT}>>")
     tidy = lambda xs, field: F.filter(
         F.transform(F.coalesce(xs, _empty(f"array<{CITED}>")), lambda x: F.struct(field(x).alias("field"), _strip(x["value"]).alias("value"), _strip(x["cite"]).alias("cite"))), lambda x: x["value"] != ""
     )
-    projects = tidy(got["project"], lambda _: F.lit("project"))
     classes = {"parties": "party", "refs": "ref", "dates": "date", "amounts": "amount"}
-    facts = F.filter(tidy(got["facts"], lambda x: F.lower(_strip(x["field"]))), lambda x: x["field"].isin(*classes.values()))
-    of = lambda name: F.array_distinct(F.transform(F.filter(facts, lambda x: x["field"] == name), lambda x: x["value"]))
-    return F.struct(
-        F.coalesce(F.try_element_at(projects, F.lit(1))["value"], F.lit("")).alias("project"), *(of(v).alias(k) for k, v in classes.items()),
-        F.concat(projects, facts).alias("sources"), clean_contacts(got["contacts"]).alias("contacts"),
-    )
+
+    def listed(got: Column) -> Column:
+        facts = F.filter(tidy(got["facts"], lambda x: F.lower(_strip(x["field"]))), lambda x: x["field"].isin(*classes.values()))
+        return F.struct(tidy(got["project"], lambda _: F.lit("project")).alias("projects"), facts.alias("facts"), clean_contacts(got["contacts"]).alias("contacts"))
+
+    def assembled(x: Column) -> Column:
+        of = lambda name: F.array_distinct(F.transform(F.filter(x["facts"], lambda f: f["field"] == name), lambda f: f["value"]))
+        first = F.coalesce(F.try_element_at(x["projects"], F.lit(1))["value"], F.lit(""))
+        return F.struct(first.alias("project"), *(of(v).alias(k) for k, v in classes.items()), F.concat(x["projects"], x["facts"]).alias("sources"), x["contacts"].alias("contacts"))
+
+    return _once(_once(F.from_json(answer, f"struct<project:array<{CITED}>,facts:array<{CITED}>,contacts:array<{CONTACT}>>"), listed), assembled)
 
 
 def clean_contacts(contacts: Column) -> Column:

@@ -44,8 +44,8 @@ def with_ledger(spark, sf):
 @query(f"""select {L}, case when l_orderkey % 7 = 0 then 'Only prose of ' else 'Prose of ' end || l_orderkey as prose, case when l_orderkey % 7 = 0 then 0 else 2 end as n,
   case when l_orderkey % 7 = 0 then null else 'A' || l_linenumber end as first_id from lineitem""")
 def ledger_items(spark, sf):
-    items = records.ledger_items(F.col("said"))
-    return with_ledger(spark, sf).select("l_orderkey", "l_linenumber", records.split_ledger(F.col("said"))["prose"].alias("prose"), F.size(items).alias("n"), F.try_element_at(items, F.lit(1))["id"].alias("first_id"))
+    items = F.col("items")
+    return with_ledger(spark, sf).withColumn("items", records.ledger_items(F.col("said"))).select("l_orderkey", "l_linenumber", records.split_ledger(F.col("said"))["prose"].alias("prose"), F.size(items).alias("n"), F.try_element_at(items, F.lit(1))["id"].alias("first_id"))
 
 
 @query(f"""select {L}, case when l_orderkey % 7 = 0 or l_linenumber % 2 = 0 then null else 'Outstanding drawing DWG-' || l_partkey || ' revision' end as orphan from lineitem""")
@@ -61,8 +61,8 @@ def registrar_facts(spark, sf):
         '{"project": [{"value": " Tower ', "{l_suppkey}", '", "cite": "M1"}, {"value": "Annex", "cite": "M2"}], "facts": [{"field": "Ref", "value": "PO-', "{l_partkey}", '", "cite": "M1"}, {"field": "ref", "value": "PO-', "{l_partkey}",
         '", "cite": "M2"}, {"field": "amount", "value": "', "{l_partkey}", '.00"}, {"field": "colour", "value": "red"}, {"field": "date", "value": " "}], "contacts": [{"name": " Ann ", "cite": "M3"}, {"phone": "1"}]}',
     )
-    f = records.registrar_facts(F.col("answer"))
-    return lines(spark, sf).withColumn("answer", answer).select("l_orderkey", "l_linenumber", f["project"].alias("project"), F.array_join(f["refs"], "|").alias("refs"), F.array_join(f["amounts"], "|").alias("amounts"), F.size(f["sources"]).alias("sources"), F.size(f["contacts"]).alias("contacts"))
+    f = F.col("f")
+    return lines(spark, sf).withColumn("answer", answer).withColumn("f", records.registrar_facts(F.col("answer"))).select("l_orderkey", "l_linenumber", f["project"].alias("project"), F.array_join(f["refs"], "|").alias("refs"), F.array_join(f["amounts"], "|").alias("amounts"), F.size(f["sources"]).alias("sources"), F.size(f["contacts"]).alias("contacts"))
 
 
 @query(f"""select {L}, case when l_partkey % 2 = 0 then 'PO-' || l_partkey || '|Acme Ltd' else 'PO-' || l_partkey end as kept, case when l_partkey % 2 = 0 then 'INV-0' else 'Acme Ltd|INV-0' end as dropped,
