@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZON = 30
+#: Rules that are broadcast rather than shuffled with the words of all items.
+FEW_RULES = 10_000
 
 
 def is_open(status: Column) -> Column:
@@ -61,21 +63,23 @@ def match_rules(items: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
     Phrases in scripts without word breaks apply where the text contains them. All rules meet items by
     equal keys, so neither side has to be small: a phrase by its first word (or first two characters),
-    then it is looked for; a part of a sender by its first three characters, among distinct senders.
+    then it is looked for; a part of a sender by its first three characters, among distinct senders. Up to
+    ``FEW_RULES`` rules are sent to the items; the items, whose words a size estimate does not see, never are.
     """
+    rule_side = F.broadcast if rules.limit(FEW_RULES + 1).count() <= FEW_RULES else lambda df: df.hint("merge")
     few = rules.select("kind", F.lower(F.trim("match")).alias("match"), "category", F.col("ordinal").alias("__rule")).where("match <> ''")
     plain = F.col("match").rlike("^[\\x00-\\x7F]*$")
     first_word = F.regexp_extract("match", "[a-z0-9]+", 0)
     said = few.where("kind = 'keyword'").withColumn("piece", F.when(plain & (first_word != ""), first_word).otherwise(F.substring("match", 1, 2)))
     low = F.lower(F.coalesce("text", F.lit("")))
     words = F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), F.flatten(F.transform(F.regexp_extract_all(low, F.lit(r"[^\x00-\x7F]+"), F.lit(0)), lambda r: _pieces(r, 2))))
-    met = items.select(key, low.alias("__low"), F.explode(F.array_distinct(words)).alias("piece")).join(said, "piece")
+    met = items.select(key, low.alias("__low"), F.explode(F.array_distinct(words)).alias("piece")).join(rule_side(said), "piece")
     whole = F.regexp_like("__low", F.concat(F.lit(r"(?U)\b\Q"), F.replace("match", F.lit(r"\E")), F.lit(r"\E\b")))
     by_word = met.where(F.when(plain, whole).otherwise(F.contains("__low", F.col("match"))))
     sent = few.where("kind = 'sender'").withColumn("piece", F.substring("match", 1, 3))
-    senders = items.select("sender").distinct().withColumn("piece", F.explode(_pieces(F.lower("sender"), 3))).join(sent, "piece").where(F.contains(F.lower("sender"), F.col("match")))
-    by_sender = items.select(key, "sender").join(senders, "sender")
-    by_project = items.select(key, F.lower(F.trim(F.regexp_replace("project", r"\s+", " "))).alias("match")).join(few.where("kind = 'project'"), "match")
+    senders = items.select("sender").distinct().withColumn("piece", F.explode(_pieces(F.lower("sender"), 3))).join(rule_side(sent), "piece").where(F.contains(F.lower("sender"), F.col("match")))
+    by_sender = items.select(key, "sender").hint("merge").join(senders, "sender")
+    by_project = items.select(key, F.lower(F.trim(F.regexp_replace("project", r"\s+", " "))).alias("match")).join(rule_side(few.where("kind = 'project'")), "match")
     hits = by_word.select(key, "category", "__rule").unionByName(by_sender.select(key, "category", "__rule")).unionByName(by_project.select(key, "category", "__rule"))
     return hits.groupBy(key).agg(F.max_by("category", "__rule").alias("category"), F.max("__rule").alias("rule"))
 
