@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +16,11 @@ from missiva.functions.names import FREE_MAIL, company_code, company_key, domain
 from missiva.operators.components import connected_components
 from missiva.session import materialize
 
+#: People of one name and domain that are compared each with each.
+FEW_NAMESAKES = 64
+#: Walls that are gone through one by one between two merges of those that stand.
+WALL_BLOCK = 4096
+
 
 def sender_rollup(mail: DataFrame) -> DataFrame:
     """Per sender: distinct messages, first and last day, newest message (ties: the later row)."""
@@ -27,6 +36,12 @@ def firm_consensus(people: DataFrame) -> DataFrame:
     return votes.withColumn("k", F.row_number().over(order)).where("k = 1").select("domain", "key", F.col("count").alias("votes"))
 
 
+def _remainders(text: Column) -> Column:
+    """``text`` and what is left of it without one or two characters, each once."""
+    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
+    return F.array_distinct(F.concat(F.array(text), fewer(text), F.flatten(F.transform(fewer(text), fewer))))
+
+
 def near_keys(keys: DataFrame, column: str = "key", block: int = 4, least: int = 6, letters: str = "a-z0-9") -> DataFrame:
     """Pairs of keys that share a block of first characters and differ by at most two edits.
 
@@ -34,11 +49,8 @@ def near_keys(keys: DataFrame, column: str = "key", block: int = 4, least: int =
     the keys meet by equal remainders, not by all pairs of a block.
     """
     rows = keys.select(F.col(column).alias("a")).where(F.col(column).rlike(f"^[{letters}]{{{least},}}$")).distinct()
-    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
-    tail = F.substring("a", block + 1, F.char_length("a"))
-    left = F.array_distinct(F.concat(F.array(tail), fewer(tail), F.flatten(F.transform(fewer(tail), fewer))))
-    posted = rows.select("a", F.explode(left).alias("left")).select("a", F.concat(F.substring("a", 1, block), "left").alias("rest"))
-    pairs = posted.join(posted.withColumnRenamed("a", "b"), "rest").where(F.col("a") < F.col("b")).select("a", "b").distinct()
+    posted = rows.select("a", F.explode(_remainders(F.substring("a", block + 1, F.char_length("a")))).alias("left")).select("a", F.concat(F.substring("a", 1, block), "left").alias("rest"))
+    pairs = posted.hint("merge").join(posted.withColumnRenamed("a", "b"), "rest").where(F.col("a") < F.col("b")).select("a", "b").distinct()
     return pairs.where(near(F.col("a"), F.col("b")))
 
 
@@ -111,9 +123,25 @@ def resolve_chains(merges: DataFrame, rounds: int | None = None) -> DataFrame:
     return now.join(ends, "from_key", "left").select("from_key", F.when(F.col("cyclic"), F.col("from_key")).otherwise(F.col("to_key")).alias("to_key"))
 
 
-def _free_number(walls: Column, rank: Column) -> Column:
-    """The ``rank``-th number that is none of the ascending ``walls``."""
-    return F.aggregate(walls, rank, lambda n, w: n + F.when(n >= w, 1).otherwise(0))
+def _standing(walls: pd.DataFrame) -> pd.DataFrame:
+    """The walls of one base that stand: each, by the time of its owner, is past the numbers that its base had taken before it.
+
+    That is so if the free numbers below it, those that are no earlier standing wall, are at least as
+    many as the firms of its base before it. Standing walls of the block at hand are kept in a sorted list, earlier ones in a sorted array.
+    """
+    walls = walls.sort_values("by", kind="stable")
+    x, before = walls["x"].to_numpy(), walls["before"].to_numpy()
+    stands, known = np.zeros(len(x), bool), np.zeros(0, x.dtype)
+    for at in range(0, len(x), WALL_BLOCK):
+        part, recent = x[at : at + WALL_BLOCK], []
+        free = part - 1 - np.searchsorted(known, part)
+        for i, (number, room, earlier) in enumerate(zip(part.tolist(), free.tolist(), before[at : at + WALL_BLOCK].tolist())):
+            if room - bisect_left(recent, number) >= earlier:
+                insort(recent, number)
+                stands[at + i] = True
+        known = np.sort(np.concatenate([known, np.array(recent, x.dtype)]), kind="stable")
+    # the i-th wall moves on everybody whose rank is at least its number less the walls before it
+    return pd.DataFrame({"base": walls["base"].iloc[0], "moves": known - np.arange(len(known))})
 
 
 def unique_codes(firms: DataFrame, base: str = "code", order: str = "first_seen", given: str | None = None) -> DataFrame:
@@ -139,12 +167,14 @@ def unique_codes(firms: DataFrame, base: str = "code", order: str = "first_seen"
         split = claims.select("*", F.explode(F.sequence(F.length("code") - digits, F.length("code"))).alias("cut"))
         split = split.select("at", "own", F.substring("code", F.lit(1), F.col("cut")).alias("base"), F.substring("code", F.col("cut") + 1, F.length("code")).alias("number")).where("number = '' or (length(number) < 10 and number rlike '^([2-9]|[1-9][0-9]+)$')")
         walls = split.where("own is null or own <> base").join(bases, "base", "left_semi").groupBy("base", F.when(F.col("number") == "", 1).otherwise(F.expr("try_cast(number as int)")).alias("x")).agg(F.min("at").alias("by"))
-        # a wall stands if it is past the numbers that its base had taken before it
-        before = auto.join(walls, "base").groupBy("base", "x", "by").agg(F.coalesce(F.max(F.when(F.col("at") < F.col("by"), F.col("rank"))), F.lit(0)).alias("before"))
-        listed = before.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("by", "x", "before"))).alias("walls"))
-        taken = lambda xs, w: F.when(w["before"] > 0, _free_number(F.array_sort(xs), w["before"])).otherwise(0)
-        standing = listed.select("base", F.aggregate("walls", F.array().cast("array<int>"), lambda xs, w: F.when(w["x"] > taken(xs, w), F.array_append(xs, w["x"])).otherwise(xs)).alias("walls"))
-        moved = auto.join(standing, "base", "left").withColumn("n", F.coalesce(_free_number(F.array_sort("walls"), F.col("rank")), "rank")).drop("walls").withColumn("code", coded)
+        # a wall's place among the firms of its base, and a firm's among the standing walls, come from one sorted pass each
+        every = walls.select("base", F.col("by").alias("at"), F.col("x").cast("long").alias("x")).unionByName(auto.select("base", "at"), allowMissingColumns=True)
+        so_far = Window.partitionBy("base").orderBy("at", F.col("x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        placed = every.select("base", "x", F.count("*").over(so_far).alias("by"), F.count_if(F.col("x").isNull()).over(so_far).alias("before")).where("x is not null")
+        standing = placed.groupBy("base").applyInPandas(_standing, "base string, moves long")
+        both = auto.unionByName(standing.select("base", F.col("moves").cast("int").alias("rank"), F.lit(1).alias("wall")), allowMissingColumns=True)
+        passed = F.count("wall").over(Window.partitionBy("base").orderBy("rank", F.col("wall").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+        moved = both.withColumn("n", (F.col("rank") + passed).cast("int")).where("wall is null").select(*auto.columns, "n").withColumn("code", coded)
         moved = materialize(moved, "codes")
         if moved.select("at", "n").exceptAll(now.select("at", "n")).isEmpty():
             break
@@ -207,17 +237,18 @@ def fill_blanks(people: DataFrame, found: DataFrame, fields: Sequence[str]) -> D
 def duplicate_people(people: DataFrame, most: int = 2, who: Column | None = None) -> DataFrame:
     """Pairs ``a, b`` of addresses of one name that share the domain with near local parts, or the local part with near domains.
 
-    ``who`` is what counts as the name, by default the name without case and with single blanks. They meet
-    by name, domain or local part, and equal remainders after at most two deletions.
+    ``who`` is what counts as the name, by default the name without case and with single blanks. The people of one
+    name and domain (or local part) meet directly if they are few, else by equal remainders after at most two deletions.
     """
     who = F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))) if who is None else who
-    rows = people.select("email", who.alias("who"), F.substring_index("email", "@", 1).alias("local"), domain(F.col("email")).alias("host")).where("who <> ''")
-    fewer = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1))), lambda i: F.concat(F.substring(t, 1, i - 1), F.substring(t, i + 1, F.char_length(t))))
+    rows = people.select("email", who.alias("who"), F.substring_index("email", "@", 1).alias("local"), domain(F.col("email")).alias("host")).where("who <> ''").distinct()
     found = []
     for same, close in (("host", "local"), ("local", "host")):
-        left = F.array_distinct(F.concat(F.array(close), fewer(F.col(close)), F.flatten(F.transform(fewer(F.col(close)), fewer))))
-        posted = rows.select("email", "who", same, close, F.explode(left).alias("rest"))
-        other = posted.select(F.col("email").alias("b"), "who", same, F.col(close).alias("__close"), "rest")
-        pairs = posted.join(other, ["who", same, "rest"]).where((F.col("email") < F.col("b")) & near(F.col(close), F.col("__close"), most))
-        found.append(pairs.select(F.col("email").alias("a"), "b").distinct())
-    return found[0].unionAll(found[1]).distinct()
+        sized = rows.select("email", "who", F.col(same).alias("same"), F.col(close).alias("close")).withColumn("n", F.count("*").over(Window.partitionBy("who", "same")))
+        small, large = sized.where(F.col("n").between(2, FEW_NAMESAKES)), sized.where(F.col("n") > FEW_NAMESAKES)
+        posted = large.select("email", "who", "same", "close", F.explode(_remainders(F.col("close"))).alias("rest"))
+        for side, meet in ((small, ["who", "same"]), (posted, ["who", "same", "rest"])):
+            other = side.select(F.col("email").alias("b"), F.col("close").alias("__close"), *meet)
+            pairs = side.hint("merge").join(other, meet).where((F.col("email") < F.col("b")) & near(F.col("close"), F.col("__close"), most))
+            found.append(pairs.select(F.col("email").alias("a"), "b"))
+    return reduce(DataFrame.unionAll, found).distinct()

@@ -84,7 +84,7 @@ def fold_members(people: DataFrame, order: str = "ordinal") -> DataFrame:
     who = F.trim(F.regexp_replace(F.lower("name"), "[^a-z ]", ""))
     ranked = people.select("email", rank.alias("rank"), (who != F.substring_index("email", "@", 1)).alias("takes"))
     side = lambda p, c: ranked.select(F.col("email").alias(c), F.col("rank").alias(f"{c}_rank"), F.col("takes").alias(f"{c}_takes"))
-    pairs = duplicate_people(people.where("email like '%@%'"), who=who).join(side("a", "a"), "a").join(side("b", "b"), "b")
+    pairs = duplicate_people(people.where("email like '%@%'"), who=who).hint("merge").join(side("a", "a"), "a").hint("merge").join(side("b", "b"), "b")
     ahead = F.col("a_rank") < F.col("b_rank")
     pick = lambda c: F.when(ahead, F.col(f"a{c}")).otherwise(F.col(f"b{c}"))
     edges = pairs.select(pick("").alias("first"), pick("_rank").alias("first_rank"), pick("_takes").alias("takes"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("later")).where("takes").drop("takes")
@@ -116,7 +116,7 @@ def fold_people(people: DataFrame, order: str = "ordinal", filled: Sequence[str]
     members = fold_members(people.where("email is not null"), order)
     rest = [c for c in people.columns if c not in ("email", "count", "aliases", *filled)]
     none = F.array().cast("array<string>")
-    placed = people.join(members, "email", "left").withColumn("__head", F.coalesce("head", "email")).drop("head")
+    placed = people.hint("merge").join(members, "email", "left").withColumn("__head", F.coalesce("head", "email")).drop("head")
     own = F.col("__head").eqNullSafe(F.col("email"))
     rank = F.struct(~own, (-F.coalesce("count", F.lit(0))), F.col(order), F.col("email"))
     given = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.col(c))

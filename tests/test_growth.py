@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from missiva.operators import matters
+from missiva.operators import directory, matters
 
 
 def broadcast(df):
@@ -29,3 +29,42 @@ def test_rules_never_broadcast_the_items(spark, tmp_path, monkeypatch, most):
     got = matters.match_rules(spark.read.parquet(f"{tmp_path}/items"), spark.read.parquet(f"{tmp_path}/rules"), "id")
     assert "/items" not in broadcast(got)
     assert {r.id: r.category for r in got.collect()} == {i: "c" if i % 5 == 2 else "b" if i % 9 == 7 else "a" for i in range(50)}
+
+
+def test_people_of_one_name_meet_directly_or_by_remainders(spark, monkeypatch):
+    rows = [(f"ann{i}@firm.example", "Ann") for i in range(30)] + [("bob@a.example", "Bob"), ("bob@ab.example", "Bob"), ("bob@a.example", "Bob")]
+    people = spark.createDataFrame(rows, "email string, name string")
+    pairs = lambda: sorted((r.a, r.b) for r in directory.duplicate_people(people).collect())
+    direct = pairs()
+    assert len(direct) == len(set(direct)) == 30 * 29 // 2 + 1
+    monkeypatch.setattr(directory, "FEW_NAMESAKES", 1)
+    assert pairs() == direct
+
+
+def test_people_are_never_broadcast_with_their_remainders(spark, tmp_path):
+    spark.createDataFrame([(f"ann{i}@firm.example", f"Ann {i}") for i in range(20)], "email string, name string").write.parquet(f"{tmp_path}/people")
+    people = spark.read.parquet(f"{tmp_path}/people")
+    assert "/people" not in broadcast(directory.duplicate_people(people))
+    assert "/people" not in broadcast(directory.near_keys(people.select(F.concat(F.lit("abcd"), F.substring("name", 5, 9)).alias("key"))))
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_walls_stand_as_the_sequential_rule_has_it(monkeypatch, block):
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(directory, "WALL_BLOCK", block)
+    rng = random.Random(7)
+    for _ in range(60):
+        numbers = rng.sample(range(1, 40), rng.randrange(1, 25))
+        before = sorted(rng.randrange(0, 30) for _ in numbers)
+        standing = []
+        for x, n in zip(numbers, before):
+            free = [k for k in range(1, 100) if k not in standing]
+            if x > (free[n - 1] if n else 0):
+                standing.append(x)
+        walls = pd.DataFrame({"base": "A", "by": range(len(numbers)), "x": numbers, "before": before})
+        moves = directory._standing(walls.sample(frac=1, random_state=1))["moves"].tolist()
+        for rank in range(1, 40):
+            assert rank + sum(m <= rank for m in moves) == [k for k in range(1, 100) if k not in standing][rank - 1]
