@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from missiva.functions.names import FREE_MAIL, company_code, company_key, domain, near
 from missiva.operators.components import connected_components
@@ -18,8 +17,6 @@ from missiva.session import materialize
 
 #: People of one name and domain that are compared each with each.
 FEW_NAMESAKES = 64
-#: Walls that are gone through one by one between two merges of those that stand.
-WALL_BLOCK = 4096
 
 
 def sender_rollup(mail: DataFrame) -> DataFrame:
@@ -123,64 +120,54 @@ def resolve_chains(merges: DataFrame, rounds: int | None = None) -> DataFrame:
     return now.join(ends, "from_key", "left").select("from_key", F.when(F.col("cyclic"), F.col("from_key")).otherwise(F.col("to_key")).alias("to_key"))
 
 
-def _standing(walls: pd.DataFrame) -> pd.DataFrame:
-    """The walls of one base that stand: each, by the time of its owner, is past the numbers that its base had taken before it.
+def _in_turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``at, code`` of rows ``stem, base, given, at`` in order of stem and time, after one row without ``at`` for each base of a stem.
 
-    That is so if the free numbers below it, those that are no earlier standing wall, are at least as
-    many as the firms of its base before it. Standing walls of the block at hand are kept in a sorted list, earlier ones in a sorted array.
+    Per base only the next number and the numbers ahead of it that others hold are kept.
     """
-    walls = walls.sort_values("by", kind="stable")
-    x, before = walls["x"].to_numpy(), walls["before"].to_numpy()
-    stands, known = np.zeros(len(x), bool), np.zeros(0, x.dtype)
-    for at in range(0, len(x), WALL_BLOCK):
-        part, recent = x[at : at + WALL_BLOCK], []
-        free = part - 1 - np.searchsorted(known, part)
-        for i, (number, room, earlier) in enumerate(zip(part.tolist(), free.tolist(), before[at : at + WALL_BLOCK].tolist())):
-            if room - bisect_left(recent, number) >= earlier:
-                insort(recent, number)
-                stands[at + i] = True
-        known = np.sort(np.concatenate([known, np.array(recent, x.dtype)]), kind="stable")
-    # the i-th wall moves on everybody whose rank is at least its number less the walls before it
-    return pd.DataFrame({"base": walls["base"].iloc[0], "moves": known - np.arange(len(known))})
+    now, following, ahead = None, {}, {}
+    for batch in batches:
+        codes = []
+        for stem, base, code, at in zip(*(batch.column(c).to_pylist() for c in ("stem", "base", "given", "at"))):
+            if stem != now:
+                now, following, ahead = stem, {}, {}
+            if at is None:
+                following[base], ahead[base] = 1, set()
+                codes.append(None)
+                continue
+            codes.append(code)
+            if code is None:
+                n = following[base]
+                while n in ahead[base]:
+                    ahead[base].remove(n)
+                    n += 1
+                following[base] = n + 1
+                codes[-1] = code = base + (str(n) if n > 1 else "")
+            for cut in range(len(stem), len(code) + 1):
+                number = code[cut:]
+                if code[:cut] in following and number != "1" and not number.startswith("0"):
+                    x = int(number or 1)
+                    if x >= following[code[:cut]]:
+                        ahead[code[:cut]].add(x)
+        yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(codes, pa.string())], ["at", "code"])
 
 
 def unique_codes(firms: DataFrame, base: str = "code", order: str = "first_seen", given: str | None = None) -> DataFrame:
     """``firms`` with ``unique_code``: in the order of ``order`` (unique), each takes the first of its base, base2, base3, ... that no earlier one has.
 
-    A firm with a code in the column ``given`` keeps it, even if another has it; later firms make way for it. The
-    firms of one base take growing numbers, so a number is a firm's rank among those of its base that are
-    not walls: numbers whose code belongs to an earlier firm of another base (AB, AB, AB2: the third
-    firm's own code is the second's). Each round takes the walls from the codes of the round before,
-    until no code changes; a code depends on those of earlier firms only, so this ends, and ends alike.
+    A firm with a code in the column ``given`` keeps it, even if another has it; later firms make way for it. Codes can
+    only meet if they are the same without the digits at their ends (AB, AB2: the third firm's own code may be the second's),
+    so the firms of such a stem are numbered in one pass over them in order, as the rule asks.
     """
     fixed = F.lit(None).cast("string") if given is None else F.nullif(F.trim(given), F.lit(""))
     rows = firms.withColumn("__given", fixed).withColumn("__base", F.coalesce(base, F.lit("")))
-    auto = rows.where("__given is null").select(F.col("__base").alias("base"), F.col(order).alias("at"))
-    auto = materialize(auto.withColumn("rank", F.row_number().over(Window.partitionBy("base").orderBy("at"))), "codes")
-    bases = auto.select("base").distinct()
-    kept = rows.where("__given is not null").select(F.col("__given").alias("code"), F.col(order).alias("at"), F.lit(None).cast("string").alias("own"))
-    coded = F.concat("base", F.when(F.col("n") > 1, F.col("n").cast("string")).otherwise(""))
-    now = materialize(auto.withColumn("n", F.col("rank")).withColumn("code", coded), "codes")
-    digits = F.length(F.regexp_extract("code", "[0-9]*$", 0))
-    while True:
-        claims = now.select("code", "at", F.col("base").alias("own")).unionAll(kept)
-        split = claims.select("*", F.explode(F.sequence(F.length("code") - digits, F.length("code"))).alias("cut"))
-        split = split.select("at", "own", F.substring("code", F.lit(1), F.col("cut")).alias("base"), F.substring("code", F.col("cut") + 1, F.length("code")).alias("number")).where("number = '' or (length(number) < 10 and number rlike '^([2-9]|[1-9][0-9]+)$')")
-        walls = split.where("own is null or own <> base").join(bases, "base", "left_semi").groupBy("base", F.when(F.col("number") == "", 1).otherwise(F.expr("try_cast(number as int)")).alias("x")).agg(F.min("at").alias("by"))
-        # a wall's place among the firms of its base, and a firm's among the standing walls, come from one sorted pass each
-        every = walls.select("base", F.col("by").alias("at"), F.col("x").cast("long").alias("x")).unionByName(auto.select("base", "at"), allowMissingColumns=True)
-        so_far = Window.partitionBy("base").orderBy("at", F.col("x").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-        placed = every.select("base", "x", F.count("*").over(so_far).alias("by"), F.count_if(F.col("x").isNull()).over(so_far).alias("before")).where("x is not null")
-        standing = placed.groupBy("base").applyInPandas(_standing, "base string, moves long")
-        both = auto.unionByName(standing.select("base", F.col("moves").cast("int").alias("rank"), F.lit(1).alias("wall")), allowMissingColumns=True)
-        passed = F.count("wall").over(Window.partitionBy("base").orderBy("rank", F.col("wall").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-        moved = both.withColumn("n", (F.col("rank") + passed).cast("int")).where("wall is null").select(*auto.columns, "n").withColumn("code", coded)
-        moved = materialize(moved, "codes")
-        if moved.select("at", "n").exceptAll(now.select("at", "n")).isEmpty():
-            break
-        now = moved
-    found = rows.join(now.select(F.col("at").alias(order), F.col("code").alias("__code")), order, "left")
-    return found.select(*firms.columns, F.coalesce("__given", "__code").alias("unique_code"))
+    turns = rows.select(F.when(F.col("__given").isNull(), F.col("__base")).alias("base"), F.col("__given").alias("given"), F.col(order).alias("at"))
+    every = turns.unionByName(turns.where("base is not null").select("base").distinct(), allowMissingColumns=True)
+    every = every.withColumn("stem", F.regexp_replace(F.coalesce("given", "base"), "[0-9]+$", ""))
+    sorted_ = every.repartition("stem").sortWithinPartitions("stem", F.col("at").asc_nulls_first())
+    found = sorted_.mapInArrow(_in_turn, StructType([turns.schema["at"], StructField("code", StringType())])).where("code is not null")
+    coded = rows.hint("merge").join(found.select(F.col("at").alias(order), F.col("code").alias("__code")), order, "left")
+    return coded.select(*firms.columns, F.coalesce("__given", "__code").alias("unique_code"))
 
 
 def project_index(records: DataFrame) -> DataFrame:

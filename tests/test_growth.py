@@ -48,23 +48,16 @@ def test_people_are_never_broadcast_with_their_remainders(spark, tmp_path):
     assert "/people" not in broadcast(directory.near_keys(people.select(F.concat(F.lit("abcd"), F.substring("name", 5, 9)).alias("key"))))
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_walls_stand_as_the_sequential_rule_has_it(monkeypatch, block):
-    import random
-
-    import pandas as pd
-
-    monkeypatch.setattr(directory, "WALL_BLOCK", block)
-    rng = random.Random(7)
-    for _ in range(60):
-        numbers = rng.sample(range(1, 40), rng.randrange(1, 25))
-        before = sorted(rng.randrange(0, 30) for _ in numbers)
-        standing = []
-        for x, n in zip(numbers, before):
-            free = [k for k in range(1, 100) if k not in standing]
-            if x > (free[n - 1] if n else 0):
-                standing.append(x)
-        walls = pd.DataFrame({"base": "A", "by": range(len(numbers)), "x": numbers, "before": before})
-        moves = directory._standing(walls.sample(frac=1, random_state=1))["moves"].tolist()
-        for rank in range(1, 40):
-            assert rank + sum(m <= rank for m in moves) == [k for k in range(1, 100) if k not in standing][rank - 1]
+def test_codes_that_meet_are_numbered_in_one_pass(spark):
+    """Rounds over all firms, each some ten firms further than the last, did not come to an end here."""
+    bases = ["AB2" if i % 10 == 7 else "AB22" if i % 10 == 8 else "ABC" if i % 2 == 0 else "AB" for i in range(1, 20001)]
+    taken, following, want = set(), {}, []
+    for b in bases:
+        n = following.get(b, 1)
+        while b + (str(n) if n > 1 else "") in taken:
+            n += 1
+        following[b] = n + 1
+        taken.add(want.append(b + (str(n) if n > 1 else "")) or want[-1])
+    firms = spark.createDataFrame(list(enumerate(bases)), "first_seen long, code string")
+    got = directory.unique_codes(firms)
+    assert [r.unique_code for r in got.orderBy("first_seen").collect()] == want
