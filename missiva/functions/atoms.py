@@ -61,13 +61,20 @@ def _reference(prefix: Column, number: Column, suffix: Column) -> Column:
     return F.concat(F.upper(prefix), F.lit("-"), whole, part, F.upper(suffix))
 
 
-def extract_refs(text: Column) -> Column:
-    """Canonical references in order of the four forms: codes, codes with "no.", nouns with a number, bare versions."""
+#: Digits of a reference's number, unless a caller's references are longer.
+REFERENCE_DIGITS = 6
+
+
+def extract_refs(text: Column, digits: int = REFERENCE_DIGITS) -> Column:
+    """Canonical references in order of the four forms: codes, codes with "no.", nouns with a number, bare versions.
+
+    A number of more than ``digits`` digits is none of a reference.
+    """
     nouns = "|".join(REFERENCE_NOUNS)
-    number, letter = r"(\d{1,6}(?:\.\d{1,3})?)", r"([A-Za-z])?\b"
+    number, letter = rf"(\d{{1,{digits}}}(?:\.\d{{1,3}})?)", r"([A-Za-z])?\b"
     forms = [
         (rf"\b([A-Z]{{2,6}})[-/ ]?{number}{letter}", True),
-        (r"\b([A-Z]{2,6})\s+[Nn]o\.?\s*(\d{1,6})\b", False),
+        (rf"\b([A-Z]{{2,6}})\s+[Nn]o\.?\s*(\d{{1,{digits}}})\b", False),
         (rf"(?i)\b({nouns})\b\s*(?:no\.?|number|#|:)?\s*[-/]?\s*{number}{letter}", True),
     ]
 
@@ -170,9 +177,9 @@ def extract_links(text: Column) -> Column:
     return F.aggregate(every, empty, lambda acc, x: F.when(F.exists(acc, lambda y: y["url"] == x["url"]), acc).otherwise(F.array_append(acc, x)))
 
 
-def extract_atoms(text: Column) -> Column:
+def extract_atoms(text: Column, digits: int = REFERENCE_DIGITS) -> Column:
     """All classes in one struct."""
-    return F.struct(extract_refs(text).alias("refs"), extract_dates(text).alias("dates"), extract_amounts(text).alias("amounts"), extract_emails(text).alias("emails"), extract_percents(text).alias("percents"))
+    return F.struct(extract_refs(text, digits).alias("refs"), extract_dates(text).alias("dates"), extract_amounts(text).alias("amounts"), extract_emails(text).alias("emails"), extract_percents(text).alias("percents"))
 
 
 def shape(token: Column) -> Column:

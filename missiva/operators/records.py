@@ -347,31 +347,31 @@ def haystack(actions: Column) -> Column:
     return F.lower(F.array_join(F.coalesce(said, _empty()), " "))
 
 
-def _covered(text: Column, more: Column, hay: Column) -> tuple[Column, Column]:
+def _covered(text: Column, more: Column, hay: Column, digits: int) -> tuple[Column, Column]:
     """Is a text covered by a shared reference or two shared long words; has it any of them?"""
-    refs = F.transform(atoms.extract_refs(F.concat_ws(" ", text, more)), F.lower)
+    refs = F.transform(atoms.extract_refs(F.concat_ws(" ", text, more), digits), F.lower)
     words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0)), F.regexp_extract_all(text, F.lit("[一-鿿]{2,}"), F.lit(0))))
     shared = F.size(F.filter(words, lambda w: F.contains(hay, w)))
     return F.exists(refs, lambda r: F.contains(hay, r)) | (shared >= 2), (F.size(refs) > 0) | (F.size(words) > 0)
 
 
-def uncovered(candidates: Column, hay: Column, cues: Sequence[str] = ("request", "obligation", "waiver"), most: int = 10) -> Column:
+def uncovered(candidates: Column, hay: Column, cues: Sequence[str] = ("request", "obligation", "waiver"), most: int = 10, digits: int = atoms.REFERENCE_DIGITS) -> Column:
     """Texts of the candidates with such a cue that no action covers, at most ``most``, in order."""
     asked = F.filter(candidates, lambda c: F.arrays_overlap(c["cues"], F.array(*map(F.lit, cues))))
 
     def open_(c: Column) -> Column:
-        covered, judged = _covered(c["text"], F.lit(""), hay)
+        covered, judged = _covered(c["text"], F.lit(""), hay, digits)
         return judged & ~covered
 
     return F.slice(F.transform(F.filter(asked, open_), lambda c: c["text"]), 1, most)
 
 
-def unreconciled(items: Column, hay: Column, most: int = 10) -> Column:
+def unreconciled(items: Column, hay: Column, most: int = 10, digits: int = atoms.REFERENCE_DIGITS) -> Column:
     """Open ledger items that no action covers, at most ``most``, in order."""
     matter = lambda x: F.coalesce(*(F.nullif(_strip(x[f]), F.lit("")) for f in ("matter", "item", "desc", "title")), F.lit(""))
 
     def open_(x: Column) -> Column:
-        covered, judged = _covered(matter(x), _strip(x["id"]), hay)
+        covered, judged = _covered(matter(x), _strip(x["id"]), hay, digits)
         return ~F.lower(F.coalesce(F.nullif(x["status"], F.lit("")), F.lit("open"))).isin(*CLOSED) & judged & ~covered
 
     return F.slice(F.transform(F.filter(items, open_), lambda x: F.coalesce(F.nullif(matter(x), F.lit("")), _strip(x["id"]))), 1, most)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from missiva.functions.atoms import extract_atoms
+from missiva.functions.atoms import REFERENCE_DIGITS, extract_atoms
 from missiva.operators.archive import coverage, latest
 
 
@@ -203,9 +203,9 @@ def fact_tags(facts: Column, tags: Column) -> Column:
     return F.struct(F.coalesce(facts["refs"], none).alias("refs"), F.coalesce(amounts, none).alias("amounts"), F.coalesce(facts["percents"], none).alias("percents"), F.coalesce(tags, none).alias("facet_tags"))
 
 
-def gold_candidates(threads: DataFrame, text: str, version: int = 1) -> DataFrame:
+def gold_candidates(threads: DataFrame, text: str, version: int = 1, digits: int = REFERENCE_DIGITS) -> DataFrame:
     """``thread_id, confirmed, gold_version, atoms``: what the rules find in a thread's text, to be confirmed by hand."""
-    return threads.select("thread_id", F.lit(False).alias("confirmed"), F.lit(version).alias("gold_version"), extract_atoms(F.col(text)).alias("atoms"))
+    return threads.select("thread_id", F.lit(False).alias("confirmed"), F.lit(version).alias("gold_version"), extract_atoms(F.col(text), digits).alias("atoms"))
 
 
 def preferences(events: DataFrame) -> DataFrame:

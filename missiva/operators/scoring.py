@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missiva.functions.atoms import extract_amounts, extract_dates, extract_emails, extract_refs
+from missiva.functions.atoms import REFERENCE_DIGITS, extract_amounts, extract_dates, extract_emails, extract_refs
 from missiva.operators.archive import latest
 from missiva.session import materialize
 
@@ -53,14 +53,14 @@ def panel_vote(votes: DataFrame) -> DataFrame:
 KNOWN = (*CLASSES, "emails")
 
 
-def canonical(facts: Column) -> Column:
+def canonical(facts: Column, digits: int = REFERENCE_DIGITS) -> Column:
     """Facts of a model (a map of class to strings) as sets of canonical values: references, dates, amounts and addresses as the rules write them, other classes trimmed and in lower case."""
     none = F.array().cast("array<string>")
     given = lambda kind: F.coalesce(F.try_element_at(facts, F.lit(kind)), none)
     told = lambda values: F.array_join(values, " ; ")
     people = F.when(F.size(given("parties")) > 0, given("parties")).otherwise(given("emails"))
     known = F.create_map(
-        F.lit("refs"), extract_refs(told(given("refs"))), F.lit("dates"), extract_dates(told(given("dates"))),
+        F.lit("refs"), extract_refs(told(given("refs")), digits), F.lit("dates"), extract_dates(told(given("dates"))),
         F.lit("amounts"), money(extract_amounts(told(given("amounts")))), F.lit("emails"), extract_emails(told(people)),
     )
     others = F.map_filter(facts, lambda k, _: ~k.isin(*KNOWN))
@@ -73,7 +73,7 @@ def money(amounts: Column) -> Column:
     return F.transform(amounts, lambda a: F.concat(a["currency"], F.lit(" "), a["value"]))
 
 
-def evaluate(outputs: DataFrame, sources: DataFrame, gold: DataFrame) -> DataFrame:
+def evaluate(outputs: DataFrame, sources: DataFrame, gold: DataFrame, digits: int = REFERENCE_DIGITS) -> DataFrame:
     """``thread_id, side, kind, required, missed``: what each thread's latest output lacks of its source (side floor) and of its confirmed gold (side gold).
 
     ``outputs`` are ``thread_id, ts, facts`` (a map of class to strings; the latest of a thread counts,
@@ -86,7 +86,7 @@ def evaluate(outputs: DataFrame, sources: DataFrame, gold: DataFrame) -> DataFra
     sure = gold.where("confirmed").groupBy("thread_id").agg(F.first(F.coalesce("atoms", F.create_map().cast("map<string,array<string>>"))).alias("atoms"))
     text = F.coalesce("text", F.lit(""))
     rows = last.join(sources.select("thread_id", "text"), "thread_id").join(sure, "thread_id", "left").select(
-        "thread_id", "atoms", canonical(F.col("facts")).alias("have"), extract_refs(text).alias("refs"), extract_dates(text).alias("dates"), money(extract_amounts(text)).alias("amounts"))
+        "thread_id", "atoms", canonical(F.col("facts"), digits).alias("have"), extract_refs(text, digits).alias("refs"), extract_dates(text).alias("dates"), money(extract_amounts(text)).alias("amounts"))
     rows = materialize(rows, "evaluated")
     floor = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("need")) for c in CLASSES))).alias("x")
     by_rule = rows.select("thread_id", F.lit("floor").alias("side"), "have", floor).select("thread_id", "side", "have", "x.kind", "x.need")

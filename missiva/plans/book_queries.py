@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from missiva.functions.names import firm_code
 from missiva.operators import book, links, scoring
 from missiva.plans.queries import QUERIES, SQL, query  # noqa: F401
-from missiva.plans.views import table, view
+from missiva.plans.views import KEY_DIGITS, table, view
 
 
 # --- evaluation ----------------------------------------------------------------------------------
@@ -26,7 +26,7 @@ def _evaluated(spark, sf):
     outputs = mail.select("thread_id", F.lit("2").alias("ts"), facts.alias("facts")).unionAll(mail.select("thread_id", F.lit("1"), F.lit(None).cast("map<string,array<string>>")))
     atoms = F.create_map(F.lit("refs"), F.array(F.concat(F.lit("PO-"), "thread_id")), F.lit("actions"), F.when(k == 3, F.array(F.lit("reply 3"), F.lit("pay"))).otherwise(F.array(F.concat(F.lit("reply "), k.cast("string")))))
     gold = mail.select("thread_id", (F.col("thread_id") % 3 == 0).alias("confirmed"), atoms.alias("atoms"))
-    return scoring.evaluate(outputs, mail.select("thread_id", F.col("body").alias("text")), gold)
+    return scoring.evaluate(outputs, mail.select("thread_id", F.col("body").alias("text")), gold, KEY_DIGITS)
 
 
 @query("""

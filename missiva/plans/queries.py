@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from missiva.functions import atoms, deadlines, names, text
 from missiva.operators import archive, directory, links, matters, scoring, threads
-from missiva.plans.views import table, view, with_views
+from missiva.plans.views import KEY_DIGITS, table, view, with_views
 from missiva.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,7 +200,7 @@ def detect_links(spark, sf):
 
 @query("""select ordinal, 'PO-' || ordinal as refs from mail_v""")
 def extract_refs(spark, sf):
-    return view(spark, sf, "mail_v").select("ordinal", F.array_join(atoms.extract_refs(F.col("body")), "|").alias("refs"))
+    return view(spark, sf, "mail_v").select("ordinal", F.array_join(atoms.extract_refs(F.col("body"), KEY_DIGITS), "|").alias("refs"))
 
 
 @query("""select ordinal, sent_day as dates from mail_v""")
@@ -377,7 +377,7 @@ def _facts(spark, sf):
     plain = F.transform(F.col("a.amounts"), lambda x: F.concat(x["currency"], F.lit(" "), x["value"]))
     k = F.col("ordinal") % 4
     lose = lambda c, i: F.when(k == i, F.array().cast("array<string>")).otherwise(c)
-    rows = view(spark, sf, "mail_v").select("ordinal", atoms.extract_atoms(F.col("body")).alias("a")).select("ordinal", F.col("a.refs").alias("refs"), F.col("a.dates").alias("dates"), plain.alias("amounts"))
+    rows = view(spark, sf, "mail_v").select("ordinal", atoms.extract_atoms(F.col("body"), KEY_DIGITS).alias("a")).select("ordinal", F.col("a.refs").alias("refs"), F.col("a.dates").alias("dates"), plain.alias("amounts"))
     invented = F.when(F.col("ordinal") % 5 == 0, F.array(F.lit("ZZ-1"))).otherwise(F.array().cast("array<string>"))
     return rows.select(
         "ordinal", F.struct("refs", "dates", "amounts").alias("source"),

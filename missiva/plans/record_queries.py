@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from missiva.functions import text
 from missiva.operators import matters, records
 from missiva.plans.queries import QUERIES, SQL, query  # noqa: F401
-from missiva.plans.views import table
+from missiva.plans.views import KEY_DIGITS, table
 
 L = "l_orderkey, l_linenumber"
 
@@ -52,7 +52,7 @@ def ledger_items(spark, sf):
 def unreconciled_items(spark, sf):
     acts = F.when(F.col("l_linenumber") % 2 == 0, F.array(F.struct(say("Send DWG-", "{l_partkey}").alias("action"), F.lit("").alias("about"), F.lit("").alias("quote"), F.array().cast("array<string>").alias("refs")))).otherwise(F.from_json(F.lit("[]"), "array<struct<action:string,about:string,quote:string,refs:array<string>>>"))
     rows = with_ledger(spark, sf).withColumn("acts", acts)
-    return rows.select("l_orderkey", "l_linenumber", F.try_element_at(records.unreconciled(records.ledger_items(F.col("said")), records.haystack(F.col("acts"))), F.lit(1)).alias("orphan"))
+    return rows.select("l_orderkey", "l_linenumber", F.try_element_at(records.unreconciled(records.ledger_items(F.col("said")), records.haystack(F.col("acts")), digits=KEY_DIGITS), F.lit(1)).alias("orphan"))
 
 
 @query(f"""select {L}, 'Tower ' || l_suppkey as project, 'PO-' || l_partkey as refs, '' || l_partkey || '.00' as amounts, 5 as sources, 1 as contacts from lineitem""")
@@ -112,7 +112,7 @@ def missed_duties(spark, sf):
     acts = F.array(F.struct(F.when(F.col("l_linenumber") % 2 == 0, say("Return bond PO-", "{l_partkey}")).otherwise("Nothing").alias("action"), F.lit("").alias("about"), F.lit("").alias("quote"), F.array().cast("array<string>").alias("refs")))
     rows = lines(spark, sf).withColumn("said", said).withColumn("hay", records.haystack(acts))
     rows = rows.withColumn("implied", records.implied_action(F.element_at(text.implied_candidates(F.col("said")), 1)["text"]))
-    missed = records.uncovered(text.obligation_candidates(F.col("said")), F.col("hay"))
+    missed = records.uncovered(text.obligation_candidates(F.col("said")), F.col("hay"), digits=KEY_DIGITS)
     soft = F.transform(text.soft_candidates(F.col("said")), lambda x: x["text"])
     return rows.select("l_orderkey", "l_linenumber", F.try_element_at(F.filter(missed, lambda m: F.startswith(m, F.lit("Kindly"))), F.lit(1)).alias("missed"), F.col("implied.action").alias("implied"), "implied.due_canonical", "implied.due_basis", F.array_join(soft, "|").alias("soft"))
 

@@ -42,6 +42,8 @@ from {customer} join {part} on p_partkey = c_custkey % 40
 """
 
 SOURCES = {"mail_full": (MAIL_FULL, ("orders",)), "action_v": (ACTION, ("lineitem",)), "link_v": (LINK, ("lineitem",)), "person_v": (PERSON, ("customer", "part"))}
+#: References made of keys: as long as keys of large tables are.
+KEY_DIGITS = 18
 PRESENT = "not (pos = 0 and ordinal % 11 = 0)"
 
 

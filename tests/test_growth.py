@@ -1,6 +1,8 @@
 """What must hold for tables of any size: nothing large is broadcast, keys may be long, work per row does not repeat."""
 
+import duckdb
 import pytest
+from duck import rows as plain_rows
 from pyspark.sql import functions as F
 
 from missiva.operators import directory, matters
@@ -61,3 +63,27 @@ def test_codes_that_meet_are_numbered_in_one_pass(spark):
     firms = spark.createDataFrame(list(enumerate(bases)), "first_seen long, code string")
     got = directory.unique_codes(firms)
     assert [r.unique_code for r in got.orderBy("first_seen").collect()] == want
+
+
+LONG = ("ab_compare", "extract_refs", "evaluation_recall", "evaluation_summary", "floor_details", "floor_recall", "gold_candidates", "gold_zero_miss", "unreconciled_items", "missed_duties")
+
+
+@pytest.fixture(scope="module")
+def long_keys(spark, sf_dir, tmp_path_factory):
+    """Tables with keys of eight digits, and their folder."""
+    root, con = str(tmp_path_factory.mktemp("long")), duckdb.connect()
+    for name, keys in {"orders": ("o_orderkey",), "lineitem": ("l_orderkey", "l_partkey")}.items():
+        con.execute(f"create table {name} as select * replace ({', '.join(f'{k} + 12000000 as {k}' for k in keys)}) from '{sf_dir}/{name}.parquet' where {keys[0]} < 800")
+        con.execute(f"copy {name} to '{root}/{name}.parquet' (format parquet)")
+    return con, root
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_references_made_of_long_keys(spark, long_keys, name):
+    import missiva.plans.book_queries  # noqa: F401
+    import missiva.plans.record_queries  # noqa: F401
+    import missiva.plans.scope_queries  # noqa: F401
+    from missiva.plans.queries import QUERIES, SQL
+
+    con, root = long_keys
+    assert plain_rows(QUERIES[name](spark, root).toPandas()) == plain_rows(con.sql(SQL[name]).df())
