@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from missiva.functions.steps import once
+
 # Prefixes that are not references, nouns that name one, months, currencies, multipliers.
 NOT_REFERENCES = ("ISO", "COVID", "MP", "H", "CO", "SGD", "USD", "EUR", "GBP", "MYR", "RMB", "CNY", "RM", "US", "EU")
 REFERENCE_NOUNS = (
@@ -117,12 +119,15 @@ def extract_dates(text: Column) -> Column:
         (r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", lambda a, b, c: _iso(c, num(b), a)),
     ]
 
+    # what every date has: a year beside its mark, or a month's name
+    hint = rf"(?U)年|\d{{4}}[-/]\d|[/.]\d{{4}}|(?i:{'|'.join(MONTHS)})"
+
     def of_form(plain: Column, pattern: str, make) -> Column:
         return F.transform(_find(plain, pattern), lambda m: make(*(_group(m, pattern, g) for g in (1, 2, 3))))
 
     def of_line(line: Column) -> Column:
-        plain = ascii_forms(line)
-        return F.concat(*(of_form(plain, *f) for f in forms))
+        found = lambda plain: F.when(plain.rlike(hint), F.concat(*(of_form(plain, *f) for f in forms))).otherwise(F.array().cast("array<string>"))
+        return once(F.when(line.rlike(r"(?U)\d"), ascii_forms(line)).otherwise(""), found)
 
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: ~x.rlike(noise))
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(lines, of_line)), lambda x: x.isNotNull())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from missiva.functions.steps import once
+
 # Reply prefixes, and lines that begin quoted text, close a letter, or are no signature.
 PREFIXES = "re|fwd|fw|aw|sv|antw"
 QUOTE_STARTS = (
@@ -69,10 +71,11 @@ def folder_path(folder: Column) -> Column:
 
 def own_text(body: Column) -> Column:
     """Lines above the first line that begins a quoted reply."""
-    lines = F.split(F.coalesce(body, F.lit("")), r"\r?\n")
-    marks = F.transform(lines, lambda x: x.rlike(QUOTE_START))
-    first = F.array_position(marks, F.lit(True))
-    return F.array_join(F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines), "\n")
+    def own(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: x.rlike(QUOTE_START)), F.lit(True))
+        return once(first, lambda n: F.array_join(F.when(n > 0, F.slice(lines, F.lit(1), (n - 1).cast("int"))).otherwise(lines), "\n"))
+
+    return once(F.split(F.coalesce(body, F.lit("")), r"\r?\n"), own)
 
 
 def signature_zone(body: Column, most: int = 12) -> Column:
@@ -82,10 +85,12 @@ def signature_zone(body: Column, most: int = 12) -> Column:
     the first ``most`` lines are left.
     """
     lines = F.filter(F.split(own_text(body), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
-    closes = F.transform(lines, lambda x: x.rlike(SIGN_OFF))
-    n = F.size(lines)
-    begin = F.when(F.array_contains(closes, True), n - F.array_position(F.reverse(closes), F.lit(True)) + 2).otherwise(F.greatest(F.lit(1), n - 9)).cast("int")
-    bare = F.transform(F.slice(lines, begin, n), lambda x: F.trim(F.trim(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[>*_|\-\s]+", ""), r"\s+$", "")), F.lit("*_"))))
+
+    def last(lines: Column) -> Column:
+        n, place = F.size(lines), F.array_position(F.transform(F.reverse(lines), lambda x: x.rlike(SIGN_OFF)), F.lit(True))
+        return once(place, lambda p: F.slice(lines, F.when(p > 0, n - p + 2).otherwise(F.greatest(F.lit(1), n - 9)).cast("int"), n))
+
+    bare = F.transform(once(lines, last), lambda x: F.trim(F.trim(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[>*_|\-\s]+", ""), r"\s+$", "")), F.lit("*_"))))
     return F.slice(F.filter(bare, lambda x: (x != "") & ~x.rlike(SKIPPED)), F.lit(1), F.lit(most))
 
 

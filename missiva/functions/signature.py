@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from missiva.functions.mail import signature_zone
 from missiva.functions.names import LEGAL, company_key
+from missiva.functions.steps import once
 
 # Legal forms that end a company's name, words that lead to it, and how legal words are written.
 LEGAL_FORMS = (
@@ -34,6 +35,8 @@ GENERIC = ("team", "support", "dept", "department", "sales", "admin", "service",
 OPENERS = ("your", "the", "dear", "hi", "hello")
 
 COMPANY = rf"(?iU)([A-Z0-9][\w&.,'’()\-/ ]{{1,58}}?\b(?:{'|'.join(LEGAL_FORMS)}))\b\.?(?:\s*\([^)]{{0,40}}\))?[\s.,;:]*$"
+#: What a line with a company's name ends with; quick to rule out, as the name before it is not.
+COMPANY_END = rf"(?iU)\b(?:{'|'.join(LEGAL_FORMS)})\b\.?(?:\s*\([^)]{{0,40}}\))?[\s.,;:]*$"
 TITLE = rf"(?iU)\b(?:{'|'.join(RANKS)})?(?:Managing\s+)?(?:{'|'.join(FIELDS)})?(?:{'|'.join(OFFICES)})s?\b"
 NOBODY = rf"(?iU)\b(?:{'|'.join(GENERIC)})\b|^\s*(?:{'|'.join(OPENERS)})\b"
 
@@ -43,30 +46,35 @@ def company_display(raw: Column) -> Column:
     n = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"\s+", " "), F.lit(EDGES))
     n = F.trim(F.regexp_replace(n, rf"(?i)^(?:(?:{'|'.join(LEADS)})\b[\s,:./-]*)+", ""), F.lit(EDGES))
     letters = lambda t: F.regexp_replace(t, "[^A-Za-z]", "")
-    words = F.filter(F.split(n, " "), lambda t: t != "")
-    own = F.filter(F.transform(words, letters), lambda a: (a != "") & ~F.lower(a).isin(*LEGAL))
-    acronym = (F.size(own) == 1) & F.forall(own, lambda a: (a == F.upper(a)) & (F.char_length(a) <= 6))
-    shouted = (F.size(own) > 0) & F.forall(own, lambda a: a == F.upper(a))
     usual = F.create_map(*(F.lit(x) for kv in LEGAL_CASE.items() for x in kv))
     title = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 200)))), "")
 
-    def shown(t: Column) -> Column:
-        known = F.try_element_at(usual, F.lower(letters(t)))
-        return F.when(known.isNotNull(), F.replace(t, letters(t), known)).when(acronym | ~shouted, t).otherwise(title(t))
+    def cased(own: Column) -> Column:
+        acronym = (F.size(own) == 1) & F.forall(own, lambda a: (a == F.upper(a)) & (F.char_length(a) <= 6))
+        shouted = (F.size(own) > 0) & F.forall(own, lambda a: a == F.upper(a))
+        return acronym | ~shouted
 
-    return F.array_join(F.transform(words, shown), " ")
+    def shown(t: Column, as_is: Column) -> Column:
+        bare = letters(t)
+        return once(F.try_element_at(usual, F.lower(bare)), lambda known: F.when(known.isNotNull(), F.replace(t, bare, known)).when(as_is, t).otherwise(title(t)))
+
+    def joined(words: Column) -> Column:
+        own = F.filter(F.transform(words, letters), lambda a: (a != "") & ~F.lower(a).isin(*LEGAL))
+        return once(once(own, cased), lambda as_is: F.array_join(F.transform(words, lambda t: shown(t, as_is)), " "))
+
+    return once(F.filter(F.split(n, " "), lambda t: t != ""), joined)
 
 
 def signature_company(zone: Column) -> Column:
     """The first name that ends in a legal form at the end of its line; a legal form alone takes the line before it."""
 
-    def named(line: Column, i: Column) -> Column:
-        one = company_display(F.regexp_extract(line, COMPANY, 1))
-        joined = F.concat(F.trim(F.try_element_at(zone, i), F.lit(EDGES)), F.lit(" "), line)
-        both = company_display(F.regexp_extract(joined, COMPANY, 1))
-        return F.when(~line.rlike(COMPANY), "").when((company_key(one) == "") & (i > 0) & joined.rlike(COMPANY), both).otherwise(one)
+    def named(line: Column, before: Column, i: Column) -> Column:
+        joined = F.concat(F.trim(before, F.lit(EDGES)), F.lit(" "), line)
+        both = once(joined, lambda x: F.when(x.rlike(COMPANY), company_display(F.regexp_extract(x, COMPANY, 1))))
+        one = once(company_display(F.regexp_extract(line, COMPANY, 1)), lambda n: F.when((company_key(n) == "") & (i > 0), F.coalesce(both, n)).otherwise(n))
+        return F.when(line.rlike(COMPANY_END) & line.rlike(COMPANY), one).otherwise("")
 
-    fit = F.filter(F.transform(zone, named), lambda n: (company_key(n) != "") & (F.char_length(n) >= 3) & ~n.rlike("(?i)^(?:re|fw|fwd) "))
+    fit = F.filter(once(zone, lambda z: F.transform(z, lambda x, i: named(x, F.try_element_at(z, i), i))), lambda n: (company_key(n) != "") & (F.char_length(n) >= 3) & ~n.rlike("(?i)^(?:re|fw|fwd) "))
     return F.coalesce(F.try_element_at(fit, F.lit(1)), F.lit(""))
 
 
@@ -85,13 +93,14 @@ def signature_phone(zone: Column) -> Column:
 
 def signature_name(zone: Column) -> Column:
     """The first of the top four lines that has one to four words and is no company, title, number or department."""
-    odd = lambda x: x.rlike(COMPANY) | x.rlike(TITLE) | x.rlike(PHONE) | x.rlike(NOBODY)
+    odd = lambda x: (x.rlike(COMPANY_END) & x.rlike(COMPANY)) | x.rlike(TITLE) | x.rlike(PHONE) | x.rlike(NOBODY)
     words = lambda x: F.size(F.filter(F.split(F.regexp_replace(x, "[^A-Za-z ]", " "), " "), lambda w: F.char_length(w) >= 2))
     return F.coalesce(F.trim(F.try_element_at(F.filter(F.slice(zone, F.lit(1), F.lit(4)), lambda x: ~odd(x) & words(x).between(1, 4)), F.lit(1))), F.lit(""))
 
 
 def with_signatures(messages: DataFrame, body: str = "body") -> DataFrame:
     """``messages`` with ``zone`` (the lines of the signature), ``company``, ``position``, ``phone`` and ``signed`` (a name); empty where there is none, or no body."""
-    zoned = messages.withColumn("zone", signature_zone(F.col(body)))
-    zone = F.col("zone")
-    return zoned.withColumns({"company": signature_company(zone), "position": signature_title(zone), "phone": signature_phone(zone), "signed": signature_name(zone)})
+    read = {"company": signature_company, "position": signature_title, "phone": signature_phone, "signed": signature_name}
+    found = once(signature_zone(F.col(body)), lambda zone: F.struct(zone.alias("zone"), *(f(zone).alias(c) for c, f in read.items())))
+    staged = messages.withColumn("__signature", found)
+    return staged.withColumns({c: F.col(f"__signature.{c}") for c in ("zone", *read)}).drop("__signature")

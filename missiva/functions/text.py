@@ -7,6 +7,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from missiva.functions.steps import once
+
 # Sensitivity cues and classes, obligation cues by category.
 SENSITIVITY = {
     "without-prejudice": ("without prejudice", "调解"),
@@ -85,8 +87,21 @@ def html_to_text(html: Column) -> Column:
 
 
 def _quoted(words: tuple[str, ...]) -> str:
-    escape = lambda w: "".join("\\" + c if c in r"\.-[](){}*+?|^$" else c for c in w)
-    return "|".join(map(escape, words))
+    """Pattern of any of the words, shared beginnings once: a place in a text is tried by few branches instead of by every word."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [("\\" + c if c in r"\.-[](){}*+?|^$" else c) + pattern(rest) for c, rest in node.items() if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)})?" if "" in node else ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return pattern(tree)
 
 
 def sensitivity(text: Column) -> Column:
@@ -149,13 +164,15 @@ def implied_candidates(text: Column) -> Column:
     """``{text, cues}`` of every sentence that states a precondition, with the first date of the whole text, each once."""
     from missiva.functions.atoms import extract_dates
 
-    found = F.array_distinct(F.transform(F.filter(sentences(text), lambda s: has_cue(s, PRECONDITIONS)), lambda s: F.substring(s, 1, 160)))
-    due = F.coalesce(F.when(F.size(found) > 0, F.concat(F.lit(" — by "), F.try_element_at(extract_dates(text), F.lit(1)))), F.lit(""))
-    return F.transform(found, lambda s: F.struct(F.concat(s, due).alias("text"), F.array(F.lit("implied")).alias("cues")))
+    stated = F.array_distinct(F.transform(F.filter(sentences(text), lambda s: has_cue(s, PRECONDITIONS)), lambda s: F.substring(s, 1, 160)))
+    due = F.coalesce(F.concat(F.lit(" — by "), F.try_element_at(extract_dates(text), F.lit(1))), F.lit(""))
+    told = lambda found, end: F.transform(found, lambda s: F.struct(F.concat(s, end).alias("text"), F.array(F.lit("implied")).alias("cues")))
+    return once(stated, lambda found: once(F.when(F.size(found) > 0, due).otherwise(""), lambda end: told(found, end)))
 
 
-def soft_candidates(text: Column) -> Column:
-    """``{text, cues, has_deadline}`` of every sentence with a weak request that is neither a strong candidate nor a courtesy."""
-    strong = F.transform(obligation_candidates(text), lambda x: x["text"])
+def soft_candidates(text: Column, found: Column | None = None) -> Column:
+    """``{text, cues, has_deadline}`` of every sentence with a weak request that is neither a strong candidate (``found``, if they are known) nor a courtesy."""
     weak = F.transform(F.filter(sentences(text), lambda s: has_cue(s, WEAK_REQUESTS) & ~has_cue(s, COURTESY)), lambda s: F.substring(s, 1, 200))
-    return F.transform(F.filter(weak, lambda s: ~F.array_contains(strong, s)), lambda s: F.struct(s.alias("text"), F.array(F.lit("soft")).alias("cues"), F.lit(False).alias("has_deadline")))
+    strong = F.transform(obligation_candidates(text) if found is None else found, lambda x: x["text"])
+    left = once(weak, lambda w: F.when(F.size(w) > 0, once(strong, lambda k: F.filter(w, lambda s: ~F.array_contains(k, s)))).otherwise(w))
+    return F.transform(left, lambda s: F.struct(s.alias("text"), F.array(F.lit("soft")).alias("cues"), F.lit(False).alias("has_deadline")))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.functions import atoms, deadlines
+from missiva.functions.steps import once
 
 ITEM = "struct<id:string,matter:string,item:string,desc:string,title:string,status:string,owner:string,supersedes:string>"
 CITED = "struct<field:string,value:string,cite:string>"
@@ -96,12 +97,15 @@ def parse_objects(rows: DataFrame, text: str, out: str = "json") -> DataFrame:
 
     Null if nothing can be saved. Rows whose answer parses reach the Python workers as nulls only.
     """
-    raw = F.regexp_replace(_strip(F.col(text)), r"^```[a-zA-Z]*\n?|\n?```$", "")
-    bare = F.when(F.startswith(_strip(F.col(text)), F.lit("```")), _strip(raw)).otherwise(_strip(F.col(text)))
-    block = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    fenced = lambda t: _strip(F.regexp_replace(t, r"^```[a-zA-Z]*\n?|\n?```$", ""))
+    bare = once(_strip(F.col(text)), lambda t: F.when(F.startswith(t, F.lit("```")), fenced(t)).otherwise(t))
     valid = lambda c: (c != "") & F.try_parse_json(c).isNotNull()
-    found = F.when(valid(bare), bare).when(valid(block), block)
-    staged = rows.withColumn("__found", found).withColumn("__rest", F.when(found.isNull(), bare))
+
+    def read(b: Column) -> Column:
+        found = F.when(valid(b), b).otherwise(once(F.regexp_extract(b, r"(?s)\{.*\}", 0), lambda block: F.when(valid(block), block)))
+        return once(found, lambda x: F.struct(x.alias("found"), F.when(x.isNull(), b).alias("rest")))
+
+    staged = rows.withColumn("__read", once(bare, read)).withColumn("__found", F.col("__read.found")).withColumn("__rest", F.col("__read.rest")).drop("__read")
 
     @F.pandas_udf("string")
     def mended(texts: pd.Series) -> pd.Series:
@@ -110,11 +114,6 @@ def parse_objects(rows: DataFrame, text: str, out: str = "json") -> DataFrame:
     return staged.withColumn(out, F.coalesce("__found", mended("__rest"))).drop("__found", "__rest")
 
 
-def _once(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
-    return F.try_element_at(F.transform(F.array(value), f), F.lit(1))
-
-
 def split_ledger(text: Column) -> Column:
     """``{prose, ledger}`` of an answer with an open-items ledger between its marks; an empty ledger without them."""
     blob = F.regexp_extract(_text(text), r"(?s)<<<LEDGER>>>(.*?)(?:<<<END>>>|$)", 1)
@@ -130,10 +129,10 @@ def ledger_items(text: Column) -> Column:
         return F.when(F.try_parse_json(b).isNotNull(), b).when(F.try_parse_json(block).isNotNull(), block)
 
     def parsed(g: Column) -> Column:
-        boxed = _once(F.from_json(g, f"struct<open_items:array<{ITEM}>,items:array<{ITEM}>>"), lambda x: F.when(F.size(x["open_items"]) > 0, x["open_items"]).otherwise(x["items"]))
+        boxed = once(F.from_json(g, f"struct<open_items:array<{ITEM}>,items:array<{ITEM}>>"), lambda x: F.when(F.size(x["open_items"]) > 0, x["open_items"]).otherwise(x["items"]))
         return F.when(F.startswith(g, F.lit("[")), F.from_json(g, f"array<{ITEM}>")).otherwise(boxed)
 
-    items = _once(blob, lambda b: _once(good(b), parsed))
+    items = once(blob, lambda b: once(good(b), parsed))
     return F.filter(F.coalesce(items, _empty(f"array<{ITEM}>")), lambda x: x.isNotNull())
 
 
@@ -156,7 +155,7 @@ def registrar_facts(answer: Column) -> Column:
         first = F.coalesce(F.try_element_at(x["projects"], F.lit(1))["value"], F.lit(""))
         return F.struct(first.alias("project"), *(of(v).alias(k) for k, v in classes.items()), F.concat(x["projects"], x["facts"]).alias("sources"), x["contacts"].alias("contacts"))
 
-    return _once(_once(F.from_json(answer, f"struct<project:array<{CITED}>,facts:array<{CITED}>,contacts:array<{CONTACT}>>"), listed), assembled)
+    return once(once(F.from_json(answer, f"struct<project:array<{CITED}>,facts:array<{CITED}>,contacts:array<{CONTACT}>>"), listed), assembled)
 
 
 def clean_contacts(contacts: Column) -> Column:
@@ -171,27 +170,32 @@ def clean_contacts(contacts: Column) -> Column:
 
 def grounded(values: Column, source: Column, numeric: bool = False) -> Column:
     """``{kept, dropped}``: values whose core stands in the source (whole words; contained for other scripts), or whose numbers of three digits and more all do."""
-    src = normal(source)
     digits = lambda s: F.transform(F.regexp_extract_all(s, F.lit(f"(?U){NUMBER}"), F.lit(0)), lambda x: F.regexp_replace(x, r"(?U)\D", ""))
-    known = digits(src)
 
     def core(v: Column) -> Column:
-        bare = F.trim(F.regexp_replace(F.regexp_replace(_strip(v), f"(?sU){REMARK}", ""), f"(?U){LEADING_DAY}", ""))
-        return F.when(bare != "", bare).otherwise(_strip(v))
+        tidy = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, f"(?sU){REMARK}", ""), f"(?U){LEADING_DAY}", ""))
+        return once(_strip(v), lambda s: F.coalesce(F.nullif(tidy(s), F.lit("")), s))
 
-    def holds(v: Column) -> Column:
-        c = normal(core(v))
+    def holds(v: Column, c: Column, src: Column, known: Column) -> Column:
         whole = F.regexp_like(src, F.concat(F.lit(r"(?U)\b\Q"), F.replace(c, F.lit(r"\E")), F.lit(r"\E\b")))
-        ok = (c != "") & F.when(c.rlike(r"[^\x00-\x7F]"), F.contains(src, c)).otherwise(whole)
+        # what the source does not contain it does not hold as a whole word either
+        ok = (c != "") & F.contains(src, c) & (c.rlike(r"[^\x00-\x7F]") | whole)
         if numeric:
             nums = F.filter(digits(_strip(v)), lambda n: F.char_length(n) >= 3)
-            ok = ok | ((F.size(nums) > 0) & F.forall(nums, lambda n: F.array_contains(known, n)))
+            ok = ok | once(nums, lambda ns: (F.size(ns) > 0) & F.forall(ns, lambda n: F.array_contains(known, n)))
         return ok
 
-    all_values = F.filter(F.coalesce(values, _empty()), lambda v: v.isNotNull())
-    return F.struct(
-        F.array_distinct(F.transform(F.filter(all_values, holds), core)).alias("kept"), F.filter(all_values, lambda v: ~holds(v) & (v != "")).alias("dropped")
-    )
+    def judged(x: Column) -> Column:
+        cores = F.transform(F.filter(F.coalesce(values, _empty()), lambda v: v.isNotNull()), lambda v: F.struct(v.alias("v"), core(v).alias("core")))
+        return F.transform(F.transform(cores, lambda t: F.struct(t["v"].alias("v"), t["core"].alias("core"), normal(t["core"]).alias("low"))),
+                           lambda t: F.struct(t["v"].alias("v"), t["core"].alias("core"), holds(t["v"], t["low"], x["src"], x["known"]).alias("ok")))
+
+    def split(all_values: Column) -> Column:
+        kept = F.transform(F.filter(all_values, lambda t: t["ok"]), lambda t: t["core"])
+        return F.struct(F.array_distinct(kept).alias("kept"), F.transform(F.filter(all_values, lambda t: ~t["ok"] & (t["v"] != "")), lambda t: t["v"]).alias("dropped"))
+
+    read = once(normal(source), lambda src: F.struct(src.alias("src"), (digits(src) if numeric else _empty()).alias("known")))
+    return once(once(read, judged), split)
 
 
 def backfill(found: Column, floor: Column, amounts: bool = False) -> Column:
@@ -206,13 +210,14 @@ def backfill(found: Column, floor: Column, amounts: bool = False) -> Column:
 def quote_unverified(quote: Column, source: Column) -> Column:
     """Is a leg of the quote (legs stand between double bars) missing from a source that has any text?"""
     legs = F.filter(F.transform(F.split(_text(quote), r"\|\|"), normal), lambda x: x != "")
-    return (normal(source) != "") & F.exists(legs, lambda x: ~F.contains(normal(source), x))
+    return once(normal(source), lambda src: (src != "") & F.exists(legs, lambda x: ~F.contains(src, x)))
 
 
 def names_operator(operator: Column, text: Column) -> Column:
     """Does any of the operator's names (between commas, semicolons or line ends, of two characters or more) stand in the text as a whole token?"""
     tokens = F.filter(F.transform(F.split(F.lower(_text(operator)), r"[,;\n]+"), lambda x: F.trim(x)), lambda x: F.char_length(x) >= 2)
-    return F.exists(tokens, lambda x: F.regexp_like(F.lower(_text(text)), F.concat(F.lit(r"(?U)(?<![\w.@-])\Q"), F.replace(x, F.lit(r"\E")), F.lit(r"\E(?![\w.@-])"))))
+    whole = lambda t, x: F.contains(t, x) & F.regexp_like(t, F.concat(F.lit(r"(?U)(?<![\w.@-])\Q"), F.replace(x, F.lit(r"\E")), F.lit(r"\E(?![\w.@-])")))
+    return once(F.lower(_text(text)), lambda t: F.exists(tokens, lambda x: whole(t, x)))
 
 
 def tags(source: Column, valid: Column | None = None) -> Column:
@@ -246,10 +251,14 @@ def year_less(text: Column, anchor: Column) -> Column:
 def event_date(comprehension: Column, anchor: Column) -> Column:
     """Date of a named event: the first on a line that mentions it, else the only date of the whole text; null if neither."""
     words = F.filter(F.regexp_extract_all(F.lower(_text(anchor)), F.lit("[a-z一-鿿]{2,}"), F.lit(0)), lambda w: ~w.isin(*NOT_EVENTS))
-    lines = F.filter(F.split(_text(comprehension), r"\r\n|\n|\r"), lambda line: F.exists(words, lambda w: F.contains(F.lower(line), w)))
-    dated = F.filter(F.transform(lines, atoms.extract_dates), lambda ds: F.size(ds) > 0)
-    every = atoms.extract_dates(comprehension)
-    return F.when(F.size(dated) > 0, F.try_element_at(F.try_element_at(dated, F.lit(1)), F.lit(1))).when((F.size(lines) > 0) & (F.size(every) == 1), F.try_element_at(every, F.lit(1)))
+    lines = once(words, lambda ws: F.filter(F.split(_text(comprehension), r"\r\n|\n|\r"), lambda line: F.exists(ws, lambda w: F.contains(F.lower(line), w))))
+
+    def found(x: Column) -> Column:
+        dated = F.filter(F.transform(x, atoms.extract_dates), lambda ds: F.size(ds) > 0)
+        only = once(atoms.extract_dates(comprehension), lambda every: F.when(F.size(every) == 1, F.try_element_at(every, F.lit(1))))
+        return once(dated, lambda d: F.when(F.size(d) > 0, F.try_element_at(F.try_element_at(d, F.lit(1)), F.lit(1))).when(F.size(x) > 0, only))
+
+    return once(lines, found)
 
 
 def due_date(rows: DataFrame, due_raw: str, anchor: str, comprehension: str, holidays: Sequence[str] = ()) -> DataFrame:
@@ -333,12 +342,15 @@ def clean_actions(rows: DataFrame, holidays: Sequence[str] = ()) -> DataFrame:
 
 def implied_action(text: Column) -> Column:
     """A provisional action for a duty that a rule found: its text, and the date after the last words `— by`."""
-    due = F.trim(F.regexp_extract(text, "(?s)^.*? — by (.*)$", 1))
-    iso = F.when(due.rlike(r"^\d{4}-\d\d-\d\d$"), due).otherwise("")
-    return F.struct(
-        F.trim(F.substring_index(text, " — by ", 1)).alias("action"), F.lit("implied obligation — review").alias("about"), due.alias("due_raw"), iso.alias("due_canonical"),
-        F.when(iso != "", "implied-floor").otherwise("").alias("due_basis"), F.lit("open").alias("status"), F.lit("review").alias("confidence"), F.lit(True).alias("implied"),
-    )
+
+    def told(t: Column, due: Column, iso: Column) -> Column:
+        return F.struct(
+            F.trim(F.substring_index(t, " — by ", 1)).alias("action"), F.lit("implied obligation — review").alias("about"), due.alias("due_raw"), iso.alias("due_canonical"),
+            F.when(iso != "", "implied-floor").otherwise("").alias("due_basis"), F.lit("open").alias("status"), F.lit("review").alias("confidence"), F.lit(True).alias("implied"),
+        )
+
+    due = lambda t: F.trim(F.regexp_extract(t, "(?s)^.*? — by (.*)$", 1))
+    return once(text, lambda t: once(due(t), lambda d: once(F.when(d.rlike(r"^\d{4}-\d\d-\d\d$"), d).otherwise(""), lambda iso: told(t, d, iso))))
 
 
 def haystack(actions: Column) -> Column:
@@ -347,12 +359,16 @@ def haystack(actions: Column) -> Column:
     return F.lower(F.array_join(F.coalesce(said, _empty()), " "))
 
 
-def _covered(text: Column, more: Column, hay: Column, digits: int) -> tuple[Column, Column]:
-    """Is a text covered by a shared reference or two shared long words; has it any of them?"""
+def _covered(text: Column, more: Column, hay: Column, digits: int) -> Column:
+    """``{covered, judged}``: is a text covered by a shared reference or two shared long words; has it any of them?"""
     refs = F.transform(atoms.extract_refs(F.concat_ws(" ", text, more), digits), F.lower)
     words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0)), F.regexp_extract_all(text, F.lit("[一-鿿]{2,}"), F.lit(0))))
-    shared = F.size(F.filter(words, lambda w: F.contains(hay, w)))
-    return F.exists(refs, lambda r: F.contains(hay, r)) | (shared >= 2), (F.size(refs) > 0) | (F.size(words) > 0)
+
+    def judge(x: Column) -> Column:
+        shared = F.size(F.filter(x["words"], lambda w: F.contains(x["hay"], w)))
+        return F.struct((F.exists(x["refs"], lambda r: F.contains(x["hay"], r)) | (shared >= 2)).alias("covered"), ((F.size(x["refs"]) > 0) | (F.size(x["words"]) > 0)).alias("judged"))
+
+    return once(F.struct(refs.alias("refs"), words.alias("words"), hay.alias("hay")), judge)
 
 
 def uncovered(candidates: Column, hay: Column, cues: Sequence[str] = ("request", "obligation", "waiver"), most: int = 10, digits: int = atoms.REFERENCE_DIGITS) -> Column:
@@ -360,8 +376,7 @@ def uncovered(candidates: Column, hay: Column, cues: Sequence[str] = ("request",
     asked = F.filter(candidates, lambda c: F.arrays_overlap(c["cues"], F.array(*map(F.lit, cues))))
 
     def open_(c: Column) -> Column:
-        covered, judged = _covered(c["text"], F.lit(""), hay, digits)
-        return judged & ~covered
+        return once(_covered(c["text"], F.lit(""), hay, digits), lambda x: x["judged"] & ~x["covered"])
 
     return F.slice(F.transform(F.filter(asked, open_), lambda c: c["text"]), 1, most)
 
@@ -371,8 +386,8 @@ def unreconciled(items: Column, hay: Column, most: int = 10, digits: int = atoms
     matter = lambda x: F.coalesce(*(F.nullif(_strip(x[f]), F.lit("")) for f in ("matter", "item", "desc", "title")), F.lit(""))
 
     def open_(x: Column) -> Column:
-        covered, judged = _covered(matter(x), _strip(x["id"]), hay, digits)
-        return ~F.lower(F.coalesce(F.nullif(x["status"], F.lit("")), F.lit("open"))).isin(*CLOSED) & judged & ~covered
+        live = ~F.lower(F.coalesce(F.nullif(x["status"], F.lit("")), F.lit("open"))).isin(*CLOSED)
+        return live & once(matter(x), lambda m: once(_covered(m, _strip(x["id"]), hay, digits), lambda c: c["judged"] & ~c["covered"]))
 
     return F.slice(F.transform(F.filter(items, open_), lambda x: F.coalesce(F.nullif(matter(x), F.lit("")), _strip(x["id"]))), 1, most)
 

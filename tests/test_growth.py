@@ -87,3 +87,28 @@ def test_references_made_of_long_keys(spark, long_keys, name):
 
     con, root = long_keys
     assert plain_rows(QUERIES[name](spark, root).toPandas()) == plain_rows(con.sql(SQL[name]).df())
+
+
+def test_cue_patterns_share_beginnings():
+    import random
+    import re
+
+    from missiva.functions import text
+
+    rng = random.Random(3)
+    for cues in (text.REQUESTS, text.DEADLINES, text.WAIVERS, *text.SENSITIVITY.values()):
+        shared, plain = text._quoted(cues), "|".join(map(re.escape, cues))
+        said = ["".join(rng.choice(cues)[: rng.randrange(1, 30)] + rng.choice((" ", "x", "")) for _ in range(3)) for _ in range(500)]
+        assert all(bool(re.search(shared, s)) == bool(re.search(plain, s)) for s in said)
+        assert all(bool(re.search(rf"\b(?:{shared})\b", s)) == bool(re.search(rf"\b(?:{plain})\b", s)) for s in said)
+    assert len(text._quoted(text.REQUESTS)) < len("|".join(text.REQUESTS))
+
+
+def test_signature_and_source_are_worked_out_once(spark):
+    from missiva.functions.signature import with_signatures
+    from missiva.operators import records
+
+    rows = spark.createDataFrame([("a", "b", ["c"])], "body string, source string, refs array<string>")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(with_signatures(rows)).count("wrote:") == 1
+    assert plan(rows.select(records.grounded(F.col("refs"), F.col("source")).alias("x"))).count("lower(") <= 2
