@@ -112,3 +112,28 @@ def test_signature_and_source_are_worked_out_once(spark):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(with_signatures(rows)).count("wrote:") == 1
     assert plan(rows.select(records.grounded(F.col("refs"), F.col("source")).alias("x"))).count("lower(") <= 2
+
+
+def test_a_bucket_of_threads_is_one_state_with_one_timer():
+    import types
+
+    import pandas as pd
+
+    from missiva.streaming import staleness
+
+    kept, timers, calls = [], set(), []
+    state = types.SimpleNamespace(get=lambda: kept[-1] if kept else None, update=lambda value: calls.append(kept.append(value)))
+    handle = types.SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.add, deleteTimer=timers.remove)
+    bucket = staleness.StaleThreads(1000)
+    bucket.init(handle)
+    clock = lambda ms: types.SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    at = pd.Timestamp("2024-01-01")
+    rows = [(f"t{i}", kind, "2024-01-01", n, a, at + pd.Timedelta(seconds=i % 7)) for i in range(1000) for kind, n, a in (("message", None, None), ("record", 1 + i % 2, 0))]
+    frame = pd.DataFrame(rows, columns=["thread", "kind", "day", "n", "attach", "at"])
+    list(bucket.handleInputRows((0,), iter([frame[:700], frame[700:]]), clock(0)))
+    first = int(at.timestamp() * 1000) + 1000
+    assert timers == {first} and len(calls) == 1
+    timers.clear()
+    told = pd.concat(bucket.handleExpiredTimer((0,), clock(first + 3000), types.SimpleNamespace(getExpiryTimeInMs=lambda: first)))
+    assert sorted(told["thread"]) == sorted(f"t{i}" for i in range(1000) if i % 2 and i % 7 < 3)
+    assert timers == {first + 3000} and len(calls) == 2 and set(told["n"]) == {1}
