@@ -137,9 +137,12 @@ class Writer(DataSourceWriter):
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         """One file a row; written aside and moved to its name, so that a task that runs again replaces its files whole."""
         files, base = fs.FileSystem.from_uri(self.root)
+        made = set()
         for r in iterator:
             folder = f"{base}/{r['folder']}/{r['validity']}"
-            files.create_dir(folder, recursive=True)
+            if folder not in made:
+                files.create_dir(folder, recursive=True)
+                made.add(folder)
             aside = f"{folder}/.{uuid.uuid4().hex}"
             with files.open_output_stream(aside) as f:
                 f.write(bytes(r["raw"]))
