@@ -16,7 +16,7 @@ from missiva.sources.manifest import add_entry, last_entry
 
 #: Parts of a store by a digest of the key; a batch reads the keys of the parts that it touches.
 BUCKETS = 64
-BUCKET = "__bucket"
+BUCKET, PLACE = "__bucket", "__place"
 
 
 def _keyed(keys: Sequence[str]) -> Column:
@@ -37,7 +37,7 @@ def read_store(spark: SparkSession, store: str, schema) -> DataFrame:
 
 
 def add_once(batch: DataFrame, keys: Sequence[str], store: str, writer: str, number: int, buckets: int = BUCKETS) -> DataFrame:
-    """Add the rows of ``batch`` (no column named ``__bucket`` or ``__part``) whose keys the store does not hold, each key once; the rows that were added.
+    """Add the rows of ``batch`` (no column named ``__bucket``, ``__part`` or ``__place``) whose keys the store does not hold, each key once; the rows that were added.
 
     Rows with a null in a key column have no key and all come in. A batch is known by its ``writer``
     and ``number``, which grows: run again after it was committed, it adds nothing and gives its
@@ -48,25 +48,32 @@ def add_once(batch: DataFrame, keys: Sequence[str], store: str, writer: str, num
     """
     spark, schema = batch.sparkSession, batch.schema
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = batch.withColumn(BUCKET, F.when(_keyed(keys), bucket).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")))
-    keyless, fresh = fresh.where(~_keyed(keys)), fresh.where(_keyed(keys)).dropDuplicates(list(keys))
+    # rows without a key differ by their place; a null never meets a key, so they stay in the one plan with the others
+    place = F.when(~_keyed(keys), F.monotonically_increasing_id())
+    placed = batch.withColumn(PLACE, place).withColumn(BUCKET, F.when(_keyed(keys), bucket).otherwise(F.pmod(PLACE, F.lit(buckets)).cast("int")))
+    fresh, kept = placed.dropDuplicates([*keys, PLACE]).drop(PLACE), None
     checked = 0
-    while True:
-        entry, state = last_entry(spark, store)
-        parts, last = state.get("parts", []), state.get("last", {}).get(writer)
-        if last and last[0] >= number:
-            return _parts(spark, store, schema, [last[1]] if last[0] == number else []).drop(BUCKET)
-        if parts[checked:]:
-            touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most the number of buckets
-            held = _parts(spark, store, schema, parts[checked:]).where(F.col(BUCKET).isin(touched) & _keyed(keys)).select(BUCKET, *keys)
-            fresh = fresh.join(held, [BUCKET, *keys], "left_anti").select(*batch.columns, BUCKET)
-        part = f"__part={uuid.uuid4().hex}"
-        rows = fresh if keyless is None else fresh.unionByName(keyless)
-        rows.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{store}/{part}")
-        if add_entry(spark, store, entry + 1, {"parts": [*parts, part], "last": state.get("last", {}) | {writer: [number, part]}}):
-            return _parts(spark, store, schema, [part]).drop(BUCKET)
-        # another writer came first: what this attempt wrote is the batch now, to be checked against the newer parts only
-        fresh, keyless, checked = _parts(spark, store, schema, [part]), None, len(parts)
+    try:
+        while True:
+            entry, state = last_entry(spark, store)
+            parts, last = state.get("parts", []), state.get("last", {}).get(writer)
+            if last and last[0] >= number:
+                return _parts(spark, store, schema, [last[1]] if last[0] == number else []).drop(BUCKET)
+            if parts[checked:]:
+                if kept is None and not checked:  # read twice below, and a batch may be dear to make
+                    fresh = kept = fresh.persist()
+                touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]  # at most the number of buckets
+                held = _parts(spark, store, schema, parts[checked:]).where(F.col(BUCKET).isin(touched) & _keyed(keys)).select(BUCKET, *keys)
+                fresh = fresh.join(held, [BUCKET, *keys], "left_anti").select(*batch.columns, BUCKET)
+            part = f"__part={uuid.uuid4().hex}"
+            fresh.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{store}/{part}")
+            if add_entry(spark, store, entry + 1, {"parts": [*parts, part], "last": state.get("last", {}) | {writer: [number, part]}}):
+                return _parts(spark, store, schema, [part]).drop(BUCKET)
+            # another writer came first: what this attempt wrote is the batch now, to be checked against the newer parts only
+            fresh, checked = _parts(spark, store, schema, [part]), len(parts)
+    finally:
+        if kept is not None:
+            kept.unpersist()
 
 
 def compact_store(spark: SparkSession, store: str, schema) -> bool:

@@ -137,3 +137,31 @@ def test_a_bucket_of_threads_is_one_state_with_one_timer():
     told = pd.concat(bucket.handleExpiredTimer((0,), clock(first + 3000), types.SimpleNamespace(getExpiryTimeInMs=lambda: first)))
     assert sorted(told["thread"]) == sorted(f"t{i}" for i in range(1000) if i % 2 and i % 7 < 3)
     assert timers == {first + 3000} and len(calls) == 2 and set(told["n"]) == {1}
+
+
+def test_a_batch_is_made_once_however_full_the_store(spark, tmp_path):
+    import uuid
+
+    from missiva.session import scratch_dir
+    from missiva.streaming import ingest
+
+    def seen(frames):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from frames
+
+    store = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    rows = lambda ids: spark.createDataFrame([(i,) for i in ids], "k long").coalesce(1).mapInPandas(seen, "k long")
+    ingest.add_once(rows([1, 2, None, None]), ["k"], store, "q", 0, 4)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert sorted(str(r.k) for r in ingest.add_once(rows([2, 3, 3, None, None]), ["k"], store, "q", 1, 4).collect()) == ["3", "None", "None"]
+    assert len(list(tmp_path.iterdir())) == 2
+
+
+def test_of_an_address_only_the_name_is_parsed():
+    from missiva.sources import mail
+
+    letter = lambda i: f"From: =?utf-8?q?A=2C_B?= <X{i}@y.example>\r\nMessage-ID: <{i}@z>\r\nReferences: <{i}@a>\r\n <{i}@b>\r\nSubject: No.\r\n {i}\r\n\r\n".encode()
+    before = mail._parsed.cache_info().misses
+    rows = [mail.header_row("p", letter(i)) for i in range(100)]
+    assert mail._parsed.cache_info().misses - before <= 1
+    assert (rows[7]["from"], rows[7]["addrs"], rows[7]["mid"], rows[7]["refs"], rows[7]["subject"]) == ('"A, B" <X7@y.example>', ["x7@y.example"], "7@z", ["7@a", "7@b"], "No. 7")
