@@ -123,10 +123,12 @@ def to_confirm(links: DataFrame) -> DataFrame:
 def thread_links(links: DataFrame, members: DataFrame) -> DataFrame:
     """``thread_id, total, fetched, pending`` of links that stand in a member, by its id, else by its path (either slash); waiting for a sign-in or a word is pending too."""
     path = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/"))
-    by_id = members.where("message_id <> ''").groupBy("message_id").agg(F.max("thread_id").alias("__by_id"))
+    by_id = members.where("message_id <> ''").groupBy(F.array("message_id").alias("__id")).agg(F.max("thread_id").alias("__by_id"))
     by_path = members.where("path <> ''").groupBy(path("path").alias("__path")).agg(F.max("thread_id").alias("__by_path"))
-    # links without an id or path stand apart, as they would meet in one task
-    rows = links.withColumn("__path", path("path")).join(by_id, "message_id", "left")
+    # a link without an id gets a longer key of its own, which no member has: in the join by id such links would meet in one task
+    own = F.array(F.lit(""), F.monotonically_increasing_id().cast("string"))
+    key = F.when(F.coalesce("message_id", F.lit("")) == "", own).otherwise(F.array("message_id"))
+    rows = links.withColumn("__path", path("path")).withColumn("__id", key).join(by_id, "__id", "left")
     found, rest = rows.where("__by_id is not null").select("status", F.col("__by_id").alias("thread_id")), rows.where("__by_id is null and __path <> ''")
     found = found.unionAll(rest.join(by_path, "__path").select("status", F.col("__by_path").alias("thread_id")))
     waits = F.coalesce("status", F.lit("pending")).isin("pending", "needs-auth", "needs-confirm")

@@ -165,3 +165,20 @@ def test_of_an_address_only_the_name_is_parsed():
     rows = [mail.header_row("p", letter(i)) for i in range(100)]
     assert mail._parsed.cache_info().misses - before <= 1
     assert (rows[7]["from"], rows[7]["addrs"], rows[7]["mid"], rows[7]["refs"], rows[7]["subject"]) == ('"A, B" <X7@y.example>', ["x7@y.example"], "7@z", ["7@a", "7@b"], "No. 7")
+
+
+def test_links_without_an_id_do_not_meet_in_one_task(spark):
+    from missiva.operators import links
+
+    known = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("m"), "id")).when(F.col("id") % 4 == 1, "").alias("message_id"), F.concat(F.lit("in/"), "id").alias("path"), F.lit("pending").alias("status"))
+        members = spark.range(4000).select(F.col("id").cast("string").alias("thread_id"), F.concat(F.lit("m"), "id").alias("message_id"), F.concat(F.lit("in/"), "id").alias("path"))
+        plan = links.thread_links(rows, members)
+        assert plan.count() == 4000 and plan.agg(F.sum("pending")).first()[0] == 4000
+        assert "hashpartitioning(__id" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", known[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known[1])
