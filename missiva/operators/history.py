@@ -37,9 +37,9 @@ def threads_with_records(rollup: DataFrame, records: DataFrame, log: DataFrame,
     under a name that the log does not know are left out.
     """
     names = names_now(log, labels)
-    found = names.select("thread_id", "component").join(records, "thread_id")
-    newest = F.max(F.struct("version", "n", "last_day", "thread_id")).alias("r")
-    by = names.groupBy("component").agg(F.count_distinct("thread_id").alias("n_names")).join(found.groupBy("component").agg(F.count("*").alias("n_records"), newest), "component", "left")
+    made = records.groupBy("thread_id").agg(F.count("*").alias("n"), F.max(F.struct("version", "n", "last_day", "thread_id")).alias("r"))
+    # one row a name of a thread
+    by = names.join(made, "thread_id", "left").groupBy("component").agg(F.count("thread_id").alias("n_names"), F.sum("n").alias("n_records"), F.max("r").alias("r"))
     same = F.col("n").eqNullSafe(F.col("r.n")) & F.col("last_day").eqNullSafe(F.col("r.last_day"))
     state = F.when(F.col("r").isNull(), "pending").when(same, "done").otherwise("stale")
     return rollup.join(by, "component", "left").select(

@@ -98,7 +98,7 @@ from (select component, count(*) as n, max(sent_day) as last_day from t group by
 left join recorded r on r.component = cur.component and r.k = 1 left join names on names.component = cur.component""")
 def thread_history(spark, sf):
     """Threads of three times: records of the first two are found although threads have grown, and late messages have joined every two."""
-    mail = view(spark, sf, "mail_v")
+    mail = materialize(view(spark, sf, "mail_v").select("ordinal", "o_custkey", "blk", "message_id", "reply_to", "folder", "sender", "sent_day"), "mail")
     edges = mail.select("sent_day", F.col("message_id").alias("src"), F.coalesce("reply_to", "message_id").alias("dst"))
     sides = mail.groupBy("o_custkey", "blk").agg(F.min("message_id").alias("dst"))
     late = sides.select(F.concat(F.lit("bridge"), "o_custkey", F.lit("-"), F.floor(F.col("blk") / 2)).alias("src"), "dst")
@@ -107,9 +107,9 @@ def thread_history(spark, sf):
         rows = mail.where(F.col("sent_day") < until).join(labels, mail.message_id == labels.node)
         return threads.thread_rollup(rows).select("component", "thread_id", "n", F.col("end_day").alias("last_day"))
 
-    first = materialize(components.connected_components(edges.where("sent_day < '1995-01-01'")), "labels")
-    second = materialize(components.extend_components(first, edges.where("sent_day >= '1995-01-01' and sent_day < '1997-01-01'")), "labels")
-    now = materialize(components.extend_components(second, edges.where("sent_day >= '1997-01-01'").select("src", "dst").unionByName(late)), "labels")
+    first = components.connected_components(edges.where("sent_day < '1995-01-01'"), together=True)
+    second = components.extend_components(first, edges.where("sent_day >= '1995-01-01' and sent_day < '1997-01-01'"))
+    now = components.extend_components(second, edges.where("sent_day >= '1997-01-01'").select("src", "dst").unionByName(late))
     one, two = (materialize(rollup(labels, until), "rollup") for labels, until in ((first, "1995-01-01"), (second, "1997-01-01")))
     even = mail.where("o_custkey % 2 = 0").select("message_id").join(second, F.col("message_id") == F.col("node")).select("component").distinct()
     records = one.withColumn("version", F.lit(1)).unionByName(two.join(even, "component", "left_semi").withColumn("version", F.lit(2))).drop("component")

@@ -1,6 +1,7 @@
 """What must hold for tables of any size: nothing large is broadcast, keys may be long, work per row does not repeat."""
 
 import duckdb
+import numpy as np
 import pytest
 from duck import rows as plain_rows
 from pyspark.sql import functions as F
@@ -182,3 +183,64 @@ def test_links_without_an_id_do_not_meet_in_one_task(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", known[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known[1])
+
+
+def union_find(edges):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = sorted((top(a), top(b)), key=lambda x: x.encode() if isinstance(x, str) else x)
+            up[b] = a
+    return {x: top(x) for x in up}
+
+
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_components_by_chunks_are_those_of_union_find(spark, kind):
+    import datetime
+    import random
+
+    from missiva.operators.components import connected_components, extend_components
+
+    rng = random.Random(11)
+    name = {"string": lambda i: rng.choice(("é", "z", "\U0001f600", "￮")) + str(i) if i % 2 else f"n{i}", "date": lambda i: datetime.date(2024, 1, 1) + datetime.timedelta(days=i)}[kind]
+    names = [name(i) for i in range(120)]
+    edges = [(rng.choice(names), rng.choice(names)) for _ in range(70)] + [(names[50], None), (None, None), (names[119], names[119])]
+    rng.shuffle(edges)
+    frame = lambda rows: spark.createDataFrame(rows, f"src {kind}, dst {kind}").repartition(3)
+    parts = lambda df: {r.node: r.component for r in df.collect()}
+    first = connected_components(frame(edges[:50]), together=True)
+    assert parts(first) == union_find(edges[:50])
+    grown = extend_components(first, frame(edges[50:]))
+    assert parts(grown) == union_find(edges) and grown.count() == len(union_find(edges))
+    assert parts(connected_components(frame([]), together=True)) == {}
+
+
+def test_a_task_contracts_its_edges_in_bounded_chunks(monkeypatch):
+    import pyarrow as pa
+
+    from missiva.operators import components
+
+    batch = lambda *e: pa.RecordBatch.from_arrays([pa.array([a for a, _ in e]), pa.array([b for _, b in e])], names=["node", "root"])
+    batches = [batch(("d", "c"), ("b", "c")), batch(("b", "a")), batch(("x", "d"), ("y", "y"))]
+    stars = lambda: sorted((r["node"], r["root"]) for b in components._stars(iter(batches)) for r in b.to_pylist())
+    assert stars() == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("x", "a"), ("y", "y")]
+    monkeypatch.setattr(components, "CHUNK", (3, 1 << 24))
+    assert stars() == [("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("d", "d"), ("x", "d"), ("y", "y")]
+    chain = components._roots(*(lambda x: (x[:-1], x[1:]))(np.random.default_rng(1).permutation(50_000)), 50_000)
+    assert not chain.any()
+
+
+def test_names_of_threads_are_followed_once(spark):
+    from missiva.operators import history
+
+    made = lambda text: spark.createDataFrame([], text)
+    got = history.threads_with_records(
+        made("component string, thread_id string, n long, last_day string"), made("thread_id string, version int, n long, last_day string"), made("thread_id string, component string, version int"), made("node string, component string")
+    )
+    assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 4
