@@ -18,13 +18,14 @@ def link_threads(mail: DataFrame, references: str | None = None, path: str = "or
     """``mail`` with the component of each message, linked by ``reply_to`` and the array ``references``.
 
     Parents that are not in the corpus join their replies all the same. Messages without an id count
-    by their path; null and empty references are none.
+    by their path; null and empty references are none. Messages of a thread that lie beside each other
+    in ``mail`` are joined there, the others through shuffles.
     """
     rows = mail.withColumn("node", node_id(F.col("message_id"), F.col(path)))
     parents = F.array("reply_to") if references is None else F.concat(F.array("reply_to"), F.coalesce(references, F.array().cast("array<string>")))
     parents = F.filter(parents, lambda x: F.coalesce(F.trim(x), F.lit("")) != "")
     edges = rows.select(F.col("node").alias("src"), F.explode(F.concat(F.array("node"), parents)).alias("dst"))
-    return rows.join(connected_components(edges), "node").drop("node")
+    return rows.join(connected_components(edges, together=True), "node").drop("node")
 
 
 def thread_members(threads: DataFrame, path: str = "ordinal") -> DataFrame:
@@ -36,12 +37,14 @@ def thread_members(threads: DataFrame, path: str = "ordinal") -> DataFrame:
     return found.select("component", F.col("node").alias("message_id"), "first.*", "locations", "has_attach")
 
 
-def member_rollup(members: DataFrame) -> DataFrame:
-    """Per thread of :func:`thread_members`: id of the sorted message ids, root, size, first and last day, participants, attachments; undated messages come last."""
+def member_rollup(members: DataFrame, *more: Column) -> DataFrame:
+    """Per thread of :func:`thread_members`: id of the sorted message ids, root, size, first and last day, participants, attachments, and ``more`` aggregates; undated messages come last."""
     order = F.struct(F.col("sent_day").isNull(), "sent_day", "ordinal")
-    return members.groupBy("component").agg(
+    # the messages of a thread are scattered by their ids: rows are shuffled, not sets of one
+    return members.repartition("component").groupBy("component").agg(
         F.substring(F.sha1(F.array_join(F.array_sort(F.collect_set("message_id")), "\n")), 1, 16).alias("thread_id"), F.min_by("message_id", order).alias("root_id"), F.count("*").alias("n"),
         F.min("sent_day").alias("start_day"), F.max("sent_day").alias("end_day"), F.array_sort(F.collect_set("sender")).alias("participants"), F.max("has_attach").alias("has_attach"),
+        *more,
     )
 
 
@@ -59,9 +62,9 @@ def first_of_id(mail: DataFrame) -> DataFrame:
 
 def thread_rollup(threads: DataFrame) -> DataFrame:
     """Per thread: size, first and last day, root, participants, folders, and an id made of its sorted message ids. One row per message is expected."""
-    return threads.groupBy("component").agg(
+    return threads.repartition("component").groupBy("component").agg(
         F.count("*").alias("n"), F.min("sent_day").alias("start_day"), F.max("sent_day").alias("end_day"), F.min_by("message_id", F.struct("sent_day", "ordinal")).alias("root_id"),
-        F.count_distinct("sender").alias("participants"), F.count_distinct("folder").alias("folders"),
+        F.size(F.collect_set("sender")).cast("long").alias("participants"), F.size(F.collect_set("folder")).cast("long").alias("folders"),
         F.substring(F.sha1(F.array_join(F.array_sort(F.collect_set("message_id")), "\n")), 1, 16).alias("thread_id"),
     )
 

@@ -236,6 +236,35 @@ def test_a_task_contracts_its_edges_in_bounded_chunks(monkeypatch):
     assert not chain.any()
 
 
+def test_threads_that_lie_together_need_no_rounds(spark, monkeypatch):
+    from missiva.operators import components, threads
+
+    made, real = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, tag: made.append(tag) or real(df, tag))
+    mail = spark.range(0, 400, 1, 4).select(F.col("id").alias("ordinal"), F.concat(F.lit("m"), "id").alias("message_id"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("m"), F.col("id") - 1)).alias("reply_to"))
+    assert threads.link_threads(mail).select("component").distinct().count() == 100
+    assert made == ["stars"]
+    labels = components.connected_components(mail.selectExpr("message_id as src", "coalesce(reply_to, message_id) as dst").where("src <> 'm6'"), together=True)
+    made.clear()
+    grown = components.extend_components(labels, spark.createDataFrame([("n1", "m0"), ("n2", "n1")], "src string, dst string").coalesce(1))
+    assert made == ["stars"] and grown.count() == labels.count() + 2 and not grown.where("node like 'n%' and component <> 'm0'").count()
+
+
+def test_rollups_shuffle_each_message_once(spark):
+    from missiva.operators import threads
+
+    rows = spark.createDataFrame([("a", "x", "2024", 1, "s", "f"), ("a", "y", None, 2, "t", "f"), ("a", None, "2023", 3, None, None)], "component string, message_id string, sent_day string, ordinal long, sender string, folder string")
+    got = threads.thread_rollup(rows)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(f.name, f.dataType.typeName()) for f in got.schema if f.name in ("participants", "folders")] == [("participants", "long"), ("folders", "long")]
+    assert [(r.n, r.participants, r.folders) for r in got.collect()] == [(3, 2, 1)]
+    members = rows.withColumns({"has_attach": F.lit(True), "locations": F.array("ordinal")})
+    rolled = threads.member_rollup(members, F.max(F.size("locations")).alias("places"))
+    assert [(r.n, r.places) for r in rolled.collect()] == [(3, 1)]
+    plan = rolled._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("partial_collect_set") < plan.index("REPARTITION_BY_COL")
+
+
 def test_names_of_threads_are_followed_once(spark):
     from missiva.operators import history
 
