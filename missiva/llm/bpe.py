@@ -98,6 +98,11 @@ class MergeForest:
             self._fits[key] = fits
         return fits
 
+    def forget(self) -> None:
+        """What was worked out of pairs and edges."""
+        self._fits.clear()
+        self._edge.clear()
+
 
 @lru_cache(maxsize=4)
 def forest(path: str) -> MergeForest:

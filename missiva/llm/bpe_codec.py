@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,10 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.llm.bpe import END, MergeForest, forest
+from missiva.llm.bpe import END, MergeForest
 from missiva.llm.token_count import slices
+from missiva.session import held, lean
 
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 BATCH_CHARS = 1_000_000
 
 #: The word pattern that the lower-casing vocabulary was made with.
@@ -94,7 +94,7 @@ class Codec:
     """Encode texts to id bytes and decode id bytes to UTF-8."""
 
     def __init__(self, path: str):
-        vocabulary = forest(path)
+        vocabulary = MergeForest(path)
         self.ids = _Ids(Encoder(vocabulary))
         self.specials = {s: np.array([i], dtype="<u4").tobytes() for s, i in vocabulary.specials.items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
@@ -124,9 +124,15 @@ class Codec:
         return [joined[a : max(a, b - 1)] for a, b in zip([0, *stops], stops)]
 
 
-@lru_cache(maxsize=2)
+    def forget(self) -> None:
+        """Words and pairs seen so far."""
+        self.ids.clear()
+        self.ids.encoder.vocabulary.forget()
+
+
 def _codec(path: str) -> Codec:
-    return Codec(path)
+    """The codec of one vocabulary, kept by a worker over its tasks."""
+    return held(("codec", path), lambda: Codec(path))
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
@@ -165,4 +171,4 @@ def encode_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([cols[c] for c in wanted], names=wanted)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(fields))
+    return rows.mapInArrow(lean(run, lambda: _codec(path).forget()), ", ".join(fields))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from missiva.operators.components import connected_components
-from missiva.session import materialize, sized, small_batches
+from missiva.session import lean, materialize, sized, small_batches
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Two documents of similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6; of similarity 0.3, they share one with 0.03.
@@ -237,7 +237,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, clashing: DataFrame |
     A second hash tells whether a node holds different texts (of 10^10 texts two or three pairs may); if so, the work is done anew with these apart.
     """
     far = 1 - similar + 1e-9
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "2m")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_nodes(rows, F.col("text"), clashing).withColumn("other", F.xxhash64(F.lit(2), "text"))
 
@@ -247,7 +247,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, clashing: DataFrame |
                 part = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(band_keys(part.column(2).to_pylist()), pa.list_(pa.int64()))], names=["node", "doc_id", "other", "bands"])
 
-    signed = rows.select("node", "doc_id", "text", "other").mapInArrow(sign, "node long, doc_id long, other long, bands array<long>")
+    signed = rows.select("node", "doc_id", "text", "other").mapInArrow(lean(sign), "node long, doc_id long, other long, bands array<long>")
     nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), (F.min("other") < F.max("other")).alias("several")), "nodes")
     if clashing is None and not (several := nodes.where("several").select("node")).isEmpty():
         return near_texts(docs, similar, several)
@@ -293,7 +293,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, clashing: DataFrame |
         led = asked.groupBy(F.col("leader").alias("node")).agg(F.max("company").alias("company")).join(texts, "node").select(F.col("node").alias("leader"), F.explode(F.sequence(F.lit(0).cast("long"), salts)).alias("salt"), F.col("text").alias("b"))
         both = asked.join(texts.withColumnRenamed("text", "a"), "node").withColumn("salt", F.pmod(F.xxhash64("node"), salts + 1)).join(led, ["leader", "salt"])
         made = "node long, leader long, linked boolean, size long, of_leader long, added array<long>, gone array<long>"
-        return materialize(sized(both.select("node", "leader", "more", "a", "b").mapInArrow(compare, made), count, 4_000), "compared")
+        return materialize(sized(both.select("node", "leader", "more", "a", "b").mapInArrow(lean(compare), made), count, 4_000), "compared")
 
     def grouped(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
         """``node`` and further columns, with the class of each node."""
@@ -319,7 +319,7 @@ def near_texts(docs: DataFrame, similar: float = SIMILAR, clashing: DataFrame |
     common = apart.select("leader", F.explode(F.concat("added", "gone")).alias("e")).groupBy("leader", "e").agg(F.count("*").alias("c")).where("c > 3")
     first = Window.partitionBy("leader").orderBy(F.desc("c"), "e")
     common = common.withColumn("at", F.row_number().over(first)).where(F.col("at") <= COMMON).groupBy("leader").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "e"))), lambda x: x["e"]).alias("hot"))
-    fresh = apart.join(common, "leader", "left").select("node", "leader", "part", "linked", "size", "of_leader", "added", "gone", "hot").mapInArrow(post, "node long, leader long, part long, posts array<long>")
+    fresh = apart.join(common, "leader", "left").select("node", "leader", "part", "linked", "size", "of_leader", "added", "gone", "hot").mapInArrow(lean(post), "node long, leader long, part long, posts array<long>")
     fresh = fresh.select("node", "leader", "part", F.explode("posts").alias("e"))
     fresh = materialize(fresh.select(F.xxhash64("leader", F.shiftright("e", 2)).alias("key"), F.expr("shiftleft(1, cast(e & 3 as int))").alias("side"), "node", "part"), "posts")
     who = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")

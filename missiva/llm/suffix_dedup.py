@@ -29,12 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missiva.session import materialize
+from missiva.session import lean, materialize
 
 LENGTH, WIDTH, GRAM = 100, 60, 16
 CORE = LENGTH - WIDTH + 1
 #: Bytes handled together; a longer text is cut into overlapping stretches of string starts.
-BLOCK = 1_000_000
+BLOCK = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -254,8 +254,8 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
                 )
 
     keys = ["core", "stretch", "doc", "seq", "start"]
-    ranked = rows.select("__doc", "__seq", "__raw").mapInArrow(sample, "core long, stretch long, doc long, seq int, start int, more int")
-    one = materialize(ranked.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_round_one, "doc long, seq int, start int, more int, open boolean"), "repeats-1")
+    ranked = rows.select("__doc", "__seq", "__raw").mapInArrow(lean(sample, _tables.cache_clear), "core long, stretch long, doc long, seq int, start int, more int")
+    one = materialize(ranked.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_round_one), "doc long, seq int, start int, more int, open boolean"), "repeats-1")
 
     packed = (F.col("start").cast("long") * 128 + F.col("more")).alias("p")
     opened = one.where("open").groupBy(F.col("doc").alias("__doc"), F.col("seq").alias("__seq")).agg(F.collect_list(packed).alias("__spans"))
@@ -281,9 +281,9 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
                     )
 
     keys = ["head", "tail", "doc", "seq", "start"]
-    expanded = rows.select("__doc", "__seq", "__raw").join(opened, ["__doc", "__seq"]).select("__doc", "__seq", "__raw", "__spans").mapInArrow(pairs, "head long, tail long, doc long, seq int, start int")
+    expanded = rows.select("__doc", "__seq", "__raw").join(opened, ["__doc", "__seq"]).select("__doc", "__seq", "__raw", "__spans").mapInArrow(lean(pairs, _tables.cache_clear), "head long, tail long, doc long, seq int, start int")
     found = "kind int, doc long, seq int, start int, head long, tail long, part int, repeat boolean"
-    two = materialize(expanded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_round_two, found), "repeats-2")
+    two = materialize(expanded.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(lean(_round_two), found), "repeats-2")
 
     # a task's first string is a repeat if an earlier task ended within the same string at another position
     ended = F.broadcast(two.where("kind = 2").select("head", "tail", *(F.col(c).alias(f"e_{c}") for c in ("doc", "seq", "start", "part", "repeat"))))  # one row per task
@@ -325,5 +325,5 @@ def remove_repeats(docs: DataFrame, *, keep: tuple[str, ...] = (), with_text: bo
                 cols.append(pa.array([x.decode("utf-8", "ignore") for x, _ in left], pa.string()))
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    out = joined.mapInArrow(trim, ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *extra]))
+    out = joined.mapInArrow(lean(trim), ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", *extra]))
     return out.select(*(F.col(c).alias(c.removeprefix("__keep_")) for c in out.columns))

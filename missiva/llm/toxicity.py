@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from missiva.llm.quality import held_out
 from missiva.llm.near_dup import cuts
-from missiva.session import materialize, small_batches
+from missiva.session import held, lean, materialize, small_batches
 
 #: Words per window and between windows; sizes of the hashed tables, the embeddings and the states.
 WINDOW, STRIDE = 40, 20
@@ -271,6 +271,11 @@ class Scorer:
 
     def __init__(self, net: Network):
         self.net, self.lexicon = net, Lexicon()
+        self.forget()
+
+    def forget(self) -> None:
+        """Words seen so far."""
+        self.lexicon.clear()
         self.tables = [np.zeros((0, HIDDEN), np.float32)] * 6
 
     def _learn(self) -> None:
@@ -299,17 +304,6 @@ class Scorer:
         return out
 
 
-_KEPT: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, net) -> Scorer:
-    """The scorer of one fit, kept by a worker over its tasks."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Scorer(net.value)
-    return _KEPT[key]
-
-
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str = "toxic") -> tuple[list[str], np.ndarray]:
     """Bounded sample of labelled, not held-out texts: the first by hash of the id, of either label."""
     truth = labels.where(F.col(label_col).isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -341,12 +335,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
     extra = [(c, rows.schema[f"keep_{c}"].dataType.simpleString()) for c in keep]
     if kinds != {0, 1}:
         return rows.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), *(F.col(f"keep_{c}") for c in keep))
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "2m")
     net = docs.sparkSession.sparkContext.broadcast(fit(texts, y))
     key = uuid.uuid4().hex
+    scorer_of = lambda: held(key, lambda: Scorer(net.value))
 
     def run(batches):
-        scorer = _scorer(key, net)
+        scorer = scorer_of()
         for batch in batches:
             for s in cuts(batch.column(2), BATCH_BYTES):
                 part = batch.slice(s.start, s.stop - s.start)
@@ -356,4 +351,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5
                     names=["doc_id", "held_out", "score", "predicted", *(f"keep_{c}" for c in keep)],
                 )
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "held_out boolean", "score double", "predicted int", *(f"`keep_{c}` {t}" for c, t in extra)]))
+    return rows.mapInArrow(lean(run, lambda: scorer_of().forget()), ", ".join(["doc_id long", "held_out boolean", "score double", "predicted int", *(f"`keep_{c}` {t}" for c, t in extra)]))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,6 +56,38 @@ def small_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def lean(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """``run`` for ``mapInArrow``; at the end of each task ``forget`` drops what it has remembered, and freed memory goes back to the system.
+
+    Workers stay for a minute beside the executor, and other operators run in them; what they kept
+    from their last task would count with the memory of the next stage.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim:
+                trim(0)
+
+    return task
+
+
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """A value that a worker keeps over its tasks; only one at a time, that of another key is dropped."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet under the shared scratch folder and reread it.
 
