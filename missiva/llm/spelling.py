@@ -93,6 +93,15 @@ def _keys(longer: bool) -> Column:
     return F.explode(F.array(*keys))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, whose next join is a sort-merge join.
+
+    Spark goes by the size of a table's files, which is a small part of what a driver would hold of them: words are packed
+    there, and an explode counts as if it gave one row for one.
+    """
+    return df.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """Pairs of different words of ``word, n`` that are one inserted, deleted or replaced code point apart, each once.
 
@@ -105,7 +114,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     rest = end - begin - 1
     earlier = (missing == 1) & (begin > 0) & (F.substring("a", begin, F.lit(1)) == F.substring("a", begin + 1, F.lit(1))) & (F.substring("a", begin + 2, rest) == F.substring("b", begin + 1, rest))
     (left_a, right_a), (left_b, right_b) = _kept(F.col("a"), begin, end), _kept(F.col("b"), begin, end - missing)
-    met = a.join(b, "key").where((missing == 1) | (F.col("a") < F.col("b")))
+    met = shuffled(a).join(b, "key").where((missing == 1) | (F.col("a") < F.col("b")))
     found = (F.levenshtein("a", "b", 1) == 1) & ~earlier & (F.length("b") + missing == F.length("a")) & (left_a == left_b) & (right_a == right_b)
     return met.where(found).select("a", "n_a", "b", "n_b")
 
@@ -118,10 +127,10 @@ def with_roots(forms: DataFrame) -> DataFrame:
     steps = materialize(forms.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         ahead = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = materialize(steps.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = materialize(shuffled(steps).join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         steps = moved.drop("moved")
         if not moved.where("moved").limit(1).count():
-            return forms.join(steps, "word", "left").withColumn("root", F.coalesce("root", "word"))
+            return shuffled(forms).join(steps, "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, times: int = TIMES) -> DataFrame:
@@ -139,5 +148,5 @@ def variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("m")))).alias("x")).select("x.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "near")).alias("top"))
     taken = -F.col("top.m") >= times * F.col("n")
-    forms = words.join(best, "word", "left").select("word", F.when(taken, F.col("top.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, -F.col("top.m")).alias("form_n"))
+    forms = shuffled(words).join(best, "word", "left").select("word", F.when(taken, F.col("top.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(taken, -F.col("top.m")).alias("form_n"))
     return with_roots(materialize(forms, "forms")).select("word", "form", "root", "n", "n_near", "form_n")

@@ -51,6 +51,17 @@ def test_people_are_never_broadcast_with_their_remainders(spark, tmp_path):
     assert "/people" not in broadcast(directory.near_keys(people.select(F.concat(F.lit("abcd"), F.substring("name", 5, 9)).alias("key"))))
 
 
+def test_words_and_their_keys_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Files of words of 8 MB were broadcast with eight keys a word, more than a driver of 750 MB holds."""
+    spelling = pytest.importorskip("missiva.llm.spelling")
+    made, write = [], spelling.materialize
+    monkeypatch.setattr(spelling, "materialize", lambda df, tag: made.append(df) or write(df, tag))
+    docs = spark.createDataFrame([(i, f"letters lettrs letter word{'abcdefg'[i % 7]}s") for i in range(40)], "doc_id long, text string")
+    got = spelling.variants(docs)
+    assert {r.word: (r.form, r.root) for r in got.collect() if r.n_near}["lettrs"] == (None, "lettrs")
+    assert len(made) >= 4 and not any(broadcast(df) for df in [*made, got])
+
+
 def test_codes_that_meet_are_numbered_in_one_pass(spark):
     """Rounds over all firms, each some ten firms further than the last, did not come to an end here."""
     bases = ["AB2" if i % 10 == 7 else "AB22" if i % 10 == 8 else "ABC" if i % 2 == 0 else "AB" for i in range(1, 20001)]
