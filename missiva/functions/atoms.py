@@ -45,6 +45,11 @@ def _group(match: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(match, f"(?U){pattern}", group)
 
 
+def _groups(text: Column, pattern: str, *numbers: int) -> Column:
+    """``{g1, ...}`` of all matches of a pattern: those groups of each, worked out once."""
+    return F.transform(_find(text, pattern), lambda m: F.struct(*(_group(m, pattern, k).alias(f"g{k}") for k in numbers)))
+
+
 def lookup(key: Column, values: Mapping[str, object], default: Column) -> Column:
     """Value of a small fixed table."""
     table = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
@@ -53,7 +58,7 @@ def lookup(key: Column, values: Mapping[str, object], default: Column) -> Column
 
 def ascii_forms(text: Column) -> Column:
     """Full-width digits and punctuation as ASCII."""
-    return F.translate(F.coalesce(text, F.lit("")), "０１２３４５６７８９，．￥％", "0123456789,.¥%")
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(F.coalesce(text, F.lit("")), "０１２３４５６７８９，．￥％", "0123456789,.¥%"))
 
 
 def _reference(prefix: Column, number: Column, suffix: Column) -> Column:
@@ -74,30 +79,34 @@ def extract_refs(text: Column, digits: int = REFERENCE_DIGITS) -> Column:
     """
     nouns = "|".join(REFERENCE_NOUNS)
     number, letter = rf"(\d{{1,{digits}}}(?:\.\d{{1,3}})?)", r"([A-Za-z])?\b"
+    # each with what all of its references hold, which is found sooner
     forms = [
-        (rf"\b([A-Z]{{2,6}})[-/ ]?{number}{letter}", True),
-        (rf"\b([A-Z]{{2,6}})\s+[Nn]o\.?\s*(\d{{1,{digits}}})\b", False),
-        (rf"(?i)\b({nouns})\b\s*(?:no\.?|number|#|:)?\s*[-/]?\s*{number}{letter}", True),
+        (r"[A-Z][-/ ]?\d", rf"\b([A-Z]{{2,6}})[-/ ]?{number}{letter}", True),
+        (r"[Nn]o\.?\s*\d", rf"\b([A-Z]{{2,6}})\s+[Nn]o\.?\s*(\d{{1,{digits}}})\b", False),
+        (r"\d", rf"(?i)\b({nouns})\b\s*(?:no\.?|number|#|:)?\s*[-/]?\s*{number}{letter}", True),
     ]
 
-    def of_form(pattern: str, has_letter: bool) -> Column:
-        def read(m: Column) -> Column:
-            prefix, suffix = _group(m, pattern, 1), _group(m, pattern, 3) if has_letter else F.lit("")
-            return F.struct(F.upper(prefix).alias("prefix"), _reference(prefix, _group(m, pattern, 2), suffix).alias("ref"))
+    none = F.array().cast("array<string>")
 
-        kept = F.filter(F.transform(_find(text, pattern), read), lambda x: ~x["prefix"].isin(*NOT_REFERENCES))
-        return F.transform(kept, lambda x: x["ref"])
+    def of_form(said: Column, mark: str, pattern: str, has_letter: bool) -> Column:
+        kept = F.filter(_groups(said, pattern, 1, 2, *([3] if has_letter else [])), lambda x: ~F.upper(x["g1"]).isin(*NOT_REFERENCES))
+        return F.when(said.rlike(f"(?U){mark}"), F.transform(kept, lambda x: _reference(x["g1"], x["g2"], x["g3"] if has_letter else F.lit("")))).otherwise(none)
 
-    found = [of_form(*f) for f in forms]
     version = r"(?i)\bv(\d{1,3})\b"
-    found.append(F.transform(_find(text, version), lambda m: _reference(F.lit("V"), _group(m, version, 1), F.lit(""))))
-    return F.array_distinct(F.concat(*found))
+
+    def found(said: Column) -> Column:
+        bare = F.when(said.rlike(r"(?U)[Vv]\d"), F.transform(_groups(said, version, 1), lambda x: _reference(F.lit("V"), x["g1"], F.lit("")))).otherwise(none)
+        every = F.array_distinct(F.flatten(F.array(*(of_form(said, *f) for f in forms), bare)))
+        return F.when(said.rlike(r"(?U)\d"), every).otherwise(none)
+
+    return once(F.coalesce(text, F.lit("")), found)
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
     """ISO string if month and day are in 1-12 and 1-31 (a 31 February stays), else null."""
     y, m, d = (x.try_cast("int") for x in (year, month, day))
-    return F.when(m.between(1, 12) & d.between(1, 31), F.format_string("%04d-%02d-%02d", y, m, d))
+    digits = lambda x, n: F.coalesce(F.lpad(x.cast("string"), n, "0"), F.lit("null"))
+    return F.when(m.between(1, 12) & d.between(1, 31), F.concat_ws("-", digits(y, 4), digits(m, 2), digits(d, 2)))
 
 
 def _month(name: Column) -> Column:
@@ -109,28 +118,31 @@ def extract_dates(text: Column) -> Column:
     """Sorted distinct ISO dates; quoted-reply and header lines are skipped, D/M/Y is day first unless only M/D fits."""
     noise = r"(?Ui)^\s*(on\b.*\bwrote:|from:|sent:|to:|cc:|date:|subject:|-{2,}\s*original message)"
     num = lambda c: c.cast("int")
+    mark = lambda pattern, sign="": lambda x: F.contains(x, F.lit(sign)) & x.rlike(f"(?U){pattern}")
+    # each with what all of its dates hold: that is looked for in less time than the dates, as it begins with a rare character
     forms = [
-        (r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", lambda a, b, c: _iso(a, num(b), c)),
-        (r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", lambda a, b, c: _iso(a, num(b), c)),
-        (r"\b(\d{1,2})\s*[-/ ]?\s*([A-Za-z]{3,9})\.?,?\s*(\d{4})\b", lambda a, b, c: _iso(c, _month(b), a)),
-        (r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\b", lambda a, b, c: _iso(c, _month(a), b)),
-        (r"\b(\d{4})/(\d{1,2})/(\d{1,2})\b", lambda a, b, c: _iso(a, num(b), c)),
-        (r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", lambda a, b, c: F.when((num(b) > 12) & (num(a) <= 12), _iso(c, num(a), b)).otherwise(_iso(c, num(b), a))),
-        (r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", lambda a, b, c: _iso(c, num(b), a)),
+        (mark("年", "年"), r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日", lambda a, b, c: _iso(a, num(b), c)),
+        (mark(r"-\d{1,2}-\d", "-"), r"\b(\d{4})-(\d{1,2})-(\d{1,2})\b", lambda a, b, c: _iso(a, num(b), c)),
+        (mark(r"\d\s*[-/ ]?\s*[A-Za-z]{3,9}\.?,?\s*\d{4}"), r"\b(\d{1,2})\s*[-/ ]?\s*([A-Za-z]{3,9})\.?,?\s*(\d{4})\b", lambda a, b, c: _iso(c, _month(b), a)),
+        (mark(r"\s\d{1,2},?\s+\d{4}"), r"\b([A-Za-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})\b", lambda a, b, c: _iso(c, _month(a), b)),
+        (mark(r"/\d{1,2}/\d", "/"), r"\b(\d{4})/(\d{1,2})/(\d{1,2})\b", lambda a, b, c: _iso(a, num(b), c)),
+        (mark(r"/\d{1,2}/\d", "/"), r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", lambda a, b, c: F.when((num(b) > 12) & (num(a) <= 12), _iso(c, num(a), b)).otherwise(_iso(c, num(b), a))),
+        (mark(r"\.\d{1,2}\.\d{4}", "."), r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", lambda a, b, c: _iso(c, num(b), a)),
     ]
+    none = F.array().cast("array<string>")
 
-    # what every date has: a year beside its mark, or a month's name
-    hint = rf"(?U)年|\d{{4}}[-/]\d|[/.]\d{{4}}|(?i:{'|'.join(MONTHS)})"
-
-    def of_form(plain: Column, pattern: str, make) -> Column:
-        return F.transform(_find(plain, pattern), lambda m: make(*(_group(m, pattern, g) for g in (1, 2, 3))))
+    def of_form(plain: Column, held, pattern: str, make) -> Column:
+        return F.when(held(plain), F.transform(_groups(plain, pattern, 1, 2, 3), lambda x: make(x["g1"], x["g2"], x["g3"]))).otherwise(none)
 
     def of_line(line: Column) -> Column:
-        found = lambda plain: F.when(plain.rlike(hint), F.concat(*(of_form(plain, *f) for f in forms))).otherwise(F.array().cast("array<string>"))
-        return once(F.when(line.rlike(r"(?U)\d"), ascii_forms(line)).otherwise(""), found)
+        found = lambda plain: F.when(plain != "", F.flatten(F.array(*(of_form(plain, *f) for f in forms)))).otherwise(none)
+        return once(F.when(line.rlike(r"(?U)\d") & ~line.rlike(noise), ascii_forms(line)).otherwise(""), found)
+
+    def of_text(t: Column) -> Column:
+        lines = F.when(t.rlike(r"[\r\n]"), F.split(t, r"\r\n|\r|\n")).otherwise(F.array(t))
+        return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(lines, of_line)), lambda x: x.isNotNull())))
 
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda x: ~x.rlike(noise))
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(lines, of_line)), lambda x: x.isNotNull())))
+    return once(F.coalesce(text, F.lit("")), of_text)
 
 
 def _value(digits: Column, multiplier: Column) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from missiva.functions.atoms import MONTHS, extract_dates
 from missiva.functions.steps import once
 
 # Sensitivity cues and classes, obligation cues by category.
@@ -39,6 +43,7 @@ WEAK_REQUESTS = ("review", "update", "return ", "issue ", "proceed", "attend", "
 WEAK_DEADLINES = ("by ", "before ", "end of", "之前", "以前")
 COURTESY = ("thank", "thanks", "regards", "appreciate", "fyi", "no action", "谢谢", "感谢", "辛苦")
 QUESTION_LEADS = "do|does|did|are|is|am|can|could|will|would|should|have|has|when|where|what|which|who|why|how|wdyt|thoughts"
+SENTENCE_ENDS = "[.!?;\n。！？；]+"
 QUESTION_MARKS = ("是否", "能否", "可否", "请问", "吗")
 # Identifiers that are masked, in this order.
 MASKS = (
@@ -122,57 +127,87 @@ def has_cue(text: Column, cues: tuple[str, ...]) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed sentences of at least 3 characters."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[.!?;\n。！？；]+"), lambda s: F.trim(s, F.lit(" \t\r")))
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_ENDS), lambda s: F.trim(s, F.lit(" \t\r")))
     return F.filter(parts, lambda s: F.char_length(s) >= 3)
 
 
-def obligation_candidates(text: Column) -> Column:
-    """``{text, cues, has_deadline}`` of every sentence with a strong obligation signal.
+# Words of a precondition.
+PRECONDITIONS = (
+    "required before", "precondition", "prerequisite", "prior to", "before handover", "cannot proceed until", "needed before", "must be completed before", "is a condition of",
+    "before we can", "before it can", "before sign-off", "before go-live", "的前提", "之前完成", "视为放弃", "逾期", "须先", "先决条件",
+)
+
+
+#: Classes of cues; ``cues`` of a sentence has the bit of each class of which it holds a cue. A lead counts wherever a sentence begins with its letters.
+CUES = {
+    "request": REQUESTS, "duty": DUTIES, "waiver": WAIVERS, "due": DEADLINES, "mark": QUESTION_MARKS, "weak": WEAK_REQUESTS, "by": WEAK_DEADLINES, "courtesy": COURTESY, "before": PRECONDITIONS,
+    "lead": tuple(QUESTION_LEADS.split("|")),
+}
+#: What a sentence with a date holds, in lower case: its bit follows those of the classes.
+DATE_HINT = rf"年|[-/.．]\p{{Nd}}{{1,2}}[-/.．]\p{{Nd}}|(?:{'|'.join(MONTHS)})(?s:.*)\p{{Nd}}{{4}}"
+
+
+def _cued(texts: pa.Array) -> pa.Array:
+    """The sentences of each text and their cues; Arrow's patterns look for all words of a class in one pass."""
+    parts = pc.split_pattern_regex(texts, SENTENCE_ENDS)
+    said, owner = pc.utf8_trim(pc.list_flatten(parts), " \t\r"), pc.list_parent_indices(parts)
+    kept = pc.greater_equal(pc.utf8_length(said), 3)
+    said, owner = said.filter(kept), owner.filter(kept)
+    low = pc.utf8_lower(pc.replace_substring(said, "\u0130", "i\u0307"))  # as Java lowers it
+    bits = np.zeros(len(said), np.int32)
+    patterns = [f"^{_quoted(words)}" if kind == "lead" else _quoted(words) for kind, words in CUES.items()]
+    for k, pattern in enumerate([*patterns, DATE_HINT]):
+        bits |= pc.match_substring_regex(low, pattern).to_numpy(zero_copy_only=False).astype(np.int32) << k
+    ends = np.cumsum(np.bincount(owner.to_numpy(), minlength=len(texts)))
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([said, pa.array(bits)], names=["s", "cues"]))
+
+
+def cued_sentences(text: Column) -> Column:
+    """``{s, cues}`` of every sentence: those of ``sentences``, and the bits of its classes of cues."""
+    find = F.arrow_udf(_cued, "array<struct<s:string,cues:int>>")
+    return find(F.make_valid_utf8(F.coalesce(text, F.lit(""))))
 
-    Every signal of a sentence is worked out once, in a step of its own; dates are looked for only where there is a digit.
-    """
-    from missiva.functions.atoms import extract_dates
 
-    cued = lambda x, cues: x["low"].rlike(_quoted(cues))
-    signals = {
-        "due": lambda x: cued(x, DEADLINES) | (x["s"].rlike(r"(?U)\d") & (F.size(extract_dates(x["s"])) > 0)), "asks": lambda x: x["low"].rlike(rf"(?U)^({QUESTION_LEADS})\b") | cued(x, QUESTION_MARKS),
-        "request": lambda x: cued(x, REQUESTS), "duty": lambda x: cued(x, DUTIES), "waiver": lambda x: cued(x, WAIVERS),
-    }
-    low = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
-    judged = F.transform(low, lambda x: F.struct(x["s"].alias("s"), x["low"].alias("low"), *(f(x).alias(k) for k, f in signals.items())))
-    strong = F.filter(judged, lambda x: x["request"] | x["duty"] | x["waiver"] | x["due"] | x["asks"])
+def _has(x: Column, *kinds: str) -> Column:
+    """Has a sentence a cue of any of the classes?"""
+    return x["cues"].bitwiseAND(F.lit(sum(1 << k for k, kind in enumerate((*CUES, "date")) if kind in kinds))) != 0
+
+
+def obligation_candidates(text: Column, cued: Column | None = None) -> Column:
+    """``{text, cues, has_deadline}`` of every sentence with a strong obligation signal (``cued``: the text's sentences, if they are known).
+
+    Every signal of a sentence is worked out once; dates are looked for only where there may be one.
+    """
+    due = lambda x: _has(x, "due") | (_has(x, "date") & (F.size(extract_dates(x["s"])) > 0))
+    asks = lambda x: _has(x, "mark") | (_has(x, "lead") & F.lower(x["s"]).rlike(rf"(?U)^({QUESTION_LEADS})\b"))
+    judged = F.transform(cued_sentences(text) if cued is None else cued, lambda x: F.struct(x["s"].alias("s"), x["cues"].alias("cues"), due(x).alias("due"), asks(x).alias("asks")))
+    strong = F.filter(judged, lambda x: _has(x, "request", "duty", "waiver") | x["due"] | x["asks"])
 
     def told(x: Column) -> Column:
+        dated = x["due"] | _has(x, "by")
         flags = {
-            "courtesy": cued(x, COURTESY), "deadline": x["due"] | cued(x, WEAK_DEADLINES), "obligation": x["duty"], "question": x["asks"],
-            "request": x["request"] | cued(x, WEAK_REQUESTS) | x["asks"], "waiver": x["waiver"],
+            "courtesy": _has(x, "courtesy"), "deadline": dated, "obligation": _has(x, "duty"), "question": x["asks"],
+            "request": _has(x, "request", "weak") | x["asks"], "waiver": _has(x, "waiver"),
         }
         cues = F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in flags.items())))
-        return F.struct(F.substring(x["s"], 1, 200).alias("text"), cues.alias("cues"))
-
-    return F.transform(F.transform(strong, told), lambda x: F.struct(x["text"].alias("text"), x["cues"].alias("cues"), F.array_contains(x["cues"], "deadline").alias("has_deadline")))
-
-
-# Words of a precondition.
-PRECONDITIONS = (
-    "required before", "precondition", "prerequisite", "prior to", "before handover", "cannot proceed until", "needed before", "must be completed before", "is a condition of",
-    "before we can", "before it can", "before sign-off", "before go-live", "的前提", "之前完成", "视为放弃", "逾期", "须先", "先决条件",
-)
+        return F.struct(F.substring(x["s"], 1, 200).alias("text"), cues.alias("cues"), dated.alias("has_deadline"))
 
+    return F.transform(strong, told)
 
-def implied_candidates(text: Column) -> Column:
-    """``{text, cues}`` of every sentence that states a precondition, with the first date of the whole text, each once."""
-    from missiva.functions.atoms import extract_dates
 
-    stated = F.array_distinct(F.transform(F.filter(sentences(text), lambda s: has_cue(s, PRECONDITIONS)), lambda s: F.substring(s, 1, 160)))
+def implied_candidates(text: Column, cued: Column | None = None) -> Column:
+    """``{text, cues}`` of every sentence that states a precondition, with the first date of the whole text, each once (``cued``: the text's sentences, if they are known)."""
+    stated = F.array_distinct(F.transform(F.filter(cued_sentences(text) if cued is None else cued, lambda x: _has(x, "before")), lambda x: F.substring(x["s"], 1, 160)))
     due = F.coalesce(F.concat(F.lit(" — by "), F.try_element_at(extract_dates(text), F.lit(1))), F.lit(""))
     told = lambda found, end: F.transform(found, lambda s: F.struct(F.concat(s, end).alias("text"), F.array(F.lit("implied")).alias("cues")))
     return once(stated, lambda found: once(F.when(F.size(found) > 0, due).otherwise(""), lambda end: told(found, end)))
 
 
-def soft_candidates(text: Column, found: Column | None = None) -> Column:
-    """``{text, cues, has_deadline}`` of every sentence with a weak request that is neither a strong candidate (``found``, if they are known) nor a courtesy."""
-    weak = F.transform(F.filter(sentences(text), lambda s: has_cue(s, WEAK_REQUESTS) & ~has_cue(s, COURTESY)), lambda s: F.substring(s, 1, 200))
-    strong = F.transform(obligation_candidates(text) if found is None else found, lambda x: x["text"])
-    left = once(weak, lambda w: F.when(F.size(w) > 0, once(strong, lambda k: F.filter(w, lambda s: ~F.array_contains(k, s)))).otherwise(w))
+def soft_candidates(text: Column, found: Column | None = None, cued: Column | None = None) -> Column:
+    """``{text, cues, has_deadline}`` of every sentence with a weak request that is neither a strong candidate (``found``, if they are known) nor a courtesy (``cued``: the text's sentences, if they are known)."""
+    cued = cued_sentences(text) if cued is None else cued
+    weak = F.transform(F.filter(cued, lambda x: _has(x, "weak") & ~_has(x, "courtesy")), lambda x: F.substring(x["s"], 1, 200))
+    strong = F.transform(obligation_candidates(text, cued) if found is None else found, lambda x: x["text"])
+    left = once(F.struct(weak.alias("weak"), strong.alias("strong")), lambda x: F.filter(x["weak"], lambda s: ~F.array_contains(x["strong"], s)))
     return F.transform(left, lambda s: F.struct(s.alias("text"), F.array(F.lit("soft")).alias("cues"), F.lit(False).alias("has_deadline")))

@@ -360,15 +360,22 @@ def haystack(actions: Column) -> Column:
 
 
 def _covered(text: Column, more: Column, hay: Column, digits: int) -> Column:
-    """``{covered, judged}``: is a text covered by a shared reference or two shared long words; has it any of them?"""
+    """``{covered, judged}``: is a text covered by a shared reference or two shared long words; has it any of them?
+
+    References are looked for only where they can matter: they all hold a hyphen and a digit.
+    """
     refs = F.transform(atoms.extract_refs(F.concat_ws(" ", text, more), digits), F.lower)
     words = F.array_distinct(F.concat(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{5,}"), F.lit(0)), F.regexp_extract_all(text, F.lit("[一-鿿]{2,}"), F.lit(0))))
+    told = lambda covered, judged: F.struct(covered.alias("covered"), judged.alias("judged"))
+    held = lambda x: F.contains(hay, x)
+    numbered = F.coalesce(hay.rlike(r"(?U)-\d"), F.lit(True))
 
-    def judge(x: Column) -> Column:
-        shared = F.size(F.filter(x["words"], lambda w: F.contains(x["hay"], w)))
-        return F.struct((F.exists(x["refs"], lambda r: F.contains(x["hay"], r)) | (shared >= 2)).alias("covered"), ((F.size(x["refs"]) > 0) | (F.size(x["words"]) > 0)).alias("judged"))
+    def judge(w: Column) -> Column:
+        by_refs = once(refs, lambda r: told(F.exists(r, held), (F.size(r) > 0) | (F.size(w) > 0)))
+        shared = F.size(F.filter(w, held)) >= 2
+        return F.when(shared, told(F.lit(True), F.lit(True))).when((F.size(w) > 0) & ~numbered, told(F.lit(False), F.lit(True))).otherwise(by_refs)
 
-    return once(F.struct(refs.alias("refs"), words.alias("words"), hay.alias("hay")), judge)
+    return once(words, judge)
 
 
 def uncovered(candidates: Column, hay: Column, cues: Sequence[str] = ("request", "obligation", "waiver"), most: int = 10, digits: int = atoms.REFERENCE_DIGITS) -> Column:

@@ -8,6 +8,7 @@ from missiva.functions import text
 from missiva.operators import matters, records
 from missiva.plans.queries import QUERIES, SQL, query  # noqa: F401
 from missiva.plans.views import KEY_DIGITS, table
+from missiva.session import spread
 
 L = "l_orderkey, l_linenumber"
 
@@ -110,10 +111,11 @@ def action_records(spark, sf):
 def missed_duties(spark, sf):
     said = say("Kindly return the signed bond for PO-", "{l_partkey}", ". Sign-off is a precondition for PO-", "{l_partkey}", ". Team to review the minutes. Meeting held on ", "{day}", ". Thanks for the update")
     acts = F.array(F.struct(F.when(F.col("l_linenumber") % 2 == 0, say("Return bond PO-", "{l_partkey}")).otherwise("Nothing").alias("action"), F.lit("").alias("about"), F.lit("").alias("quote"), F.array().cast("array<string>").alias("refs")))
-    rows = lines(spark, sf).withColumn("said", said).withColumn("hay", records.haystack(acts)).withColumn("found", text.obligation_candidates(F.col("said")))
-    rows = rows.withColumn("implied", records.implied_action(F.element_at(text.implied_candidates(F.col("said")), 1)["text"]))
+    rows = spread(lines(spark, sf), "l_orderkey", "l_linenumber").withColumn("said", said).withColumn("hay", records.haystack(acts)).withColumn("cued", text.cued_sentences(F.col("said")))
+    rows = rows.withColumn("found", text.obligation_candidates(F.col("said"), F.col("cued")))
+    rows = rows.withColumn("implied", records.implied_action(F.element_at(text.implied_candidates(F.col("said"), F.col("cued")), 1)["text"]))
     missed = records.uncovered(F.col("found"), F.col("hay"), digits=KEY_DIGITS)
-    soft = F.transform(text.soft_candidates(F.col("said"), F.col("found")), lambda x: x["text"])
+    soft = F.transform(text.soft_candidates(F.col("said"), F.col("found"), F.col("cued")), lambda x: x["text"])
     return rows.select("l_orderkey", "l_linenumber", F.try_element_at(F.filter(missed, lambda m: F.startswith(m, F.lit("Kindly"))), F.lit(1)).alias("missed"), F.col("implied.action").alias("implied"), "implied.due_canonical", "implied.due_basis", F.array_join(soft, "|").alias("soft"))
 
 

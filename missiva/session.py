@@ -111,3 +111,11 @@ def sized(df: DataFrame, rows: int, per_partition: int = 250_000) -> DataFrame:
     Small steps of an iteration then neither run nor leave a file for every shuffle partition.
     """
     return df.coalesce(max(1, -(-rows // per_partition)))
+
+
+def spread(df: DataFrame, *keys: str, per_partition: int = 50_000) -> DataFrame:
+    """``df`` in partitions of about so many rows, dealt by ``keys``, for work that takes long for each row.
+
+    Each row group of a file is read by one task, however many rows it holds and however many cores wait.
+    """
+    return df.repartition(max(1, -(-df.count() // per_partition)), *keys)

@@ -284,3 +284,37 @@ def test_names_of_threads_are_followed_once(spark):
         made("component string, thread_id string, n long, last_day string"), made("thread_id string, version int, n long, last_day string"), made("thread_id string, component string, version int"), made("node string, component string")
     )
     assert got._jdf.queryExecution().analyzed().toString().count("LogicalRDD") == 4
+
+
+def test_duties_are_found_by_few_patterns_in_tasks_of_one_size(spark, sf_dir, monkeypatch):
+    """All rows of a row group were one task, and each sentence was searched by a pattern a class."""
+    from missiva import session
+    from missiva.plans.record_queries import missed_duties
+
+    monkeypatch.setitem(session.spread.__kwdefaults__, "per_partition", 500)
+    df = missed_duties(spark, sf_dir)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "obligated" not in plan
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 10 and max(sizes) < 1000
+
+
+def test_cues_of_sentences_equal_those_of_words(spark):
+    import random
+
+    from missiva.functions import atoms, text
+
+    rng = random.Random(5)
+    odd = ["FİLL IN", "Kindly", "İs it", "dó it", "do_it", "DOES it", "\t x ", "ab", "１４．06.2026", "2025-02-31", "2025年3月9日", "14 Mar 2025", "May 2020", "1.2.19", "On Mon wrote: 1/2/2024"]
+    cues = [w for words in text.CUES.values() for w in words]
+    said = ["".join(rng.choice((*cues, *odd)).upper() + rng.choice((" ", ". ", "！", "\n", "?")) for _ in range(rng.randrange(9))) for _ in range(300)]
+    rows = spark.createDataFrame([(s,) for s in [*said, None, ""]], "t string")
+    t = F.col("t")
+    for got, s in ((r.x, r.s) for r in rows.select(text.cued_sentences(t).alias("x"), text.sentences(t).alias("s")).collect()):
+        assert [x.s for x in got] == s
+        for x in got:
+            low = x.s.replace("İ", "i̇").lower()
+            assert [x.cues >> k & 1 for k in range(len(text.CUES))] == [int(any(low.startswith(w) if kind == "lead" else w in low for w in words)) for kind, words in text.CUES.items()]
+    dated = F.transform(text.cued_sentences(t), lambda x: F.struct(text._has(x, "date").alias("hint"), (F.size(atoms.extract_dates(x["s"])) > 0).alias("dated")))
+    found = [x for r in rows.select(dated.alias("d")).collect() for x in r.d]
+    assert all(x.hint for x in found if x.dated) and any(x.dated for x in found) and not all(x.hint for x in found)
